@@ -18,6 +18,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), vocabulary(), capacity=4096, end_id=2)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
@@ -42,5 +48,5 @@ def _sql() -> dict[str, str]:
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_quality_rules, op8_url_filters)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters)}
 ORACLE = _sql()
