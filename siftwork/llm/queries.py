@@ -18,6 +18,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digest, find_contamination
+
+    return digest(find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -48,5 +54,5 @@ def _sql() -> dict[str, str]:
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters)}
 ORACLE = _sql()
