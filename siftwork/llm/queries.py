@@ -48,11 +48,19 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), RULES)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def _sql() -> dict[str, str]:
     from .url_filter import SQL
 
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
 ORACLE = _sql()
