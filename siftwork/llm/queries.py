@@ -24,6 +24,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages"), least_revisit_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -62,5 +68,5 @@ def _sql() -> dict[str, str]:
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
 ORACLE = _sql()
