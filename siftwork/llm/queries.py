@@ -18,6 +18,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import digest, find_contamination
 
@@ -68,5 +74,5 @@ def _sql() -> dict[str, str]:
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
 ORACLE = _sql()
