@@ -71,7 +71,7 @@ class IdFilter:
         h = F.xxhash64(F.col(column))
         where = h.bitwiseAND(F.lit((1 << bits) - 1))
         words = (
-            ids.select(F.shiftright(where, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), where.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+            ids.select(F.shiftright(where, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), where.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
             .groupBy("w")
             .agg(F.bit_or("b").alias("b"))
         )

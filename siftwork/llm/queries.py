@@ -18,6 +18,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join_components
+
+    return join_components(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -74,5 +80,5 @@ def _sql() -> dict[str, str]:
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
 ORACLE = _sql()
