@@ -74,11 +74,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), depth=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def _sql() -> dict[str, str]:
     from .url_filter import SQL
 
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id, op10_suffix_dedup)}
 ORACLE = _sql()
