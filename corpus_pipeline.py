@@ -1,11 +1,67 @@
-"""Corpus preparation: five stages over `documents`, each written as Parquet and read again."""
+"""Corpus preparation: five stages over `documents`, each written as Parquet and read again.
+
+A stage is (name, function); a function takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept. All but the last return the columns of `documents`; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwork.llm import decontaminate as contamination
+from siftwork.llm import langid, ngram_join, packing, suffix_dedup
+from siftwork.llm._spark import read, saved
+from siftwork.llm.queries import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language the context trees know; texts without letters and close calls go."""
+    return langid.accept(docs, langid.train(docs.where(~langid.held_out())), least_score=0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of linked documents, and of repeated rows one."""
+    found = ngram_join.join_components(docs, n=4, percent=85)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source"))
+    return joined.withColumn("again", again).where("again = 1").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut every byte of a 100-byte string that occurs earlier; documents of which only white space is left go."""
+    cut = suffix_dedup.remove_repeats(docs, depth=100, carry=("lang", "source", "n_chars"))
+    changed = F.col("n_removed") > 0
+    out = cut.select("doc_id", "text", "lang", "source", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), "n_removed")
+    return out.where(~changed | F.col("text").rlike(r"\S")).select(docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the words of benchmark windows; documents that are benchmark text for the most part go."""
+    out = contamination.decontaminate(docs, read(spark, sf_dir, "benchmark"), window=10, most_coverage=0.5)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents in sequences of at most 4096 ids."""
+    return packing.pack(docs, vocabulary(), capacity=4096, end_id=2)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("packing", packed),
+]
+
+#: SQL can neither train and score context trees nor code texts; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

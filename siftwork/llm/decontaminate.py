@@ -214,6 +214,31 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_c
     return docs.select(id_col, text_col).mapInArrow(judge, f"{id_col} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with hit spans cut from the text; rows of which more than `most_coverage` of the
+    words are hit go altogether. What stood around a cut is joined by one space."""
+    spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(m) for m in matcher(items, window, item_col, item_text_col)]
+    at = docs.columns.index(text_col)
+
+    def clean(batches):
+        matchers = [x.value for x in shared]
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            for i, (n, hit, _, spans) in enumerate(judged(matchers, batch.column(at))):
+                keep.append(hit <= most_coverage * n)
+                if spans:
+                    raw, parts, last = texts[i].encode(), [], 0
+                    for s, e in spans:
+                        parts.append(raw[last:s].rstrip())
+                        last = e
+                    texts[i] = b" ".join([*parts, raw[last:].lstrip()]).decode().strip()
+            columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The operator's rows with the items folded to a count and a SHA-256."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -166,6 +166,26 @@ def train(docs: DataFrame, docs_per_language: int = 400, bytes_per_language: int
     return Model(languages, trees)
 
 
+def _predictions(m: Model, column: pa.Array) -> tuple[list[str], list[float], list[float | None]]:
+    pred, score, per_byte = [], [], []
+    for i, j, buf, off in blocks(column, 1 << 20):
+        ascii_letter = np.add.reduceat(np.append(LETTERS[buf], False).astype(np.int64), off[:-1]) * (np.diff(off) > 0) > 0
+        bits = m.lengths(buf, off) if m.languages else None
+        for r in range(j - i):
+            text = None if ascii_letter[r] else column[i + r].as_py()
+            if bits is None or not (ascii_letter[r] or text and HAS_LETTER.search(text)):
+                pred.append(UNKNOWN)
+                score.append(0.0)
+                per_byte.append(None)
+                continue
+            n, own = int(off[r + 1] - off[r]), bits[r]
+            best = int(own.argmin())
+            pred.append(m.languages[best])
+            score.append(float(1 / np.exp2(-(own - own[best]) * min(1, 64 / n)).sum()))
+            per_byte.append(float(own[best] / n))
+    return pred, score, per_byte
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, lang_pred, score, bits_per_byte (null without a prediction).
 
@@ -178,30 +198,26 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
-        m = shared.value
         for batch in batches:
-            column = batch.column(1)
-            pred, score, per_byte = [], [], []
-            for i, j, buf, off in blocks(column, 1 << 20):
-                ascii_letter = np.add.reduceat(np.append(LETTERS[buf], False).astype(np.int64), off[:-1]) * (np.diff(off) > 0) > 0
-                bits = m.lengths(buf, off) if m.languages else None
-                for r in range(j - i):
-                    text = None if ascii_letter[r] else column[i + r].as_py()
-                    if bits is None or not (ascii_letter[r] or text and HAS_LETTER.search(text)):
-                        pred.append(UNKNOWN)
-                        score.append(0.0)
-                        per_byte.append(None)
-                        continue
-                    n, own = int(off[r + 1] - off[r]), bits[r]
-                    best = int(own.argmin())
-                    pred.append(m.languages[best])
-                    score.append(float(1 / np.exp2(-(own - own[best]) * min(1, 64 / n)).sum()))
-                    per_byte.append(float(own[best] / n))
+            pred, score, per_byte = _predictions(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per_byte, pa.float64())], names=[id_col, "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(id_col, text_col).mapInArrow(judge, f"{id_col} {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def accept(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least `least_score`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            pred, score, _ = _predictions(shared.value, batch.column(at))
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

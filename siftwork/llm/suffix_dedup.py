@@ -90,8 +90,9 @@ def _batch_runs(batch: pa.RecordBatch, depth: int, k: int):
         yield h.view(np.int64), c.view(np.int64), ids[row], tags[row] * TAG + (lo + base) * LO + n, buf, off[doc] + lo, n, reach
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
+        *([F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.col(text_col).alias("text"),
         F.xxhash64(text_col).bitwiseAND(F.lit((1 << 24) - 1)).alias("tag"),
@@ -290,8 +291,9 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, bits: int =
     return ranges.select("id", F.shiftright("place", 39).alias("tag"), F.shiftright("place", 8).bitwiseAND(F.lit((1 << 31) - 1)).alias("lo"), "n")
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), spans, kept (remaining bytes), kept_sha256.
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), spans, kept (remaining bytes), kept_sha256, text
+    (the remaining bytes as text, without bytes of characters that a cut parts), and the columns in `carry`.
 
     Texts are UTF-8 bytes; null and empty texts have none; texts shorter than `depth` keep all. Matches
     never cross texts. Rows that repeat one id and one text count as one document and get equal results;
@@ -302,8 +304,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int = K, id_col: str
         raise ValueError("depth must lie between k and 255")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
+    whole = _keyed(docs, id_col, text_col, carry)
     of_text = saved(repeated_ranges(rows, depth, k).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("ranges")), "ranges")
-    joined = rows.join(of_text, ["id", "tag"], "left").select("id", "text", "ranges")
+    joined = whole.join(of_text, ["id", "tag"], "left").select("id", "text", "ranges", *["carried"] * bool(carry))
 
     def cut(batches):
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -326,10 +329,11 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int = K, id_col: str
                     kept.append(raw[at:a])
                     at = b
                 left = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(left), len(spans), [{"start": a, "end": b} for a, b in spans], left, hashlib.sha256(left).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(span), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
-
-    done = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
-    return done.select(F.when(F.col("id") != NULL_ID, F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256")
+                out.append((len(raw), len(raw) - len(left), len(spans), [{"start": a, "end": b} for a, b in spans], left, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(span), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], *batch.columns[3:]], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "text", *["carried"] * bool(carry)])
+
+    carried = f", carried {whole.schema['carried'].dataType.simpleString()}" if carry else ""
+    done = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string, text string" + carried)
+    return done.select(F.when(F.col("id") != NULL_ID, F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "text", *[F.col(f"carried.{c}").alias(c) for c in carry])
