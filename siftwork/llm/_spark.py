@@ -48,18 +48,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: later jobs neither recompute nor depend on an executor."""
+def saved(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: later jobs neither recompute nor depend on an executor.
+
+    batch_rows: rows per Arrow batch while this table is made, for rows that hold long values.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 class IdFilter:
     """A bit table of at most 2**bits bits over 64-bit ids: no id that was put in is ever missed.
 

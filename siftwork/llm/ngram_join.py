@@ -231,24 +231,44 @@ def _and_none(batches):
     yield None
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int, name: str) -> DataFrame:
+def _bounded(percent: int):
+    """Rows (a, b, a_n, b_n, a_bits, b_bits) -> (a, b) of pairs that size and bitmaps can't rule out."""
+
+    def work(batches):
+        for batch in batches:
+            a, b, a_n, b_n, a_bits, b_bits = (c.to_pylist() for c in batch.columns)
+            keep = np.zeros(len(a), bool)
+            for i in range(len(a)):
+                maps = folded([a_bits[i], b_bits[i]])
+                label, size = np.array([0, 1]), np.array([a_n[i], b_n[i]])
+                keep[i] = bool(tile_pairs(np.array([2, 2]), label, size, maps, percent))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+
+    return work
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """Pairs (a, b) that are linked, by exact intersection of their sorted arrays."""
-    a, b = (arrays.select(F.col("node").alias(x), F.col("members").alias(f"{x}_members")) for x in "ab")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
 
     def intersect(batches):
         for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            nodes, first = np.unique(np.append(x, y), return_index=True)
+            both = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first))
+            members = [values[s:e] for _, values, edges in shingle_sets(both, n) for s, e in zip(edges[:-1], edges[1:], strict=True)]
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int((y[at] == x).sum())
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            for i, (p, q) in enumerate(zip(np.searchsorted(nodes, x), np.searchsorted(nodes, y), strict=True)):
+                p, q = members[p], members[q]
+                if len(p) and len(q):
+                    at = np.searchsorted(q, p)
+                    at[at == len(q)] = 0
+                    shared = int((q[at] == p).sum())
+                    keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    full = pairs.join(b, "b").join(a, "a").select("a", "b", "a_members", "b_members")
-    return saved(full.mapInArrow(intersect, "a long, b long"), name)
+    full = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
+    return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 
 
 def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,19 +308,13 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
                 key, node = part_keys(values[keep], np.append(0, np.cumsum(size[fresh])), nodes[fresh], bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
-    def members(batches):
+    def signatures(batches):
         for batch in batches:
             for first, values, edges in shingle_sets(batch.column(1), n):
                 sets_of = [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(sets_of)),
-                        pa.array(node_ids(values, edges)),
-                        pa.array([len(v) for v in sets_of], pa.int64()),
-                        pa.array([bitmap(v) if len(v) else b"\0" * 8 for v in sets_of], pa.binary()),
-                        pa.array([v.tobytes() for v in sets_of], pa.binary()),
-                    ],
-                    names=["id", "node", "n", "bits", "members"],
+                    [batch.column(0).slice(first, len(sets_of)), pa.array([len(v) for v in sets_of], pa.int64()), pa.array([bitmap(v) for v in sets_of], pa.binary())],
+                    names=["node", "n", "bits"],
                 )
 
     table = saved(rows.mapInArrow(sets, f"id {kind}, node long, n long"), "sets")
@@ -308,17 +322,24 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     stars = groups.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
     stars = saved(stars, "stars")
     involved = groups.select("node").distinct()
+    # repeated rows of one id and one text give a node one text
     heads = saved(table.where("n > 0").groupBy("node").agg(F.min("id").alias("head")).join(involved, "node", "left_semi"), "heads")
-    chosen = IdFilter(heads, "head").keep(rows, "id").mapInArrow(members, f"id {kind}, node long, n long, bits binary, members binary")
-    arrays = saved(chosen.alias("c").join(heads.alias("h"), (F.col("c.node") == F.col("h.node")) & F.col("c.id").eqNullSafe(F.col("h.head"))).select("c.node", "c.n", "c.bits", "c.members"), "arrays")
-
-    linked = _verified(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")), arrays, percent, "star-links")
+    # only texts of nodes that share a key move from here on
+    near = IdFilter(heads, "head").keep(rows, "id").join(heads, F.col("id").eqNullSafe(F.col("head"))).select("node", "text")
+    texts = saved(near, "texts")
+    signed = saved(texts.mapInArrow(signatures, "node long, n long, bits binary"), "signatures")
+
+    pairs = stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    for x in "ab":
+        pairs = pairs.join(signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")), x)
+    pairs = pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
+    linked = _verified(saved(pairs, "star-pairs"), texts, n, percent, "star-links")
     label1 = components(linked, "stars")
 
     by_key = Window.partitionBy("key")
     open_ = groups.select("key", "node").join(label1, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_ = open_.withColumn("mixed", F.min("label").over(by_key) != F.max("label").over(by_key)).where("mixed")
-    sized = open_.join(arrays.select("node", "n"), "node")
+    sized = open_.join(signed.select("node", "n"), "node")
     placed = sized.withColumn("blocks", F.ceil(F.count("*").over(by_key) / TILE).cast("int")).withColumn("own", F.floor((F.row_number().over(by_key.orderBy("n", "node")) - 1) / TILE).cast("int"))
     sides = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
@@ -326,9 +347,9 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         "node",
         "label",
     )
-    sides = sides.join(arrays.select("node", "n", "bits"), "node").select("tile", "side", "node", "label", "n", "bits")
+    sides = sides.join(signed, "node").select("tile", "side", "node", "label", "n", "bits")
     survivors = saved(sides.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long").distinct(), "survivors")
-    linked2 = _verified(survivors, arrays, percent, "tile-links")
+    linked2 = _verified(survivors, texts, n, percent, "tile-links")
     lifted = linked2
     for x in "ab":  # links between components
         at = label1.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
