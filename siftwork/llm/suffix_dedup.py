@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._bytes import BLOCK_BYTES, U, blocks, mix, powers, prefix_sums, range_hashes
 from ._spark import saved
 
-DEPTH, K = 100, 12
+DEPTH, K = 100, 24
 HOT_RUNS = 4096  # different runs of one anchor beyond which it is dealt out again
 HOT_STEP = 8  # window starts per row then
 BLOCK_RUNS_BYTES = 1 << 21  # of one suffix array
@@ -37,6 +37,7 @@ PLACE_BITS = 24
 #: place = tag (24 bits of the text's hash) << 39 | first window start << 8 | windows
 TAG, LO = 1 << 39, 1 << 8
 NULL_ID = -(1 << 63)
+REPEAT, MARK, LOOK, BYTES = 0, 1, 2, 3  # roles of rows
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -145,10 +146,12 @@ def _united(ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 
 def _repeats(batches):
-    """From rows sorted by (h, c, id, place): (id, place, n, 0) of repeated runs, and (h as id, 0, 0, ...) rows of runs to
-    look at: role 1, one row for each different run of an anchor that has more than one. One row is held back."""
+    """From rows sorted by (h, c, id, place): ranges of repeated runs (role REPEAT), one row for each different run of an
+    anchor that has more than one (role LOOK), and a mark for each anchor with more than HOT_RUNS of these
+    (role MARK, sorting before all rows of its anchor). One row is held back, so an anchor may have any number of rows."""
     last = None  # the last row
     held = None  # h, id, place, has a match: the last first-of-its-bytes row
+    count = 0  # different runs of the last anchor so far
     for batch in batches:
         h, c, ids, place = (batch.column(i).to_numpy() for i in range(4))
         ready = place < 0
@@ -163,6 +166,13 @@ def _repeats(batches):
             out.append((np.zeros(again.sum(), np.int64), ids[again], place[again] - place[again] % LO, place[again] % LO, np.zeros(again.sum(), np.int32)))
             h, ids, place = h[~again], ids[~again], place[~again]
             if len(h):
+                edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                before = np.zeros(len(edge), np.int64)
+                before[0] = count if held is not None and held[0] == h[0] else 0
+                total = before + np.diff(np.append(edge, len(h)))
+                count = int(total[-1])
+                many = h[edge][(before <= HOT_RUNS) & (total > HOT_RUNS)]
+                out.append((many, np.full(len(many), NULL_ID), np.full(len(many), -1), np.zeros(len(many), np.int64), np.full(len(many), MARK, np.int32)))
                 if held is not None:
                     h, ids, place = np.append(held[0], h), np.append(held[1], ids), np.append(held[2], place)
                 same = np.append(False, h[1:] == h[:-1])
@@ -172,10 +182,10 @@ def _repeats(batches):
                 matched[:-1] |= h[1:] == h[:-1]
                 held = (h[-1], ids[-1], place[-1], bool(same[-1]))
                 some = np.flatnonzero(matched[:-1])
-                out.append((h[some], ids[some], place[some], np.zeros(len(some), np.int64), np.ones(len(some), np.int32)))
+                out.append((h[some], ids[some], place[some], np.zeros(len(some), np.int64), np.full(len(some), LOOK, np.int32)))
         yield _role_batch(out)
     if held is not None and held[3]:
-        yield _role_batch([(np.array([held[0]]), np.array([held[1]]), np.array([held[2]]), np.zeros(1, np.int64), np.ones(1, np.int32))])
+        yield _role_batch([(np.array([held[0]]), np.array([held[1]]), np.array([held[2]]), np.zeros(1, np.int64), np.full(1, LOOK, np.int32))])
 
 
 def _role_batch(parts) -> pa.RecordBatch:
@@ -218,60 +228,93 @@ def _wanted_bits(rows: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def _deal_again(depth: int):
-    """Rows of hot anchors, cut into rows of HOT_STEP window starts and keyed by the bytes these windows share."""
+def _dealt_again(key: int, i: int, p: int, data: bytes, reach: int, depth: int):
+    """A run of a hot anchor as rows of at most HOT_STEP window starts, keyed by the bytes that these windows share."""
+    n = p % LO
+    # equal windows lie equally far before their anchor, so runs are cut by that distance
+    bucket = (reach - np.arange(n)) // HOT_STEP
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), n]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        j = int(bucket[s])
+        begin = reach - j * HOT_STEP
+        core = data[begin : begin - HOT_STEP + 1 + depth]
+        digest = hashlib.blake2b(core + key.to_bytes(8, "little", signed=True) + bytes([j]), digest_size=8).digest()
+        yield i, p - n + s * LO + (e - s), None, int.from_bytes(digest, "little", signed=True), data[s : e + depth - 1]
+
+
+FINE = "id long, place long, n long, key long, bytes binary"
+
+
+def _fine_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "place", "n", "key", "bytes"])
+
+
+def _solved(rows: list[tuple[int, int, bytes]], depth: int) -> pa.RecordBatch:
+    """Ranges of repeated windows among runs (id, place, bytes), by one suffix array over them."""
+    from .suffix_sort import repeated_windows
+
+    runs_of = sorted({(i, p): d for i, p, d in rows}.items())
+    at = repeated_windows([d for _, d in runs_of], depth)
+    begin = np.cumsum([0, *[len(d) + 1 for _, d in runs_of]])
+    row = np.searchsorted(begin, at, "right") - 1
+    ids = np.array([k[0] for k, _ in runs_of], np.int64)[row]
+    place = np.array([k[1] - k[1] % LO for k, _ in runs_of], np.int64)[row] + (at - begin[row]) * LO
+    ids, place, n = _united(ids, place, np.ones(len(ids), np.int64))
+    none = pa.nulls(len(n), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n), none, pa.nulls(len(n), pa.binary())], names=["id", "place", "n", "key", "bytes"])
+
+
+def _suffix_arrays(depth: int):
+    """From rows (h, id, place, role, bytes, reach) sorted by the first four: ranges of repeated windows (id, place, n), from
+    one suffix array for each block of whole anchors; and rows (id, place, key, bytes) of runs of hot anchors.
+    A run counts only if its LOOK row comes just before its BYTES row."""
 
     def work(batches):
+        rows: list[tuple] = []
+        size, last, hot, wanted = 0, None, False, None
         for batch in batches:
-            rows = []
-            for key, i, p, data, reach, many in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if not many:
-                    rows.append((key, i, p, data))
-                    continue
-                n = p % LO
-                # equal windows lie equally far before their anchor, so rows are cut by that distance
-                bucket = (reach - np.arange(n)) // HOT_STEP
-                edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), n]
-                for s, e in zip(edges[:-1], edges[1:], strict=True):
-                    j = int(bucket[s])
-                    begin = reach - j * HOT_STEP  # bytes that every window of the bucket holds
-                    core = data[begin : begin - HOT_STEP + 1 + depth]
-                    digest = hashlib.blake2b(core + key.to_bytes(8, "little", signed=True) + bytes([j]), digest_size=8).digest()
-                    rows.append((int.from_bytes(digest, "little", signed=True), i, p - n + s * LO + (e - s), data[s : e + depth - 1]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "id", "place", "bytes"])
+            again: list[tuple] = []
+            for h, i, p, role, d, reach in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if h != last:
+                    last, hot = h, False
+                    if size >= BLOCK_RUNS_BYTES:
+                        yield _solved(rows, depth)
+                        rows, size = [], 0
+                if role == MARK:
+                    hot = True
+                elif role == LOOK:
+                    wanted = h, i, p
+                elif wanted == (h, i, p):
+                    wanted = None
+                    if hot:
+                        again += _dealt_again(h, i, p, d, reach, depth)
+                    else:
+                        rows.append((i, p, d))
+                        size += len(d)
+            yield _fine_batch(again)
+        if rows:
+            yield _solved(rows, depth)
 
     return work
 
 
-def _suffix_arrays(depth: int):
-    """Rows sorted by (h, id, place) -> (id, place, n) of repeated windows, one suffix array for each block of whole groups."""
-    from .suffix_sort import repeated_windows
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({(i, p): d for i, p, d in rows}.items())
-        rows.sort(key=lambda r: r[0])
-        at = repeated_windows([d for _, d in rows], depth)
-        begin = np.cumsum([0, *[len(d) + 1 for _, d in rows]])
-        row = np.searchsorted(begin, at, "right") - 1
-        ids = np.array([k[0] for k, _ in rows], np.int64)[row]
-        place = np.array([k[1] - k[1] % LO for k, _ in rows], np.int64)[row] + (at - begin[row]) * LO
-        ids, place, n = _united(ids, place, np.ones(len(ids), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n)], names=["id", "place", "n"])
+def _hot_suffix_arrays(depth: int):
+    """The same for dealt rows (key, id, place, bytes) sorted by the first three."""
 
     def work(batches):
         rows: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for h, i, p, d in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if h != last and size >= BLOCK_RUNS_BYTES:
-                    yield solve(rows)
+            for key, i, p, d in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != last and size >= BLOCK_RUNS_BYTES:
+                    yield _solved(rows, depth)
                     rows, size = [], 0
-                last = h
+                last = key
                 rows.append((i, p, d))
                 size += len(d)
         if rows:
-            yield solve(rows)
+            yield _solved(rows, depth)
 
     return work
 
@@ -280,18 +323,18 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, bits: int =
     """Ranges of repeated window starts: id, tag, lo, n, of rows (id, text, tag)."""
     firsts = docs.mapInArrow(_first_runs(depth, k), ROW)
     met = saved(firsts.repartition("h").sortWithinPartitions("h", "c", "id", "place").mapInArrow(_repeats, "h long, id long, place long, n long, role int"), "runs")
-    look = met.where("role = 1").select("h", "id", "place")
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted_bits(look, bits))
-    hot = look.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT_RUNS).select("h", F.lit(True).alias("hot"))
-    rows = docs.mapInArrow(_run_bytes(depth, k, wanted, bits), "h long, id long, place long, bytes binary, reach long")
-    rows = rows.join(look, ["h", "id", "place"], "left_semi").join(hot, "h", "left").select("h", "id", "place", "bytes", "reach", F.coalesce("hot", F.lit(False)).alias("hot"))
-    dealt = rows.mapInArrow(_deal_again(depth), "h long, id long, place long, bytes binary").repartition("h").sortWithinPartitions("h", "id", "place")
-    fine = dealt.mapInArrow(_suffix_arrays(depth), "id long, place long, n long")
-    ranges = met.where("role = 0").select("id", "place", "n").unionAll(fine)
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted_bits(met.where(F.col("role") == LOOK), bits))
+    with_bytes = docs.mapInArrow(_run_bytes(depth, k, wanted, bits), "h long, id long, place long, bytes binary, reach long")
+    asked = met.where(F.col("role").isin(MARK, LOOK)).select("h", "id", "place", "role", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("long").alias("reach"))
+    met_again = asked.unionAll(with_bytes.select("h", "id", "place", F.lit(BYTES).alias("role"), "bytes", "reach"))
+    fine = saved(met_again.repartition("h").sortWithinPartitions("h", "id", "place", "role").mapInArrow(_suffix_arrays(depth), FINE), "fine")
+    dealt = fine.where("key is not null").select("key", "id", "place", "bytes").repartition("key").sortWithinPartitions("key", "id", "place")
+    hot = dealt.mapInArrow(_hot_suffix_arrays(depth), FINE)
+    ranges = met.where(F.col("role") == REPEAT).select("id", "place", "n").unionAll(fine.where("key is null").select("id", "place", "n")).unionAll(hot.select("id", "place", "n"))
     return ranges.select("id", F.shiftright("place", 39).alias("tag"), F.shiftright("place", 8).bitwiseAND(F.lit((1 << 31) - 1)).alias("lo"), "n")
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), spans, kept (remaining bytes), kept_sha256, text
     (the remaining bytes as text, without bytes of characters that a cut parts), and the columns in `carry`.
 
@@ -300,7 +343,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int = K, id_col: str
     rows with one id and different texts are ordered by a hash of the text. A null id comes before all
     others. An empty table gives an empty result; further columns are ignored.
     """
-    if not k <= depth <= 255:
+    k = k or max(1, min(K, depth // 4))
+    if not k <= depth <= 255:  # a run's number of windows has 8 bits of its place
         raise ValueError("depth must lie between k and 255")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
