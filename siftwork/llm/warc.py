@@ -22,6 +22,7 @@ from ._spark import new_folder, saved
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+FRAMES_PER_TASK = 32
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 INDEX = "page_id long, bundle string, frame int, at long, size long"
 
@@ -208,7 +209,9 @@ def read_archives(index: DataFrame) -> DataFrame:
                     out = []
             yield _records(out)
 
-    places = index.groupBy(F.xxhash64("bundle", "frame").alias("k"), "bundle", "frame").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    places = saved(index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("at")).alias("at")).withColumn("k", F.xxhash64("bundle", "frame")), "warc-frames")
+    # rows are a few bytes but stand for a frame each, so tasks are sized by frames
+    places = places.repartition(max(1, -(-places.count() // FRAMES_PER_TASK)), "k")
     return places.select("k", "bundle", "frame", "at").mapInArrow(load, "page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
