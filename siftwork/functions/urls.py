@@ -8,6 +8,7 @@ from urllib.parse import urldefrag, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: scheme, user part, host (IPv6 in brackets), port, path, rest
@@ -76,7 +77,7 @@ def is_private_ipv4(h: Column) -> Column:
     return h.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") & F.coalesce(inside, F.lit(True))
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def is_private_ip(h: pd.Series) -> pd.Series:
     """Any address literal, IPv6 included, that is not a public one; names are not addresses."""
 
@@ -96,7 +97,7 @@ def is_unsafe(url: Column) -> Column:
     return ~is_public_source(url) | h.isin(METADATA_HOSTS) | (h == "localhost") | h.endswith(".localhost") | h.endswith(".local") | is_private_ipv4(h)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """href joined to base, without fragment; null where it can't be joined."""
 

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.ids import sha256
@@ -19,7 +20,7 @@ def snapshot_chain(captures: DataFrame, key: str = "source_url", order: tuple[st
     return hashed.withColumn("previous_snapshot_id", F.lag(snapshot_id).over(w)).withColumn("changed", F.lag("content_hash").over(w) != F.col("content_hash"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series, name: pd.Series) -> pd.Series:
     """Unified line diff with three lines of context; null where nothing precedes or changes."""
 

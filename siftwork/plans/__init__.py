@@ -1 +1 @@
-
+"""Named queries over the tables."""

@@ -20,3 +20,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def _load() -> None:
+    from . import page_queries, row_queries  # noqa: F401
+
+
+_load()

@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import ids, values
 
 MOST_ENTRIES = 100
-ENTRY = "array<struct<title: string, link: string, description: string, guid: string, date: string>>"
+ENTRY = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "description", "guid", "date")]))
 
 
 def is_feed_url(url: Column) -> Column:
