@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import page_queries, row_queries  # noqa: F401
+    from . import page_queries, payload_queries, row_queries  # noqa: F401
 
 
 _load()

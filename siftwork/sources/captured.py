@@ -1,5 +1,6 @@
 """A Python data source over captured payload files: rows (name, body), one partition per file, name filters pushed down.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CapturedPayloads)
     spark.read.format("captured").option("path", folder).load()
 """
