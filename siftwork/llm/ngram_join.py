@@ -6,18 +6,21 @@
    part at least holds the same members in both. Each node sends one key per part of its own band, and of
    the larger bands that a partner may lie in. Only nodes that share a key can be linked.
 3. Stars. Of each key the smallest node is the centre. Every node is compared with the centre that it
-   shares most keys with, and equal results are joined into components. This settles groups of near
+   shares most keys with, and equal results are joined into components. This settles most groups of near
    copies with one comparison for each node.
 4. Tiles. Keys whose nodes are still in different components are compared in full: their nodes, by
    size, are cut into blocks, and each pair of blocks is a tile. Bitmaps of hashed members bound the
-   overlap of each pair from above: |A & B| <= |A| - bits(A & ~B). What survives is intersected exactly,
-   as sorted arrays.
+   overlap of each pair from above: |A & B| <= |A| - bits(A & ~B). A first pass with short bitmaps only
+   marks nodes that may have a partner. Then, with long ones, each node proposes its best partner of
+   another component, the proposals are intersected exactly, as sorted arrays, and components grow; after
+   ROUNDS of these, all pairs of different components that the bitmaps leave are intersected.
 5. Components. Links join nodes; a component is named by its smallest document id.
 Pairs are skipped only if both nodes are already connected, so the components are those of all links.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +33,9 @@ from ._spark import IdFilter, components, saved
 
 GROWTH = 1.7  # of band bounds
 TILE = 1024  # rows of a tile's side
-MOST_BITS = 1 << 13  # of a bitmap
+MOST_BITS = 1 << 16  # of a bitmap
+SHORT, LONG = 1, 8  # bits of a bitmap for each member, rounded up to a power of two
+ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -156,9 +161,9 @@ def shared_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:3]], names=["key", "node", "centre"])
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """Bits of hashed members; as many as twice the members, rounded up to a power of two."""
-    bits = min(MOST_BITS, max(64, 1 << int(2 * len(values) - 1).bit_length()))
+def bitmap(values: np.ndarray, per_member: int) -> bytes:
+    """Bits of hashed members; as many as per_member for each, rounded up to a power of two."""
+    bits = min(MOST_BITS, max(64, 1 << int(per_member * len(values) - 1).bit_length()))
     at = mix(values + U(0x2545F4914F6CDD1D)) & U(bits - 1)
     table = np.zeros(bits // 64, np.uint64)
     np.bitwise_or.at(table, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
@@ -175,12 +180,11 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return out
 
 
-def tile_pairs(side: np.ndarray, label: np.ndarray, size: np.ndarray, maps: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a tile that the bitmaps can't rule out and that no component joins yet. side 0 and 1 are the
-    blocks, 2 a block against itself."""
+def tile_pairs(side: np.ndarray, label: np.ndarray, size: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (i, js, bounds on their Jaccard similarity) of the pairs of a tile that the bitmaps can't rule out and
+    that no component joins yet. side 0 and 1 are the blocks, 2 a block against itself."""
     left = np.flatnonzero(side != 1)
     right = left if (side == 2).any() else np.flatnonzero(side == 1)
-    out = []
     for k, i in enumerate(left):
         js = right[k + 1 :] if right is left else right
         js = js[(label[js] != label[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
@@ -188,14 +192,48 @@ def tile_pairs(side: np.ndarray, label: np.ndarray, size: np.ndarray, maps: np.n
             continue
         a, b = maps[i], maps[js]
         most = np.minimum(size[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), size[js] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-        js = js[100 * most >= percent * (size[i] + size[js] - most)]
-        if len(js):
-            out.append((np.full(len(js), i), js))
-    return out
-
-
-def _tiles(percent: int):
-    """Rows (tile, side, node, label, n, bits) sorted by tile -> rows (a, b). A tile has 2 * TILE rows at most."""
+        union = size[i] + size[js] - most
+        ok = 100 * most >= percent * union
+        if ok.any():
+            yield int(i), js[ok], most[ok] / union[ok]
+
+
+def _marked(own: pa.Table, percent: int) -> list[np.ndarray]:
+    """(key, node) of the rows of a tile that are in any pair."""
+    label, n, side = (own[c].to_numpy() for c in ("label", "n", "side"))
+    hit = np.zeros(len(n), bool)
+    for i, js, _ in tile_pairs(side, label, n, folded(own["bits"].to_pylist()), percent):
+        hit[i] = True
+        hit[js] = True
+    return [own["key"].to_numpy()[hit], own["node"].to_numpy()[hit]]
+
+
+def _proposed(own: pa.Table, percent: int) -> list[np.ndarray]:
+    """(node, its partner with the highest bound, that bound) of the rows of a tile."""
+    node, label, n, side = (own[c].to_numpy() for c in ("node", "label", "n", "side"))
+    best, bound = np.full(len(n), -1), np.zeros(len(n))
+    for i, js, bounds in tile_pairs(side, label, n, folded(own["bits"].to_pylist()), percent):
+        k = int(bounds.argmax())
+        if bounds[k] > bound[i]:
+            best[i], bound[i] = js[k], bounds[k]
+        up = bounds > bound[js]
+        best[js[up]], bound[js[up]] = i, bounds[up]
+    has = best >= 0
+    return [node[has], node[best[has]], bound[has]]
+
+
+def _remaining(own: pa.Table, percent: int) -> list[np.ndarray]:
+    """(a, b) of all pairs of a tile."""
+    node, label, n, side = (own[c].to_numpy() for c in ("node", "label", "n", "side"))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, js, _ in tile_pairs(side, label, n, folded(own["bits"].to_pylist()), percent):
+        a.append(np.minimum(node[i], node[js]))
+        b.append(np.maximum(node[i], node[js]))
+    return [np.concatenate(a), np.concatenate(b)]
+
+
+def _tiles(percent: int, judge, names: tuple[str, ...]):
+    """Rows (tile, side, key, node, label, n, bits) sorted by tile -> what judge finds in each. A tile has 2 * TILE rows at most."""
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -209,19 +247,10 @@ def _tiles(percent: int):
             cut = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
             ends = np.append(cut[1:], len(tile))
             done = len(cut) if batch is None else len(cut) - 1
-            a, b = [], []
-            for s, e in zip(cut[:done].tolist(), ends[:done].tolist(), strict=True):
-                if e - s < 2:
-                    continue
-                own = table.slice(s, e - s)
-                node, label, n, side = (own[c].to_numpy() for c in ("node", "label", "n", "side"))
-                for i, j in tile_pairs(side, label, n, folded(own["bits"].to_pylist()), percent):
-                    a.append(np.minimum(node[i], node[j]))
-                    b.append(np.maximum(node[i], node[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            rest = table.slice(cut[done]) if done < len(cut) else table.slice(0, 0)
-            held = rest.to_batches()
+            found = [judge(table.slice(s, e - s), percent) for s, e in zip(cut[:done].tolist(), ends[:done].tolist(), strict=True) if e - s > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=list(names))
+            held = table.slice(int(cut[done])).to_batches() if done < len(cut) else []
 
     return compare
 
@@ -241,7 +270,7 @@ def _bounded(percent: int):
             for i in range(len(a)):
                 maps = folded([a_bits[i], b_bits[i]])
                 label, size = np.array([0, 1]), np.array([a_n[i], b_n[i]])
-                keep[i] = bool(tile_pairs(np.array([2, 2]), label, size, maps, percent))
+                keep[i] = any(True for _ in tile_pairs(np.array([2, 2]), label, size, maps, percent))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
     return work
@@ -271,6 +300,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
     return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 
 
+def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str) -> DataFrame:
+    """Rows (tile, side, key, node, label, n, bits), dealt and sorted by tile, of the keys (key, node) that lie in more
+    than one component."""
+    by_key = Window.partitionBy("key")
+    open_ = keyed.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    open_ = open_.withColumn("mixed", F.min("label").over(by_key) != F.max("label").over(by_key)).where("mixed")
+    sized = open_.join(signed.select("node", "n"), "node")
+    placed = sized.withColumn("blocks", F.ceil(F.count("*").over(by_key) / TILE).cast("int")).withColumn("own", F.floor((F.row_number().over(by_key.orderBy("n", "node")) - 1) / TILE).cast("int"))
+    sides = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+        "key",
+        "node",
+        "label",
+    )
+    rows = sides.join(signed.select("node", "n", F.col(bits).alias("bits")), "node").select("tile", "side", "key", "node", "label", "n", "bits")
+    return rows.repartition("tile").sortWithinPartitions("tile")
+
+
+def _joined(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Labels after more links: components of the labels that these join."""
+    lifted = links
+    for x in "ab":
+        at = labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+        lifted = lifted.join(at, x, "left").withColumn(f"{x}_to", F.coalesce(f"{x}_label", x)).drop(f"{x}_label")
+    top = components(lifted.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")), name).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    # nodes that had no label yet are their own
+    known = labels.unionByName(top.select(F.col("label").alias("node"), "label").join(labels, "node", "left_anti"))
+    return saved(known.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
+
+
 def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
@@ -313,8 +373,8 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
             for first, values, edges in shingle_sets(batch.column(1), n):
                 sets_of = [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets_of)), pa.array([len(v) for v in sets_of], pa.int64()), pa.array([bitmap(v) for v in sets_of], pa.binary())],
-                    names=["node", "n", "bits"],
+                    [batch.column(0).slice(first, len(sets_of)), pa.array([len(v) for v in sets_of], pa.int64()), *[pa.array([bitmap(v, bits) for v in sets_of], pa.binary()) for bits in (SHORT, LONG)]],
+                    names=["node", "n", "short", "long"],
                 )
 
     table = saved(rows.mapInArrow(sets, f"id {kind}, node long, n long"), "sets")
@@ -327,36 +387,31 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     # only texts of nodes that share a key move from here on
     near = IdFilter(heads, "head").keep(rows, "id").join(heads, F.col("id").eqNullSafe(F.col("head"))).select("node", "text")
     texts = saved(near, "texts")
-    signed = saved(texts.mapInArrow(signatures, "node long, n long, bits binary"), "signatures")
+    signed = saved(texts.mapInArrow(signatures, "node long, n long, short binary, long binary"), "signatures")
 
     pairs = stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     for x in "ab":
-        pairs = pairs.join(signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")), x)
+        pairs = pairs.join(signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x)
     pairs = pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
     linked = _verified(saved(pairs, "star-pairs"), texts, n, percent, "star-links")
-    label1 = components(linked, "stars")
-
-    by_key = Window.partitionBy("key")
-    open_ = groups.select("key", "node").join(label1, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = open_.withColumn("mixed", F.min("label").over(by_key) != F.max("label").over(by_key)).where("mixed")
-    sized = open_.join(signed.select("node", "n"), "node")
-    placed = sized.withColumn("blocks", F.ceil(F.count("*").over(by_key) / TILE).cast("int")).withColumn("own", F.floor((F.row_number().over(by_key.orderBy("n", "node")) - 1) / TILE).cast("int"))
-    sides = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node",
-        "label",
-    )
-    sides = sides.join(signed, "node").select("tile", "side", "node", "label", "n", "bits")
-    survivors = saved(sides.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long").distinct(), "survivors")
-    linked2 = _verified(survivors, texts, n, percent, "tile-links")
-    lifted = linked2
-    for x in "ab":  # links between components
-        at = label1.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-        lifted = lifted.join(at, x, "left").withColumn(f"{x}_to", F.coalesce(f"{x}_label", x)).drop(f"{x}_label")
-    label2 = components(lifted.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")), "tiles").select(F.col("node").alias("label"), F.col("label").alias("top"))
-
-    singles = table.join(label1, "node", "left").withColumn("label", F.coalesce("label", "node")).join(label2, "label", "left")
-    full = singles.select("id", "n", F.when(F.col("n") > 0, F.coalesce("top", "label")).alias("component"))
+    labels = components(linked, "stars")
+
+    keyed = groups.select("key", "node")
+    marked = _in_tiles(keyed, labels, signed, "short").mapInArrow(_tiles(percent, _marked, ("key", "node")), "key long, node long")
+    keyed = saved(marked.distinct(), "marked")
+    for turn in range(ROUNDS + 1):
+        tiles = _in_tiles(keyed, labels, signed, "long")
+        if turn < ROUNDS:
+            each = tiles.mapInArrow(_tiles(percent, _proposed, ("a", "b", "bound")), "a long, b long, bound double")
+            pairs = each.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            pairs = tiles.mapInArrow(_tiles(percent, _remaining, ("a", "b")), "a long, b long").distinct()
+        pairs = saved(pairs, f"pairs-{turn}")
+        if not pairs.take(1):
+            break
+        labels = _joined(labels, _verified(pairs, texts, n, percent, f"links-{turn}"), f"joined-{turn}")
+
+    singles = table.join(labels, "node", "left").withColumn("top", F.coalesce("label", "node"))
+    full = singles.select("id", "n", F.when(F.col("n") > 0, F.col("top")).alias("component"))
     names = full.where("component is not null").groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("c")).where("c > 1").drop("c")
     return full.join(names, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
