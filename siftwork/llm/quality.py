@@ -70,15 +70,16 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
 
 @dataclass(frozen=True)
 class Rules:
-    """base: fixed floors. The adaptive rule drops a text whose ratio lies above
-    max(floor, q + reach * (q - median)) of its language and source, where q is that group's `quantile`."""
+    """min_words and max_repeat_percent are the base rule. The adaptive rule drops a text one of whose ratios lies
+    above max(floor, high + reach * (high - low)), where low and high are that ratio's quantiles in its language and
+    source. The default quantiles stay with ordinary texts while under half of a group is junk."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    quantile: float = 0.75
+    quantiles: tuple[float, float] = (0.25, 0.5)
     reach: float = 8.0
     #: ratio -> floor below which no text is dropped
-    ratios: tuple[tuple[str, float], ...] = (("symbol_ratio", 0.10), ("dup_line_ratio", 0.30), ("repeat_ratio", 0.20), ("word_length", 12.0))
+    ratios: tuple[tuple[str, float], ...] = (("symbol_ratio", 0.10), ("dup_line_ratio", 0.50), ("repeat_ratio", 0.40), ("word_length", 15.0))
 
 
 def _ratio(name: str):
@@ -129,7 +130,7 @@ def judge_quality(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     names = [r for r, _ in rules.ratios]
     rated = counts.withColumn("base_failed", failed).select("*", *[_ratio(r) for r in names])
     groups = ["lang", "source"]
-    q = quantiles(sketch(rated.where("not base_failed"), groups, names), groups, [0.5, rules.quantile])
+    q = quantiles(sketch(rated.where("not base_failed"), groups, names), groups, list(rules.quantiles))
     fence = F.col("q1") + rules.reach * (F.col("q1") - F.col("q0"))
     wide = q.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == r, F.greatest(F.lit(floor), fence))).alias(f"{r}_most") for r, floor in rules.ratios])
     wide = wide.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[f"{r}_most" for r in names])
