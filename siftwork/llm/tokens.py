@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 CACHE_RUNS = 1_500_000
 
@@ -39,7 +38,7 @@ class Vocabulary:
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(conf["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = byte_symbols()
-        self.table = {b: s for b, s in self.symbols.items()}
+        self.table = dict(self.symbols)
 
     def pieces(self, run: str) -> Iterator[tuple[str, bool]]:
         """(piece, is it special) of a run without white space, in the library's order of steps."""
