@@ -34,7 +34,7 @@ from ._spark import IdFilter, components, saved
 GROWTH = 1.7  # of band bounds
 TILE = 1024  # rows of a tile's side
 MOST_BITS = 1 << 16  # of a bitmap
-SHORT, LONG = 1, 8  # bits of a bitmap for each member, rounded up to a power of two
+SHORT, LONG = 2, 8  # bits of a bitmap for each member, rounded up to a power of two
 ROUNDS = 3
 
 
@@ -209,7 +209,7 @@ def _marked(own: pa.Table, percent: int) -> list[np.ndarray]:
 
 
 def _proposed(own: pa.Table, percent: int) -> list[np.ndarray]:
-    """(node, its partner with the highest bound, that bound) of the rows of a tile."""
+    """(key, node, its partner with the highest bound, that bound) of the rows of a tile that have one."""
     node, label, n, side = (own[c].to_numpy() for c in ("node", "label", "n", "side"))
     best, bound = np.full(len(n), -1), np.zeros(len(n))
     for i, js, bounds in tile_pairs(side, label, n, folded(own["bits"].to_pylist()), percent):
@@ -219,7 +219,7 @@ def _proposed(own: pa.Table, percent: int) -> list[np.ndarray]:
         up = bounds > bound[js]
         best[js[up]], bound[js[up]] = i, bounds[up]
     has = best >= 0
-    return [node[has], node[best[has]], bound[has]]
+    return [own["key"].to_numpy()[has], node[has], node[best[has]], bound[has]]
 
 
 def _remaining(own: pa.Table, percent: int) -> list[np.ndarray]:
@@ -402,7 +402,8 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     for turn in range(ROUNDS + 1):
         tiles = _in_tiles(keyed, labels, signed, "long")
         if turn < ROUNDS:
-            each = tiles.mapInArrow(_tiles(percent, _proposed, ("a", "b", "bound")), "a long, b long, bound double")
+            each = saved(tiles.mapInArrow(_tiles(percent, _proposed, ("key", "a", "b", "bound")), "key long, a long, b long, bound double"), f"proposals-{turn}")
+            keyed = each.select("key", F.col("a").alias("node")).distinct()  # the others never get a partner, as components only grow
             pairs = each.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             pairs = tiles.mapInArrow(_tiles(percent, _remaining, ("a", "b")), "a long, b long").distinct()
