@@ -34,7 +34,7 @@ from ._spark import IdFilter, components, saved
 GROWTH = 1.7  # of band bounds
 TILE = 1024  # rows of a tile's side
 MOST_BITS = 1 << 16  # of a bitmap
-SHORT, LONG = 2, 8  # bits of a bitmap for each member, rounded up to a power of two
+SHORT, LONG = 2, 4  # bits of a bitmap for each member, rounded up to a power of two
 ROUNDS = 3
 
 
@@ -304,10 +304,14 @@ def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str)
     """Rows (tile, side, key, node, label, n, bits), dealt and sorted by tile, of the keys (key, node) that lie in more
     than one component."""
     by_key = Window.partitionBy("key")
-    open_ = keyed.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = open_.withColumn("mixed", F.min("label").over(by_key) != F.max("label").over(by_key)).where("mixed")
-    sized = open_.join(signed.select("node", "n"), "node")
-    placed = sized.withColumn("blocks", F.ceil(F.count("*").over(by_key) / TILE).cast("int")).withColumn("own", F.floor((F.row_number().over(by_key.orderBy("n", "node")) - 1) / TILE).cast("int"))
+    known = signed.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
+    placed = (
+        keyed.join(known, "node")
+        .withColumn("mixed", F.min("label").over(by_key) != F.max("label").over(by_key))
+        .withColumn("blocks", F.ceil(F.count("*").over(by_key) / TILE).cast("int"))
+        .withColumn("own", F.floor((F.row_number().over(by_key.orderBy("n", "node")) - 1) / TILE).cast("int"))
+        .where("mixed")
+    )
     sides = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
