@@ -5,12 +5,19 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: the folders of the innermost interim() block
+_INTERIM: ContextVar[list[str] | None] = ContextVar("interim", default=None)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -48,22 +55,43 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+@contextmanager
+def interim(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside the block are removed when it ends, but for lasting ones."""
+    paths: list[str] = []
+    outer = _INTERIM.set(paths)
+    try:
+        yield
+    finally:
+        _INTERIM.reset(outer)
+        for path in paths:
+            _remove(spark.sparkContext, path)
+
+
+def saved(df: DataFrame, name: str, batch_rows: int | None = None, lasting: bool = False) -> DataFrame:
     """Write to the shared folder and read again: later jobs neither recompute nor depend on an executor.
 
+    The shuffle files of this write go when it ends, as the table replaces them.
     batch_rows: rows per Arrow batch while this table is made, for rows that hold long values.
+    lasting: the table outlives an interim() block.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if (paths := _INTERIM.get()) is not None and not lasting:
+        paths.append(path)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    rows = int(spark.conf.get(key))
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        settings[key] = str(min(batch_rows, rows) if rows > 0 else batch_rows)
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        if batch_rows:
-            spark.conf.set(key, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if batch_rows:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, U, blocks, mix, windows, words
-from ._spark import IdFilter, components, saved
+from ._spark import IdFilter, components, interim, saved
 
 GROWTH = 1.7  # of band bounds
 TILE = 1024  # rows of a tile's side
@@ -344,6 +344,11 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     of its ids are null. An empty table gives an empty result; further columns are ignored. Sets are
     compared by 64-bit hashes of n-grams and known by a 64-bit hash of their members.
     """
+    with interim(docs.sparkSession):
+        return saved(_join_components(docs, n, percent, id_col, text_col), "components", lasting=True)
+
+
+def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     bands = Bands(percent)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import BLOCK_BYTES, U, blocks, mix, powers, prefix_sums, range_hashes
-from ._spark import saved
+from ._spark import interim, saved
 
 DEPTH, K = 100, 24
 HOT_RUNS = 4096  # different runs of one anchor beyond which it is dealt out again
@@ -349,7 +349,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int | None = None, id
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
     whole = _keyed(docs, id_col, text_col, carry)
-    of_text = saved(repeated_ranges(rows, depth, k).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("ranges")), "ranges")
+    with interim(docs.sparkSession):
+        of_text = saved(repeated_ranges(rows, depth, k).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("ranges")), "ranges", lasting=True)
     joined = whole.join(of_text, ["id", "tag"], "left").select("id", "text", "ranges", *["carried"] * bool(carry))
 
     def cut(batches):
