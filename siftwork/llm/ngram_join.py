@@ -302,23 +302,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
 
 def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str) -> DataFrame:
     """Rows (tile, side, key, node, label, n, bits), dealt and sorted by tile, of the keys (key, node) that lie in more
-    than one component."""
+    than one component. Keys of the same nodes are one: the new key is a hash of its nodes (two of one hash would
+    only make larger tiles)."""
     by_key = Window.partitionBy("key")
     known = signed.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
     placed = (
         keyed.join(known, "node")
         .withColumn("mixed", F.min("label").over(by_key) != F.max("label").over(by_key))
         .withColumn("blocks", F.ceil(F.count("*").over(by_key) / TILE).cast("int"))
+        .withColumn("group", F.xxhash64(F.count("*").over(by_key), F.bit_xor(F.xxhash64("node")).over(by_key)))
         .withColumn("own", F.floor((F.row_number().over(by_key.orderBy("n", "node")) - 1) / TILE).cast("int"))
         .where("mixed")
     )
     sides = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
+        F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "key",
+        F.col("group").alias("key"),
         "node",
         "label",
     )
+    # one row of a node in a tile, dealt as the join needs them
+    sides = sides.repartition("node").distinct()
     rows = sides.join(signed.select("node", "n", F.col(bits).alias("bits")), "node").select("tile", "side", "key", "node", "label", "n", "bits")
     return rows.repartition("tile").sortWithinPartitions("tile")
 
