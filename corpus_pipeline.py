@@ -23,10 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of linked documents, and of repeated rows one."""
     found = ngram_join.join_components(docs, n=4, percent=85)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source"))
-    return joined.withColumn("again", again).where("again = 1").select(docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one key for join and window, so texts are shuffled once
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    joined = docs.withColumn("_key", key).join(keep, "_key", "left_semi")
+    again = F.row_number().over(Window.partitionBy("_key", F.xxhash64("text")).orderBy("lang", "source"))
+    return joined.withColumn("_again", again).where("_again = 1").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
