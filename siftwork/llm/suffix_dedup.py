@@ -14,7 +14,8 @@ further left), judged on the input.
    windows, and all but the earliest are repeats.
 4. The byte ranges of repeats are united per text and cut out.
 Anchors with very many different runs are dealt out again by the bytes that a few neighbouring windows
-have in common, so no task must hold them all.
+have in common. Of these rows equal ones fold before any are gathered, and a key with very many different
+ones left is dealt window by window, where the earliest of each decides, so no task must hold a key's rows.
 """
 
 from __future__ import annotations
@@ -243,6 +244,39 @@ def _dealt_again(key: int, i: int, p: int, data: bytes, reach: int, depth: int):
 
 
 FINE = "id long, place long, n long, key long, bytes binary"
+WINDOW = "a long, b long, id long, place long"
+
+
+def _single_windows(depth: int):
+    """Rows (id, place, bytes) as rows (a, b, id, place) of their windows, a and b a digest of the window."""
+
+    def work(batches):
+        for batch in batches:
+            ids, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            n = place % LO
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            digests = b"".join(hashlib.blake2b(d[s : s + depth], digest_size=16).digest() for d, m in zip(batch.column(2).to_pylist(), n.tolist(), strict=True) for s in range(m))
+            a, b = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, np.repeat(ids, n), np.repeat(place - n, n) + at * LO + 1)], names=["a", "b", "id", "place"])
+
+    return work
+
+
+def _hot_ranges(dealt: DataFrame, depth: int) -> DataFrame:
+    """Ranges (id, place, n) of repeated windows among dealt rows (key, id, place, bytes), each (id, place) once.
+
+    Of rows with equal bytes all but the earliest are repeats; they fold in every task and the others are found by
+    their own (id, place), so no task meets all rows of a key. Keys with more than HOT_RUNS different rows go by
+    single windows in the same way (there are few such keys, as each has many rows), all others to suffix arrays.
+    """
+    folded = saved(dealt.groupBy("key", "bytes").agg(F.min(F.struct("id", "place")).alias("first")).select("key", "first.id", "first.place", "bytes"), "folded")
+    equal = dealt.select("id", "place").join(folded.select("id", "place"), ["id", "place"], "left_anti")
+    large = F.broadcast(saved(folded.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT_RUNS).select("key"), "large"))
+    few = folded.join(large, "key", "left_anti").select("key", "id", "place", "bytes").repartition("key").sortWithinPartitions("key", "id", "place")
+    single = saved(folded.join(large, "key", "left_semi").select("id", "place", "bytes").mapInArrow(_single_windows(depth), WINDOW), "windows")
+    earliest = single.groupBy("a", "b").agg(F.min(F.struct("id", "place")).alias("first")).select("first.id", "first.place")
+    again = equal.unionAll(single.select("id", "place").join(earliest, ["id", "place"], "left_anti"))
+    return few.mapInArrow(_hot_suffix_arrays(depth), FINE).select("id", "place", "n").unionAll(again.select("id", "place", F.col("place").bitwiseAND(F.lit(LO - 1)).alias("n")))
 
 
 def _fine_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -328,9 +362,8 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, bits: int =
     asked = met.where(F.col("role").isin(MARK, LOOK)).select("h", "id", "place", "role", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("long").alias("reach"))
     met_again = asked.unionAll(with_bytes.select("h", "id", "place", F.lit(BYTES).alias("role"), "bytes", "reach"))
     fine = saved(met_again.repartition("h").sortWithinPartitions("h", "id", "place", "role").mapInArrow(_suffix_arrays(depth), FINE), "fine")
-    dealt = fine.where("key is not null").select("key", "id", "place", "bytes").repartition("key").sortWithinPartitions("key", "id", "place")
-    hot = dealt.mapInArrow(_hot_suffix_arrays(depth), FINE)
-    ranges = met.where(F.col("role") == REPEAT).select("id", "place", "n").unionAll(fine.where("key is null").select("id", "place", "n")).unionAll(hot.select("id", "place", "n"))
+    hot = _hot_ranges(fine.where("key is not null").select("key", "id", "place", "bytes"), depth)
+    ranges = met.where(F.col("role") == REPEAT).select("id", "place", "n").unionAll(fine.where("key is null").select("id", "place", "n")).unionAll(hot)
     return ranges.select("id", F.shiftright("place", 39).alias("tag"), F.shiftright("place", 8).bitwiseAND(F.lit((1 << 31) - 1)).alias("lo"), "n")
 
 

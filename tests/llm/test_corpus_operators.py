@@ -127,6 +127,57 @@ def test_remove_repeats(spark, monkeypatch, depth, hot):
         assert r.tag == "clash"
 
 
+@pytest.mark.parametrize("length", [100, 150])
+def test_no_task_holds_a_common_passage(spark, monkeypatch, length):
+    """A passage inside more texts than HOT_RUNS, each with other surroundings."""
+    most, arrays = suffix_dedup.HOT_RUNS, suffix_dedup._hot_suffix_arrays
+
+    def counted(depth):
+        def work(batches):
+            held = {}
+
+            def watched():
+                for batch in batches:
+                    for key in batch.column(0).to_pylist():
+                        held[key] = held.get(key, 0) + 1
+                        assert held[key] <= most, "one task holds all rows of a key"
+                    yield batch
+
+            yield from arrays(depth)(watched())
+
+        return work
+
+    monkeypatch.setattr(suffix_dedup, "_hot_suffix_arrays", counted)
+    rng = random.Random(length)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = word(length)
+    docs = [(i, word(80) + passage + word(80)) for i in range(most + 400)] + [(None, "x" + passage), (9999, passage[:100] + passage[-100:])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    want, texts = repeats(docs, 100), dict(docs)
+    assert len(got) == len(docs)
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[(r.doc_id, texts[r.doc_id])] for r in got)
+
+
+def test_windows_of_dealt_rows(spark, monkeypatch):
+    """Few and many different rows of a key, equal ones among them, give what a plain scan gives."""
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 3)
+    rng = random.Random(5)
+    rows = []
+    for key, size in ((1, 2), (2, 3), (3, 40)):
+        for i in range(size):
+            n = rng.randint(1, 8)
+            rows.append((key, rng.randint(-3, 30), (len(rows) << 8) * 16 + n, bytes(rng.choice([2 * key, 2 * key + 1]) for _ in range(n + 9))))
+    seen, want = set(), set()
+    for key, i, p, d in sorted(rows, key=lambda r: r[1:3]):
+        for s in range(p % 256):
+            if d[s : s + 10] in seen:
+                want.add((i, (p >> 8) + s))
+            seen.add(d[s : s + 10])
+    df = spark.createDataFrame([(k, i, p, bytearray(d)) for k, i, p, d in rows], "key long, id long, place long, bytes binary").repartition(3)
+    got = [(r.id, (r.place >> 8) + s) for r in suffix_dedup._hot_ranges(df, 10).collect() for s in range(r.n)]
+    assert set(got) == want
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
