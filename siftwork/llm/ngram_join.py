@@ -381,6 +381,13 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
                 key, node = part_keys(values[keep], np.append(0, np.cumsum(size[fresh])), nodes[fresh], bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
+    def named(batches):
+        for batch in batches:
+            nodes = np.concatenate([np.zeros(0, np.int64), *[node_ids(values, edges) for _, values, edges in shingle_sets(batch.column(0), n)]])
+            at = np.unique(nodes, return_index=True)[1]
+            at = at[nodes[at] != 0]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), batch.column(0).take(pa.array(at))], names=["node", "text"])
+
     def signatures(batches):
         for batch in batches:
             for first, values, edges in shingle_sets(batch.column(1), n):
@@ -395,11 +402,10 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
     stars = groups.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
     stars = saved(stars, "stars")
     involved = groups.select("node").distinct()
-    # repeated rows of one id and one text give a node one text
     heads = saved(table.where("n > 0").groupBy("node").agg(F.min("id").alias("head")).join(involved, "node", "left_semi"), "heads")
-    # only texts of nodes that share a key move from here on
-    near = IdFilter(heads, "head").keep(rows, "id").join(heads, F.col("id").eqNullSafe(F.col("head"))).select("node", "text")
-    texts = saved(near, "texts")
+    # only texts of ids that head a node sharing a key move from here on; as rows of one id may have other texts, each text's node is made again
+    near = IdFilter(heads, "head").keep(rows, "id").select("text").mapInArrow(named, "node long, text string")
+    texts = saved(near.repartition("node").dropDuplicates(["node"]), "texts")
     signed = saved(texts.mapInArrow(signatures, "node long, n long, short binary, long binary"), "signatures")
 
     pairs = stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))

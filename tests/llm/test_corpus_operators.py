@@ -48,6 +48,20 @@ def test_join_components(spark, monkeypatch, rounds, tile):
     assert sorted(map(tuple, ngram_join.join_components(df).collect()), key=str) == sorted(components(docs), key=str)
 
 
+def test_join_of_ids_with_several_texts(spark):
+    """Rows of a null id and of one id with different texts keep the links of their own texts."""
+    rng = random.Random(11)
+    docs = []
+    for i in range(12):
+        base = [rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(60)]
+        copy = [*base[:30], "changed", *base[31:]]
+        docs += [(None if i % 2 else 7, " ".join(base)), (None if i % 3 else 7, " ".join(copy)), (100 + i, " ".join([*base, "more"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.join_components(df).collect()), key=str) == sorted(components(docs), key=str)
+    near = spark.createDataFrame([d for d in docs if d[0] is None or d[0] == 7], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.join_components(near).collect()), key=str) == sorted(components([d for d in docs if d[0] is None or d[0] == 7]), key=str)
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
