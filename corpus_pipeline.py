@@ -25,17 +25,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngram_join.join_components(docs, n=4, percent=85)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one key for join and window, so texts are shuffled once
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    joined = docs.withColumn("_key", key).join(keep, "_key", "left_semi")
-    again = F.row_number().over(Window.partitionBy("_key", F.xxhash64("text")).orderBy("lang", "source"))
-    return joined.withColumn("_again", again).where("_again = 1").select(docs.columns)
+    # rows move as one struct, so further columns may have any name
+    joined = docs.select(F.struct("*").alias("row"), key.alias("_key")).join(keep, "_key", "left_semi")
+    again = F.row_number().over(Window.partitionBy("_key", F.xxhash64("row.text")).orderBy("row.lang", "row.source"))
+    return joined.withColumn("_again", again).where("_again = 1").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every byte of a 100-byte string that occurs earlier; documents of which only white space is left go."""
-    cut = suffix_dedup.remove_repeats(docs, depth=100, carry=("lang", "source", "n_chars"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = docs.select("doc_id", "text", F.struct(*others).alias("others"))
+    cut = suffix_dedup.remove_repeats(carried, depth=100, carry=("others",))
     changed = F.col("n_removed") > 0
-    out = cut.select("doc_id", "text", "lang", "source", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), "n_removed")
-    return out.where(~changed | F.col("text").rlike(r"\S")).select(docs.columns)
+    found = {c: F.col("others").getField(c).alias(c) for c in others} | {c: F.col(c) for c in ("doc_id", "text")}
+    if "n_chars" in found:
+        found["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("others.n_chars")).alias("n_chars")
+    return cut.where(~changed | F.col("text").rlike(r"\S")).select(*[found[c] for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._bytes import BLOCK_BYTES, U, blocks, mix, powers, prefix_sums, range_hashes
 from ._spark import interim, saved
@@ -412,6 +413,6 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int | None = None, id
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(span), pa.binary(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], *batch.columns[3:]], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "text", *["carried"] * bool(carry)])
 
-    carried = f", carried {whole.schema['carried'].dataType.simpleString()}" if carry else ""
-    done = joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string, text string" + carried)
+    kinds = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string, text string")
+    done = joined.mapInArrow(cut, StructType([*kinds.fields, *[whole.schema["carried"]] * bool(carry)]))
     return done.select(F.when(F.col("id") != NULL_ID, F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "text", *[F.col(f"carried.{c}").alias(c) for c in carry])

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import components, repeats
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwork.llm import html_extract, ngram_join, suffix_dedup, suffix_sort
@@ -262,3 +263,23 @@ def test_pipeline_stages(spark, sf_dir):
             assert all(len(r.text) <= len(before[r.doc_id]) for r in rows)
         else:
             assert sorted((r.doc_id, r.start, r.ids_crc32) for r in rows) == sorted((r.doc_id, r.start, r.ids_crc32) for r in pack(spark.createDataFrame(list(before.items()), "doc_id long, text string"), vocabulary()).collect())
+
+
+def test_pipeline_stages_with_further_columns(spark, sf_dir):
+    """Further columns stay with their rows whatever their names; null ids and an empty table pass."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["id", "tag", "n_removed", "spans", "kept", "others", "carried", "row", "_key", "_again", "a b"]
+    first = docs.collect()[0]
+    docs = docs.unionAll(spark.createDataFrame([(None, first.text + " and some other words at its end", first.lang, first.source, 1), (None, first.text, first.lang, first.source, 2)], docs.schema))
+    wide = docs.select(*[F.concat_ws("|", F.lit(n), F.col("text").substr(1, 5)).alias(n) for n in names[:5]], "*", *[F.struct(F.lit(n).alias("x y"), F.col("lang")).alias(n) for n in names[5:]])
+    got = []
+    for table in (docs, wide, wide.limit(0)):
+        kept = table = spark.createDataFrame(table.toArrow(), table.schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = spark.createDataFrame(stage(spark, kept, sf_dir).toArrow(), table.schema)
+            assert kept.columns == table.columns, name
+        got.append(kept.collect())
+        assert (pack(kept, vocabulary()).count() > 0) == bool(got[-1])
+    plain, rows, none = ([(r.doc_id, r.text, r.n_chars) for r in x] for x in got)
+    assert plain and sorted(plain, key=str) == sorted(rows, key=str) and none == []
+    assert all(r[n] == (n, r.lang) for r in got[1] for n in names[5:]) and all(r[n].split("|")[0] == n for r in got[1] for n in names[:5])
