@@ -7,8 +7,9 @@
 2. Classes. Tokens of a host with one vector form an equivalence class. A class is valid if it is large
    (two tokens or more) and frequent; its tokens are the template's. Classes nest by path.
 3. Slots. What lies in a template token and in no nested one is a slot. The content slot is the deepest
-   once-a-page token that holds most of the host's text outside menus and the like. Slots inside it whose
-   text never varies, or whose names tell menus, notices or comments, are dropped.
+   once-a-page token that holds nearly all of the host's varying text outside links, menus and the like, or an
+   ancestor of it below the body that adds more such text than links. Slots inside it whose text never varies
+   while the pages do, or whose names tell menus, notices or comments, are dropped.
 4. Extraction. The text of the remaining slots is read from each page, block by block.
 Hosts with few pages use the template of all pages together.
 """
@@ -29,7 +30,7 @@ from ._bytes import mix
 from .url_filter import split_url
 
 FEW_PAGES = 3
-FREQUENT, MOST_TEXT, CONSTANT_PAGES = 0.5, 0.5, 5
+FREQUENT, NEARLY_ALL, MOST_TEXT, CONSTANT_PAGES = 0.5, 0.9, 0.5, 5
 FINGERPRINT_BITS = 38  # sums of 2**24 of them stay in a long
 ALL = ""
 
@@ -119,17 +120,22 @@ def events(source: str) -> Iterator[tuple[str, Node | None, str]]:
         yield "text", stack[-1] if stack else None, source[at:]
 
 
-def page_tokens(source: str) -> dict[str, list]:
-    """path -> [count, own and inner text length, inner link text length, hash of inner text, named as other]."""
+def page_tokens(source: str) -> tuple[dict[str, list], int]:
+    """path -> [count, own and inner text length, inner link text length, hash of inner text, named as other, length of
+    inner text outside links and others]; and a hash of the page's text outside others."""
     out: dict[str, list] = {}
+    whole = 0
     for kind, node, text in events(source):
         if node is None or kind == "block":
             continue
         if kind == "open":
-            entry = out.setdefault(node.path, [0, 0, 0, 0, node.other])
+            entry = out.setdefault(node.path, [0, 0, 0, 0, node.other, 0])
             entry[0] += 1
         elif text := text.strip():
             link, h = "/a" in node.path and re.search(r"/a(?=[./]|$)", node.path) is not None, hash_text(text)
+            plain = len(text) * (not link and not node.other)
+            if not node.other:
+                whole = (whole * 31 + h) & 0x7FFFFFFF
             path = node.path
             while path:
                 entry = out.get(path)
@@ -137,8 +143,9 @@ def page_tokens(source: str) -> dict[str, list]:
                     entry[1] += len(text)
                     entry[2] += len(text) * link
                     entry[3] = (entry[3] * 31 + h) & 0x7FFFFFFF
+                    entry[5] += plain
                 path = path[: path.rfind("/")]
-    return out
+    return out, whole
 
 
 def hash_text(text: str) -> int:
@@ -147,7 +154,7 @@ def hash_text(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-TOKEN = "host string, path string, pages long, total long, vector long, text long, links long, low long, high long, other boolean"
+TOKEN = "host string, path string, pages long, total long, vector long, text long, links long, plain long, low long, high long, texts long, other boolean"
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
@@ -160,24 +167,29 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             for page, (url, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 weight = int(ids[page]) >> (64 - FINGERPRINT_BITS)
                 host = split_url(url)[0]
-                for path, (n, text, links, h, other) in page_tokens(source or "").items():
+                tokens, whole = page_tokens(source or "")
+                bit = np.uint64(1) << (mix(np.array([whole], np.uint64))[0] >> np.uint64(58))
+                bit = int(bit.astype(np.int64))
+                for path, (n, text, links, h, other, plain) in tokens.items():
                     for key in ((host, path), (ALL, path)) if host else ((ALL, path),):
-                        s = sums.setdefault(key, [0, 0, 0, 0, 0, 1 << 40, -1, other])
+                        s = sums.setdefault(key, [0, 0, 0, 0, 0, 0, 1 << 40, -1, 0, other])
                         s[0] += 1
                         s[1] += n
                         s[2] = (s[2] + n * weight) & ((1 << FINGERPRINT_BITS) - 1)
                         s[3] += text
                         s[4] += links
-                        s[5], s[6] = min(s[5], h), max(s[6], h)
+                        s[5] += plain
+                        s[6], s[7] = min(s[6], h), max(s[7], h)
+                        s[8] |= bit
             rows = [(*k, *v) for k, v in sums.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 10
-            kinds = (pa.string(), pa.string(), *[pa.int64()] * 7, pa.bool_())
+            columns = list(zip(*rows, strict=True)) or [[]] * 12
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 9, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in TOKEN.split(", ")])
 
     return (
         pages.mapInArrow(count, TOKEN)
         .groupBy("host", "path")
-        .agg(*[F.sum(c).alias(c) for c in ("pages", "total", "vector", "text", "links")], F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("other").alias("other"))
+        .agg(*[F.sum(c).alias(c) for c in ("pages", "total", "vector", "text", "links", "plain")], F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("texts").alias("texts"), F.bool_or("other").alias("other"))
         .withColumn("vector", F.col("vector") % (1 << FINGERPRINT_BITS))
     )
 
@@ -192,19 +204,37 @@ def templates(vectors: DataFrame) -> DataFrame:
     t = vectors.withColumn("n_pages", F.max("pages").over(host)).where(F.col("pages") >= FREQUENT * F.col("n_pages"))
     t = t.withColumn("class_size", F.count("*").over(Window.partitionBy("host", "vector", "pages", "total")))
     t = t.withColumn("depth", F.size(F.split("path", "/"))).where("not other")
-    t = t.withColumn("page_text", F.max("text").over(host))
     once = F.col("total") == F.col("pages")
+    # constant: its pages have several texts (each sets one bit of 64, so never counted too high), it has one
+    constant = once & (F.col("low") == F.col("high")) & (F.bit_count("texts") >= CONSTANT_PAGES) & (F.col("pages") >= 0.8 * F.col("n_pages"))
+    fixed = t.where(constant)
+    above = fixed.select("host", "path", "plain", F.regexp_replace("path", "/[^/]*$", "").alias("parent"))
+    outer = above.join(fixed.select("host", F.col("path").alias("parent")), ["host", "parent"], "left_anti")
+    ancestors = F.transform(F.sequence(F.lit(2), F.size(F.split("path", "/"))), lambda d: F.array_join(F.slice(F.split("path", "/"), F.lit(1), d), "/"))
+    unvaried = outer.select("host", F.explode(ancestors).alias("path"), "plain").groupBy("host", "path").agg(F.sum("plain").alias("unvaried"))
+    t = t.join(unvaried, ["host", "path"], "left").withColumn("varying", F.col("plain") - F.coalesce("unvaried", F.lit(0)))
+    t = t.withColumn("most", F.max("varying").over(host)).withColumn("all_plain", F.max("plain").over(host))
     valid = once & (F.col("class_size") >= 2)
     named = F.col("path").rlike(r"/(article|main)([./]|$)") & ~F.col("path").rlike(r"/(article|main)[^/]*/")
-    holds = valid & (F.col("text") >= MOST_TEXT * F.col("page_text")) & (2 * F.col("links") <= F.col("text")) & ~F.col("path").rlike(r"/(p|h[1-6]|b|i|em|strong|span|a|blockquote|font)[^/]*$")
+    slot = valid & ~F.col("path").rlike(r"/(p|h[1-6]|b|i|em|strong|span|a|blockquote|font)[^/]*$")
+    holds = slot & (F.col("most") > 0) & (F.col("varying") >= NEARLY_ALL * F.col("most")) & (2 * F.col("links") <= F.col("text"))
     choice = t.groupBy("host").agg(
         F.max("n_pages").alias("n_pages"),
+        F.max("all_plain").alias("all_plain"),
         F.max_by("path", F.when(named & valid, F.col("text"))).alias("named"),
-        F.max_by("path", F.when(holds, F.struct("depth", "text", "path"))).alias("deepest"),
+        F.max_by(F.struct("path", "varying", "links"), F.when(holds, F.struct("depth", "varying", "path"))).alias("deepest"),
     )
-    constant = once & (F.col("low") == F.col("high")) & (F.col("pages") >= CONSTANT_PAGES) & (F.col("pages") >= 0.8 * F.col("n_pages")) & F.col("path").rlike(r"\.[^/]*$")
-    fixed = t.where(constant).groupBy("host").agg(F.collect_set("path").alias("constant"))
-    return choice.join(fixed, "host", "left").select("host", "n_pages", F.coalesce("named", "deepest").alias("content"), F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
+    around = t.where(slot & ~F.col("path").rlike(r"/(html|body)[^/]*$")).select("host", "path", "depth", "varying", "links").join(choice.select("host", "deepest"), "host")
+    around = around.where(F.col("deepest.path").startswith(F.concat("path", F.lit("/"))) & (F.col("varying") > F.col("deepest.varying")) & (F.col("links") - F.col("deepest.links") <= F.col("varying") - F.col("deepest.varying")))
+    climbed = around.groupBy("host").agg(F.max_by("path", F.struct("varying", "depth")).alias("climbed"))
+    choice = choice.join(climbed, "host", "left").withColumn("content", F.coalesce("named", "climbed", "deepest.path"))
+    # the content slot, what is around it and what holds most of it stay, constant or not
+    chosen = choice.select("host", "all_plain", "content").join(t.select("host", F.col("path").alias("content"), F.col("plain").alias("slot_plain")), ["host", "content"], "left")
+    below = F.col("content").isNull() | F.col("path").startswith(F.concat("content", F.lit("/")))
+    kept = (F.col("content") == F.col("path")) | F.col("content").startswith(F.concat("path", F.lit("/"))) | (below & (F.col("plain") >= MOST_TEXT * F.coalesce("slot_plain", "all_plain")))
+    named_fixed = fixed.where(F.col("path").rlike(r"\.[^/]*$")).select("host", "path", "plain").join(chosen, "host").where(~F.coalesce(kept, F.lit(False)))
+    gone = named_fixed.groupBy("host").agg(F.collect_set("path").alias("constant"))
+    return choice.join(gone, "host", "left").select("host", "n_pages", "content", F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
 
 
 def main_text(source: str, content: str | None, constant: frozenset[str]) -> str:
@@ -246,7 +276,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = saved(templates(token_vectors(rows)), "templates")
+    found = saved(templates(saved(token_vectors(rows), "tokens")), "templates")
     every = found.where(F.col("host") == ALL).select("content", "constant").first()
     all_content, all_constant = (every["content"], frozenset(every["constant"])) if every else (None, frozenset())
     own = found.where((F.col("host") != ALL) & (F.col("n_pages") >= FEW_PAGES)).select("host", "content", "constant")

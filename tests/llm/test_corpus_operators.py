@@ -229,6 +229,34 @@ def test_templates_find_unnamed_articles(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_articles_in_sibling_blocks(spark):
+    """Heading and lead beside the body, and an article in two blocks, are read whole."""
+    words = lambda i, j, n: " ".join(f"w{i}x{j}x{k}" for k in range(n))
+    top = '<div class="top"><a href=1>Home</a></div><div class="x9">'
+    rows, want = [], {}
+    for i in range(12):
+        parts = [words(i, 0, 3), words(i, 1, 10), words(i, 2, 80)]
+        rows.append((i, f"http://lead.x/{i}", f'<html><body>{top}<div class="post"><h1 class="t">{parts[0]}</h1><div class="lead">{parts[1]}</div><div class="body"><p>{parts[2]}</p></div></div></div></body></html>'))
+        want[i] = "\n".join(parts)
+        parts = [words(i, 3, 60), words(i, 4, 40)]
+        rows.append((100 + i, f"http://split.x/{i}", f'<html><body>{top}<div class="one">{parts[0]}</div><div class="two">{parts[1]}</div></div></body></html>'))
+        want[100 + i] = "\n".join(parts)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_hosts_of_identical_pages(spark):
+    """Copies of one article under different URLs keep their text; a notice on varying pages goes."""
+    article = " ".join(f"word{k}" for k in range(90))
+    rows = [(i, f"http://same.x/{i}", f'<html><body><article class="a"><p>{article}</p></article></body></html>') for i in range(9)]
+    rows += [(100 + i, f"http://slot.x/{i}", f'<html><body><div class="content"><p>{article}</p></div><div class="right">Seen {i}</div></body></html>') for i in range(12)]
+    rows += [(200 + i, f"http://vary.x/{i}", f'<html><body><article class="a"><p>{i} {article}</p><div class="box">Read our terms.</div></article></body></html>') for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == article for i in range(9))
+    assert all(article in got[100 + i] for i in range(12))
+    assert all(got[200 + i] == f"{i} {article}" for i in range(12))
+
+
 def test_articles_of_the_table(spark, sf_dir):
     import html
     import re
