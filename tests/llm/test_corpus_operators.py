@@ -1,6 +1,7 @@
 """Operators that compare documents or pages with each other, and the pipeline."""
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from brute import components, repeats
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwork.llm import html_extract, ngram_join, suffix_dedup, suffix_sort
+from siftwork.llm import html_extract, ngram_join, suffix_dedup, suffix_sort, url_filter
 from siftwork.llm._spark import components as spark_components
 from siftwork.llm.packing import pack
 from siftwork.llm.queries import op2_html_extraction, vocabulary
@@ -257,16 +258,149 @@ def test_hosts_of_identical_pages(spark):
     assert all(got[200 + i] == f"{i} {article}" for i in range(12))
 
 
-def test_articles_of_the_table(spark, sf_dir):
+def article_of(source, tag="article"):
     import html
     import re
 
+    inner = re.search(f"<{tag}[^>]*>(.*?)</{tag}>", source, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_articles_of_the_table(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in op2_html_extraction(spark, sf_dir).collect():
-        source = pages[r.page_id]
-        inner = source[source.index("<article>") + 9 : source.index("</article>")]
-        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", inner)]
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == article_of(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def without_names(spark, sf_dir):
+    """The table's pages with all telling tags made divs and class names that differ from host to host, some hosts without."""
+    import re
+
+    out = []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        host, source = url_filter.split_url(r.url)[0], r.html
+        for i, part in enumerate(("nav", '(?:div class="ad")', "article", "footer")):
+            label = f' class="{"".join(random.Random(host + part).choices("bcdfgkmz", k=6))}"' if len(host) % 3 else ""
+            source = re.sub(f"<{part}>", f"<div{label} data-part={i}>", source)
+        out.append((r.page_id, r.url, re.sub("</(nav|article|footer)>", "</div>", source), article_of(r.html)))
+    return out
+
+
+def test_template_decides_without_names(spark, sf_dir):
+    """Without telling tags and names the classes find the article; without a template all of the page is read."""
+    rows = without_names(spark, sf_dir)
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = {r[0]: r[3] for r in rows}
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    many = {h for h, n in Counter(url_filter.split_url(r[1])[0] for r in rows).items() if n >= 3}
+    compared = {r[0] for r in rows if url_filter.split_url(r[1])[0] in many}
+    assert len(compared) >= 10 and all(got[i] == want[i] for i in compared)
+    assert all(html_extract.read_slots(r[2], None) != want[r[0]] for r in rows)
+
+
+def plain_templates(pages):
+    """Content tokens of a host by real occurrence vectors, read with the library's parser: chains of (tag, class)."""
+    from html.parser import HTMLParser
+
+    counts, texts = defaultdict(lambda: [0] * len(pages)), defaultdict(lambda: [""] * len(pages))
+    linked = Counter()
+
+    class Reader(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.page, self.open = page, [()]
+            counts[()][page] += 1
+
+        def handle_starttag(self, tag, attrs):
+            token = (*self.open[-1], (tag, dict(attrs).get("class", "")))
+            counts[token][self.page] += 1
+            self.open.append(token)
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            for i in range(len(self.open[-1]) + 1):
+                texts[self.open[-1][:i]][self.page] += data
+                linked[self.open[-1][:i]] += len(data) * any(t == "a" for t, _ in self.open[-1])
+
+    for i, source in enumerate(pages):
+        Reader(i).feed(source)
+    frequent = {t: tuple(v) for t, v in counts.items() if 2 * sum(map(bool, v)) >= len(pages)}
+    place = lambda t: next((t[:i] for i in range(len(t) - 1, -1, -1) if frequent[t[:i]] != frequent[t]), None)
+    parts = Counter((v, place(t)) for t, v in frequent.items())
+    valid = [t for t, v in frequent.items() if parts[v, place(t)] > 1 and max(v) == 1 and (not t or t[-1][0] in ("html", "body", "div"))]
+    fixed = {t for t, v in frequent.items() if t and max(v) == 1 and sum(v) >= 0.8 * len(pages) and len({x for x, n in zip(texts[t], v, strict=True) if n}) == 1}
+    varying = lambda t: sum(map(len, texts[t])) - linked[t] - sum(sum(map(len, texts[f])) for f in fixed if f[: len(t)] == t and not any(f[:i] in fixed for i in range(len(f))))
+    headed = {t[:i] for t in frequent if t and t[-1][0] == "h1" for i in range(len(t))}
+    return max((t for t in valid if varying(t) >= (0.7 if t in headed else 0.9) * varying(()) and 2 * linked[t] <= sum(map(len, texts[t]))), key=lambda t: (t in headed and len(t) > 2, len(t), varying(t)))
+
+
+def test_templates_equal_plain_classes(spark):
+    """Vectors kept as sums give the content slot that real vectors give, on random nested layouts."""
+    for seed in range(25):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))  # noqa: E731, B023
+        name = [word() for _ in range(12)]
+        depth, where = rng.randint(0, 3), rng.randint(0, 1)
+        pages = []
+        for i in range(rng.randint(8, 20)):
+            menu = f'<div class="{name[0]}">' + "".join(f'<div class="{name[1]}"><a href="x">{word()}</a></div>' for _ in range(rng.randint(1, 4))) + "</div>"
+            note = f'<div class="{name[2]}">Read our terms of use.</div>' if rng.random() < 0.97 or i < 4 else ""
+            body = "".join(f"<p>{' '.join(word() for _ in range(30))}</p>" for _ in range(rng.randint(1, 5)))
+            inner = f'<div class="{name[3]}"><h1>{word()}</h1>{note * where}{body}</div>'
+            for d in range(depth):
+                inner = f'<div class="{name[4 + d]}">{inner}</div>'
+            pages.append(f'<html><body>{menu}{note * (1 - where)}{inner}<div class="{name[10]}">{word()}</div></body></html>')
+        want = plain_templates(pages)
+        sums: dict = {}
+        for i, p in enumerate(pages):
+            for t in html_extract.page_tokens(p, weight=rng.getrandbits(38)):
+                sums.setdefault(t.token, []).append(t)
+        merged = [ts[0]._replace(pages=len(ts), **{f: sum(getattr(t, f) for t in ts) for f in ("total", "text", "links", "plain")}, vector=sum(t.vector for t in ts) % (1 << 38), low=min(t.low for t in ts), high=max(t.high for t in ts), texts=-1) for ts in sums.values()]
+        frequent = [t for t in merged if 2 * t.pages >= len(pages)]
+        content = html_extract.deduce(frequent).content
+        by_id = {t.token: t for t in frequent}
+        chain, at = [], by_id[next(iter(content))]
+        while at.token != html_extract.ROOT:
+            tag, _, label = at.label.partition(".")
+            chain.insert(0, (tag, label))
+            at = by_id[at.parent]
+        assert len(content) == 1 and tuple(chain) == want, seed
+
+
+def test_equal_pages_keep_their_text(spark):
+    """However many copies of a page a host has, and whatever the element is called."""
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = []
+    for copies in (1, 2, 4, 5, 6, 40):
+        for kind in ("<article>|</article>", '<div class="content">|</div>', '<div class="qxz">|</div>'):
+            page = kind.replace("|", f"<p>{text}</p>")
+            rows += [(f"http://h{copies}{len(kind)}.x/{i}", f"<html><body>{page}</body></html>") for i in range(copies)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract(df).collect()} == {text}
+
+
+def test_names_and_broken_markup():
+    """Names tell other parts only as a whole; quotes are read as HTML does; slashes in names do no harm."""
+    keep = ['<div class="share price">T</div>', '<div class="ad-hoc">T</div>', '<h2 class="related">T</h2>', '<section id="comments-on-law">T</section>', '<div class="w-1/2">T</div>', "<p title=it's>T</p>", '<p title="a>b">T</p>', "<p title='a>b' x=\"'\">T</p>", "<p\ntitle = 'x'>T</p>"]
+    drop = ['<div class="share">T</div>', '<div class="comment-list">T</div>', '<div id="comments">T</div>', "<div class=adSlot>T</div>", '<aside>T</aside>', "<form>T</form>", '<div role="navigation">T</div>', "<script>T</script x>", "<style>T</style>", "<!-- > T -->", "<svg><text>T</text></svg>"]
+    for part in keep:
+        assert html_extract.main_text(f"<html><body><article><h1>Head</h1><p>{'word ' * 40}</p>{part}</article></body></html>", ()).endswith("\nT"), part
+    for part in drop:
+        assert html_extract.main_text(f"<html><body><article><h1>Head</h1><p>{'word ' * 40}</p>{part}</article></body></html>", ()).endswith("word"), part
+    assert html_extract.main_text('<p title="x>Hello</p>', ()) == "Hello"
+    assert html_extract.main_text("<a href=it's>Hello</a>", ()) == "Hello"
+    assert html_extract.main_text("<p>a<!-->b<!--->c</p><svg/>d<svg>e</svg>f", ()) == "abc\ndf"
+
+
+def test_long_and_deep_pages():
+    deep = "<div>" * 30_000 + "text" + "</div>" * 30_000
+    assert html_extract.main_text(deep, ()) == "text"
+    assert html_extract.main_text("<b>" * 30_000 + "text", ()) == "text"
+    many = "".join(f'<p class="c{i}">paragraph number {i}</p>' for i in range(60_000))
+    assert html_extract.main_text(f"<body><div>{many}</div></body>", ()).count("\n") == 59_999
 
 
 def test_pipeline_stages(spark, sf_dir):
