@@ -3,7 +3,8 @@
 The sketch is a log-bucket histogram: a value x lies in bucket ceil(log(x) / log(GAMMA)), so counts of
 two parts of a table simply add up, in any order, and a quantile is right within half of GAMMA - 1. It
 is built by one partial aggregation (language, source, measure, bucket), so a hot source costs each task
-as many rows as it has buckets. Thresholds are joined back by language and source.
+as many rows as it has buckets. Thresholds are joined back by language and source. Sketches of small groups
+give way to their language's, which is their sum over sources, and that to the corpus's.
 """
 
 from __future__ import annotations
@@ -71,21 +72,29 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
 @dataclass(frozen=True)
 class Rules:
     """min_words and max_repeat_percent are the base rule. The adaptive rule drops a text one of whose ratios lies
-    above max(floor, high + reach * (high - low)), where low and high are that ratio's quantiles in its language and
-    source. The default quantiles stay with ordinary texts while under half of a group is junk."""
+    above high + reach * (high - low), where low and high are quantiles of that ratio in its language and source.
+    There is no fixed cutoff. The default quantiles stay with ordinary texts while under half of a group is junk.
+
+    For the quantiles, each ratio is taken of `more` counts more in both its parts: a text of 60 words without
+    a symbol is no proof that the group's texts have under one in 60. So groups of short texts, whose ratios
+    say little, have wide limits, and groups of long texts narrow ones. The judged ratio is taken as it is."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     quantiles: tuple[float, float] = (0.25, 0.5)
-    reach: float = 8.0
-    #: ratio -> floor below which no text is dropped
-    ratios: tuple[tuple[str, float], ...] = (("symbol_ratio", 0.10), ("dup_line_ratio", 0.50), ("repeat_ratio", 0.40), ("word_length", 15.0))
+    reach: float = 10.0
+    #: ratio -> more; a repeated window has several words, so repeated words come in larger steps than symbols
+    ratios: tuple[tuple[str, int], ...] = (("symbol_ratio", 2), ("dup_line_ratio", 2), ("repeat_ratio", 20), ("word_length", 0))
+    #: texts that pass the base rule below which a group takes its language's thresholds, and a language the corpus's
+    least_group: int = 20
+
 
+PARTS = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
 
-def _ratio(name: str):
-    per_word = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines", "repeat_ratio": "n_repeat_words", "word_length": "word_chars"}[name]
-    base = F.greatest(F.col("n_lines") if name == "dup_line_ratio" else F.col("n_words"), F.lit(1))
-    return (F.col(per_word) / base).alias(name)
+
+def _ratio(name: str, more: int):
+    above, below = PARTS[name]
+    return (F.col(above) + more) / F.greatest(F.col(below) + more, F.lit(1))
 
 
 def sketch(df: DataFrame, groups: list[str], ratios: list[str]) -> DataFrame:
@@ -101,7 +110,27 @@ def quantiles(sk: DataFrame, groups: list[str], qs: list[float]) -> DataFrame:
     run = F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()))
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA))
     cum = sk.withColumn("run", run).withColumn("total", F.sum("n").over(w)).withColumn("value", value)
-    return cum.groupBy(*groups, "measure").agg(*[F.min(F.when(F.col("run") >= F.lit(q) * F.col("total"), F.col("value"))).alias(f"q{i}") for i, q in enumerate(qs)])
+    return cum.groupBy(*groups, "measure").agg(F.max("total").alias("n"), *[F.min(F.when(F.col("run") >= F.lit(q) * F.col("total"), F.col("value"))).alias(f"q{i}") for i, q in enumerate(qs)])
+
+
+def thresholds(passing: DataFrame, rules: Rules) -> DataFrame:
+    """Per lang, source and measure of rows (lang, source, counts): the highest ratio that is kept, and the level it
+    comes from (0 the group, 1 its language, 2 the corpus)."""
+    from ._spark import saved
+
+    smoothed = passing.select("lang", "source", *[_ratio(r, more).alias(r) for r, more in rules.ratios])
+    sk = saved(sketch(smoothed, ["lang", "source"], [r for r, _ in rules.ratios]), "sketch")
+    # a quantile is taken at the upper end of its bucket, so that a group of equal texts keeps them
+    most = F.col("q1") * (1 + GAMMA) / 2 * (1 + 1e-9) + rules.reach * (F.col("q1") - F.col("q0"))
+    levels = []
+    for groups in (["lang", "source"], ["lang"], []):
+        merged = sk.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
+        levels.append(quantiles(merged, groups, list(rules.quantiles)).select(*groups, "measure", F.col("n").alias(f"n{len(levels)}"), most.alias(f"most{len(levels)}")))
+    own, lang, corpus = levels
+    lang = lang.withColumnRenamed("lang", "of_lang").withColumnRenamed("measure", "of")
+    joined = own.join(lang, own.lang.eqNullSafe(lang.of_lang) & (own.measure == lang.of)).drop("of_lang", "of").join(corpus, "measure")
+    level = F.when(F.col("n0") >= rules.least_group, 0).when(F.col("n1") >= rules.least_group, 1).otherwise(2)
+    return joined.select("lang", "source", "measure", F.when(level == 0, F.col("most0")).when(level == 1, F.col("most1")).otherwise(F.col("most2")).alias("most"), level.alias("level"))
 
 
 def judge_quality(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -128,12 +157,9 @@ def judge_quality(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
     counts = saved(counts, "quality")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     names = [r for r, _ in rules.ratios]
-    rated = counts.withColumn("base_failed", failed).select("*", *[_ratio(r) for r in names])
-    groups = ["lang", "source"]
-    q = quantiles(sketch(rated.where("not base_failed"), groups, names), groups, list(rules.quantiles))
-    fence = F.col("q1") + rules.reach * (F.col("q1") - F.col("q0"))
-    wide = q.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == r, F.greatest(F.lit(floor), fence))).alias(f"{r}_most") for r, floor in rules.ratios])
-    wide = wide.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[f"{r}_most" for r in names])
+    rated = counts.withColumn("base_failed", failed).select("*", *[_ratio(r, 0).alias(r) for r in names])
+    found = thresholds(rated.where("not base_failed"), rules)
+    wide = found.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(*[F.max(F.when(F.col("measure") == r, F.col("most"))).alias(f"{r}_most") for r in names])
     joined = rated.join(wide, rated.lang.eqNullSafe(wide.g_lang) & rated.source.eqNullSafe(wide.g_source), "left")
     n_failed = sum((F.coalesce(F.col(r) > F.col(f"{r}_most"), F.lit(False)).cast("int") for r in names), F.lit(0))
     return joined.select(F.col("id").alias(id_col), *MEASURES, "base_failed", (~F.col("base_failed") & (n_failed == 0)).alias("kept"), n_failed.alias("rules_failed"))

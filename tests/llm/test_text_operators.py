@@ -89,6 +89,9 @@ def test_base_counts(spark, sf_dir):
         assert tuple(r)[1:6] == counts
         assert r.base_failed == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
         assert not (r.kept and r.base_failed)
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want, _ = verdicts(docs, quality.Rules())
+    assert {r.doc_id: r.kept for r in queries.op7_quality_rules(spark, sf_dir).collect() if not r.base_failed} == want
 
 
 def test_sketches_merge_and_bound_quantiles(spark):
@@ -106,12 +109,63 @@ def test_sketches_merge_and_bound_quantiles(spark):
             assert abs(got - want) <= 0.011 * want + 1e-9
 
 
-def test_adaptive_thresholds_keep_ordinary_texts(spark):
+def verdicts(rows, rules):
+    """kept of each (id, text, lang, source) by exact counts in the same buckets, and the thresholds of each group."""
+    counts = {i: (*base_counts(t), (t or "").count("\n") + 1 if t is not None else 0) for i, t, _, _ in rows}
+    parts = {"symbol_ratio": (2, 0), "dup_line_ratio": (3, 5), "repeat_ratio": (4, 0), "word_length": (1, 0)}
+    good = [r for r in rows if counts[r[0]][0] >= rules.min_words and 100 * counts[r[0]][4] <= rules.max_repeat_percent * counts[r[0]][0]]
+    limits = {}
+    for name, more in rules.ratios:
+        a, b = parts[name]
+        for group in {r[2:] for r in good}:
+            for same in (lambda r: r[2:] == group, lambda r: r[2] == group[0], lambda r: True):  # noqa: B023
+                xs = sorted((counts[r[0]][a] + more) / max(counts[r[0]][b] + more, 1) for r in good if same(r))
+                if len(xs) >= rules.least_group:
+                    break
+            edges = [math.ceil(math.log(x) / math.log(quality.GAMMA)) if x > 0 else None for x in xs]
+            low, high = (0.0 if e is None else quality.GAMMA**e for e in (edges[math.ceil(q * len(xs)) - 1] for q in rules.quantiles))
+            limits[group, name] = high + rules.reach * (high - low) * 2 / (1 + quality.GAMMA)
+    fails = lambda r: any(counts[r[0]][parts[n][0]] / max(counts[r[0]][parts[n][1]], 1) > limits[r[2:], n] * (1 + 1e-6) for n, _ in rules.ratios)
+    return {r[0]: not fails(r) for r in good}, limits
+
+
+def quality_rows():
+    """Two sources of one language, one writing with symbols and one without, one of another language, and small ones."""
     rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
-    rows = [(i, " ".join(word() for _ in range(120)), "en", "s") for i in range(60)] + [(100 + i, " ".join(word() + "$$$" for _ in range(120)), "en", "s") for i in range(3)]
-    got = {r.doc_id: r.kept for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(3))
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, n)))
+    rows = []
+    for source, lang, n, symbols in (("plain", "en", 60, 0.0), ("code", "en", 60, 0.3), ("plain", "de", 40, 0.05), ("few", "en", 4, 0.0), (None, None, 5, 0.0), ("lone", "xx", 3, 0.5)):
+        for i in range(n):
+            rate = symbols * rng.uniform(0.5, 1.5) if i % 12 else 1.2 * (i % 24 > 0)
+            words = [word(14 if lang == "de" else 9) + "$" * (rng.random() < rate) for _ in range(rng.randint(60, 300))]
+            lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+            rows.append((len(rows), "\n".join(lines + lines[:1] * (i % 5 == 0) * 8), lang, source))
+    return rows + [(9000, None, "en", "plain"), (9001, "", "en", "code"), (9002, "short text", None, None)]
+
+
+def test_thresholds_come_from_the_groups(spark):
+    """Groups differ in their thresholds, and the verdicts are those of exact quantiles."""
+    rows, rules = quality_rows(), quality.Rules()
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, symbol_ratio string").repartition(5)
+    got = {r.doc_id: r for r in quality.judge_quality(df, rules).collect()}
+    want, limits = verdicts(rows, rules)
+    assert len(got) == len(rows) and {i for i, r in got.items() if not r.base_failed} == set(want)
+    assert {i: got[i].kept for i in want} == want and 0 < sum(want.values()) < len(want)
+    for name, _ in rules.ratios:
+        assert len({round(limits[g, name], 6) for g in (("en", "plain"), ("en", "code"), ("de", "plain"))}) == 3
+    # a rate that is usual in one source is none in the other
+    high = [r for r in rows if r[3] == "code" and got[r[0]].kept and got[r[0]].n_symbols / got[r[0]].n_words > limits[("en", "plain"), "symbol_ratio"]]
+    assert high
+    moved = [(i, t, "en", "plain") if (i, t, g, s) in high[:2] else (i, t, g, s) for i, t, g, s in rows]
+    again = {r.doc_id: r.kept for r in quality.judge_quality(spark.createDataFrame(moved, "doc_id long, text string, lang string, source string"), rules).collect()}
+    assert not any(again[r[0]] for r in high[:2])
+
+
+def test_quality_of_nothing_and_of_equal_texts(spark):
+    df = spark.createDataFrame([(i, "word another " * 3 + " ".join(f"w{k}" for k in range(60)), "en", "s") for i in range(30)], "doc_id long, text string, lang string, source string")
+    assert quality.judge_quality(df.limit(0)).count() == 0
+    assert {r.kept for r in quality.judge_quality(df).collect()} == {True}
+    assert {r.kept for r in quality.judge_quality(df.limit(1)).collect()} == {True}
 
 
 def test_url_automaton_equals_rules(spark):
