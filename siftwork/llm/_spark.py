@@ -95,14 +95,34 @@ def saved(df: DataFrame, name: str, batch_rows: int | None = None, lasting: bool
     return spark.read.schema(df.schema).parquet(path)
 
 
+SALTS = 8
+
+
+def joined_in_parts(many: DataFrame, one: DataFrame, key: str, salt: str, how: str) -> DataFrame:
+    """many joined with one (each key at most once) on key. Rows of a key in `many`, however many, are dealt over SALTS
+    parts by a hash of `salt`, and `one` is repeated for each part; Spark may broadcast it where its size allows."""
+    parts = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_part", F.pmod(F.xxhash64(F.col(salt)), F.lit(SALTS)).cast("int")).join(parts, [key, "_part"], how).drop("_part")
+
+
+def joined_by_share(many: DataFrame, one: DataFrame, key: str, salt: str, name: str, rows: int = 512) -> DataFrame:
+    """many joined with one (each key at most once, long values) on key. A key with c rows in `many`, more than `rows`, is
+    dealt over c / rows parts by a hash of `salt`, and its row of `one` is repeated for these only."""
+    hot = saved(many.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > rows).select(key, F.ceil(F.col("c") / rows).cast("int").alias("_parts")), f"{name}-hot")
+    dealt = joined_in_parts(many, hot, key, salt, how="left").withColumn("_share", F.pmod(F.xxhash64(F.col(salt)), F.coalesce("_parts", F.lit(1)).cast("bigint"))).drop("_parts")
+    spread = one.join(hot, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1))).drop("_parts")
+    return dealt.join(spread, [key, "_share"]).drop("_share")
+
+
 class IdFilter:
-    """A bit table of at most 2**bits bits over 64-bit ids: no id that was put in is ever missed.
+    """A bit table over 64-bit ids with about eight bits for each: no id that was put in is ever missed.
 
-    Its size is fixed (8 MB by default), so it can be broadcast at any scale; with very many ids it
-    only lets more through, and the exact join behind it still decides.
+    It has 2**22 to 2**28 bits (half a MB to 32 MB), so it can be broadcast at any scale; with more than
+    3 * 10**7 ids it lets more through, and the exact join behind it still decides.
     """
 
-    def __init__(self, ids: DataFrame, column: str, bits: int = 26):
+    def __init__(self, ids: DataFrame, column: str):
+        bits = min(28, max(22, (8 * ids.count()).bit_length()))
         h = F.xxhash64(F.col(column))
         where = h.bitwiseAND(F.lit((1 << bits) - 1))
         words = (
@@ -136,21 +156,22 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Each round links every node to the smallest label around it and then jumps to that label's own
     label; rounds grow with the logarithm of a component's diameter. Each round is one saved table.
-    Groups are pre-aggregated before they are shuffled, and no component is ever gathered.
+    Groups are pre-aggregated before they are shuffled, joins deal a hot node over several parts, and no
+    component is ever gathered.
     """
     both = saved(edges.select("a", "b").where("a <> b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), f"{name}-edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
     turn = 0
     while True:
         turn += 1
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = joined_in_parts(both, labels.select(F.col("node").alias("b"), "label"), "b", "a", how="inner").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         # hooking: the old label's own node also takes the smaller label
         hook = low.where("low < label").groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
         low = low.join(hook, "node", "left").select("node", "label", F.least("low", F.coalesce("hook", "low")).alias("low"))
         low = saved(low, f"{name}-{turn}-low")
-        jump = low.select(F.col("node").alias("at"), F.col("low").alias("to"))
-        after = saved(low.join(jump, low.low == jump["at"], "left").select("node", F.least("low", F.coalesce("to", "low")).alias("new"), "label"), f"{name}-{turn}")
+        jump = low.select(F.col("node").alias("low"), F.col("low").alias("to"))
+        after = saved(joined_in_parts(low, jump, "low", "node", how="left").select("node", F.least("low", F.coalesce("to", "low")).alias("new"), "label"), f"{name}-{turn}")
         if not after.where("new <> label").take(1):
             return after.select("node", F.col("new").alias("label"))
         labels = after.select("node", F.col("new").alias("label"))

@@ -2,9 +2,12 @@
 
 1. Sets. A text becomes its set of word n-gram hashes. Texts with equal sets are one node from here on.
 2. Bands. Sizes are cut into geometric bands. Linked sets of sizes a, b differ in at most
-   (a + b)(1 - t)/(1 + t) members, so if the hash range is cut into that many parts and one more, one
-   part at least holds the same members in both. Each node sends one key per part of its own band, and of
-   the larger bands that a partner may lie in. Only nodes that share a key can be linked.
+   (a + b)(1 - t)/(1 + t) = d members, so if more than d parts of the hash range have members of a set, one
+   of these parts at least holds the same members in its partner. Each node sends one key per part with
+   members, of its own band and of the larger bands that a partner may lie in. A set with d such parts or
+   fewer sends keys of further cuts by other hashes until one has more; a partner with which it shares no
+   key of one cut has as few parts there, so it sends those of the next as well. Only nodes that share a key
+   can be linked, and sets without common members share none.
 3. Stars. Of each key the smallest node is the centre. Every node is compared with the centre that it
    shares most keys with, and equal results are joined into components. This settles most groups of near
    copies with one comparison for each node.
@@ -25,14 +28,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, U, blocks, mix, windows, words
-from ._spark import IdFilter, components, interim, saved
+from ._spark import IdFilter, components, interim, joined_by_share, joined_in_parts, saved
 
 GROWTH = 1.7  # of band bounds
-TILE = 1024  # rows of a tile's side
+BLOCK = 512  # nodes of a block, on average; a tile has two blocks
 MOST_BITS = 1 << 16  # of a bitmap
 SHORT, LONG = 2, 4  # bits of a bitmap for each member, rounded up to a power of two
 ROUNDS = 3
@@ -51,11 +54,11 @@ class Bands:
             out.append(max(out[-1] + 1, int(out[-1] * GROWTH)))
         return np.array(out, np.int64)
 
-    def parts(self, upper: int) -> tuple[int, int]:
-        """(parts, empty parts allowed for) of the band whose largest size is `upper`; 0 parts: only equal sets link."""
+    def parts(self, upper: int) -> int:
+        """Parts of the hash range for the band whose largest size is `upper`, some more than its sets may differ in, as
+        some have no members; 0: only equal sets link."""
         differ = 2 * upper * (100 - self.percent) // (100 + self.percent)
-        spare = differ // 50 + 1
-        return (differ + 1 + spare, spare) if differ else (0, 0)
+        return differ + differ // 50 + 2 if differ else 0
 
 
 def shingle_sets(texts: pa.Array, n: int):
@@ -95,40 +98,47 @@ def node_ids(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix(sums[edges[1:]] - sums[edges[:-1]] + size.astype(np.uint64)), U(0)).view(np.int64)
 
 
+CUTS = 8  # of one set, until more parts have members than a partner may differ in
+
+
 def part_keys(values: np.ndarray, edges: np.ndarray, nodes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) of all parts of the given sets in all bands that they may share with a partner."""
+    """(key, node) of the parts with members of the given sets in all bands that they may share with a partner."""
     size = np.diff(edges)
     if not len(values):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bounds = bands.bounds(int(size.max() * 100 // bands.percent) + 1)
     own = np.searchsorted(bounds, size, "right") - 1
     last = np.searchsorted(bounds, size * 100 // bands.percent, "right") - 1
-    mixed = mix(values + U(0xA0761D6478BD642F))
-    keys, of = [], []
+    plan = np.array([bands.parts(int(b) - 1) for b in bounds[1:]] + [0], np.int64)
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for step in range(int((last - own).max()) + 1):
         sets = np.flatnonzero((size > 0) & (own + step <= last))
         band = own[sets] + step
-        plan = np.array([bands.parts(int(bounds[b + 1]) - 1) for b in range(len(bounds) - 1)] + [(0, 0)], np.int64)
-        m, spare = plan[band, 0], plan[band, 1]
-        sets, band, spare, m = sets[m > 0], band[m > 0], spare[m > 0], m[m > 0]
-        if not len(sets):
-            continue
-        lengths = size[sets]
-        member = np.repeat(edges[sets] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        which = np.repeat(np.arange(len(sets)), lengths)
-        part = ((values[member] >> U(32)) * m[which].astype(np.uint64)) >> U(32)
-        begin = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (part[1:] != part[:-1])))
-        content = np.add.reduceat(mixed[member], begin)
-        place = part[begin] * U(0xE7037ED1A0B428DB) + band[which[begin]].astype(np.uint64) * U(0x8EBC6AF09C88C6E3)
-        keys.append(mix(content + mix(place)))
-        of.append(nodes[sets[which[begin]]])
-        filled = np.bincount(which[begin], minlength=len(sets))
-        for i in np.flatnonzero(m - filled > spare):  # rare: the shared part may be an empty one
-            empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), part[begin][which[begin] == i])
-            keys.append(mix(mix(empty * U(0xE7037ED1A0B428DB) + U(int(band[i]) * 0x8EBC6AF09C88C6E3 % (1 << 64)))))
-            of.append(np.full(len(empty), nodes[sets[i]]))
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        most = np.minimum(bounds[np.minimum(band + 1, len(bounds) - 1)] - 1, size[sets] * 100 // bands.percent)  # of a partner's members
+        differ = (size[sets] + most) * (100 - bands.percent) // (100 + bands.percent)
+        some = (plan[band] > 0) & (differ > 0)  # else only equal sets link
+        sets, band, differ = sets[some], band[some], differ[some]
+        for cut in range(CUTS):
+            if not len(sets):
+                break
+            lengths = size[sets]
+            member = np.repeat(edges[sets] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            which, v = np.repeat(np.arange(len(sets)), lengths), values[member]
+            if cut:  # another order of the members
+                v = mix(v ^ U(0x9E3779B97F4A7C15 * cut % (1 << 64)))
+                order = np.lexsort((v, which))
+                v = v[order]
+            part = ((v >> U(32)) * plan[band][which].astype(np.uint64)) >> U(32)
+            begin = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (part[1:] != part[:-1])))
+            content = np.add.reduceat(mix(v + U(0xA0761D6478BD642F)), begin)
+            place = part[begin] * U(0xE7037ED1A0B428DB) + band[which[begin]].astype(np.uint64) * U(0x8EBC6AF09C88C6E3) + U(cut)
+            keys.append(mix(content + mix(place)))
+            of.append(nodes[sets[which[begin]]])
+            few = np.bincount(which[begin], minlength=len(sets)) <= differ
+            sets, band, differ = sets[few], band[few], differ[few]
+        # hardly ever (tiny sets whose members lie in one part of every cut): one key for all of a band's
+        keys.append(mix(mix(band.astype(np.uint64) * U(0x8EBC6AF09C88C6E3))))
+        of.append(nodes[sets])
     return np.concatenate(keys).view(np.int64), np.concatenate(of)
 
 
@@ -233,7 +243,7 @@ def _remaining(own: pa.Table, percent: int) -> list[np.ndarray]:
 
 
 def _tiles(percent: int, judge, names: tuple[str, ...]):
-    """Rows (tile, side, key, node, label, n, bits) sorted by tile -> what judge finds in each. A tile has 2 * TILE rows at most."""
+    """Rows (tile, side, key, node, label, n, bits) sorted by tile -> what judge finds in each. A tile has about 2 * BLOCK rows."""
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -296,34 +306,35 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
                     keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    full = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
+    full = joined_by_share(joined_by_share(pairs, b, "b", "a", f"{name}-b"), a, "a", "b", f"{name}-a").select("a", "b", "a_text", "b_text")
     return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 
 
 def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str) -> DataFrame:
     """Rows (tile, side, key, node, label, n, bits), dealt and sorted by tile, of the keys (key, node) that lie in more
     than one component. Keys of the same nodes are one: the new key is a hash of its nodes (two of one hash would
-    only make larger tiles)."""
-    by_key = Window.partitionBy("key")
+    only make larger tiles).
+
+    What is to know of a key is aggregated in every task first and joined back in SALTS parts, and its nodes are
+    dealt to blocks by hash, so that no task has all rows of a key.
+    """
     known = signed.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
-    placed = (
-        keyed.join(known, "node")
-        .withColumn("mixed", F.min("label").over(by_key) != F.max("label").over(by_key))
-        .withColumn("blocks", F.ceil(F.count("*").over(by_key) / TILE).cast("int"))
-        .withColumn("group", F.xxhash64(F.count("*").over(by_key), F.bit_xor(F.xxhash64("node")).over(by_key)))
-        .withColumn("own", F.floor((F.row_number().over(by_key.orderBy("n", "node")) - 1) / TILE).cast("int"))
-        .where("mixed")
-    )
-    sides = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+    placed = saved(joined_in_parts(keyed, known, "node", "key", how="inner"), "placed")
+    # a node is counted once for each key
+    keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    keys = keys.where("low <> high").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), F.xxhash64("c", "x").alias("group"))
+    mixed = joined_in_parts(placed, keys, "key", "node", how="inner")
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", "group"), F.col("blocks")).cast("int")).otherwise(0)
+    sides = mixed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         F.col("group").alias("key"),
         "node",
         "label",
     )
-    # one row of a node in a tile, dealt as the join needs them
-    sides = sides.repartition("node").distinct()
-    rows = sides.join(signed.select("node", "n", F.col(bits).alias("bits")), "node").select("tile", "side", "key", "node", "label", "n", "bits")
+    # one row of a node in a tile
+    sides = sides.distinct()
+    rows = joined_in_parts(sides, signed.select("node", "n", F.col(bits).alias("bits")), "node", "tile", how="inner").select("tile", "side", "key", "node", "label", "n", "bits")
     return rows.repartition("tile").sortWithinPartitions("tile")
 
 
@@ -332,11 +343,11 @@ def _joined(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     lifted = links
     for x in "ab":
         at = labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-        lifted = lifted.join(at, x, "left").withColumn(f"{x}_to", F.coalesce(f"{x}_label", x)).drop(f"{x}_label")
+        lifted = joined_in_parts(lifted, at, x, "b" if x == "a" else "a", how="left").withColumn(f"{x}_to", F.coalesce(f"{x}_label", x)).drop(f"{x}_label")
     top = components(lifted.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")), name).select(F.col("node").alias("label"), F.col("label").alias("top"))
     # nodes that had no label yet are their own
     known = labels.unionByName(top.select(F.col("label").alias("node"), "label").join(labels, "node", "left_anti"))
-    return saved(known.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
+    return saved(joined_in_parts(known, top, "label", "node", how="left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
 
 
 def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,8 +420,8 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
     signed = saved(texts.mapInArrow(signatures, "node long, n long, short binary, long binary"), "signatures")
 
     pairs = stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    for x in "ab":
-        pairs = pairs.join(signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x)
+    for x, y in ("ab", "ba"):
+        pairs = joined_by_share(pairs, signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x, y, f"stars-{x}")
     pairs = pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
     linked = _verified(saved(pairs, "star-pairs"), texts, n, percent, "star-links")
     labels = components(linked, "stars")
@@ -431,7 +442,11 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
             break
         labels = _joined(labels, _verified(pairs, texts, n, percent, f"links-{turn}"), f"joined-{turn}")
 
-    singles = table.join(labels, "node", "left").withColumn("top", F.coalesce("label", "node"))
-    full = singles.select("id", "n", F.when(F.col("n") > 0, F.col("top")).alias("component"))
-    names = full.where("component is not null").groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return full.join(names, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+    # components get their names node by node, so that rows of a hot text or group meet them in parts
+    tops = labels.select("node", F.col("label").alias("top"))
+    least = table.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("c"))
+    topped = least.join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    names = topped.groupBy("top").agg(F.min("least").alias("name"), F.sum("c").alias("rows")).where("rows > 1").drop("rows")
+    named_nodes = saved(joined_in_parts(topped.select("node", "top"), names, "top", "node", how="inner").select("node", "name"), "names")
+    full = joined_in_parts(table, named_nodes, "node", "id", how="left")
+    return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))

@@ -41,10 +41,10 @@ def near_copies(rng):
     return docs
 
 
-@pytest.mark.parametrize("rounds,tile", [(3, 1024), (0, 3)])
-def test_join_components(spark, monkeypatch, rounds, tile):
+@pytest.mark.parametrize("rounds,block", [(3, 512), (0, 3)])
+def test_join_components(spark, monkeypatch, rounds, block):
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     docs = near_copies(random.Random(3 + rounds))
     df = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id long, text string, node string, n int").repartition(5)
     assert sorted(map(tuple, ngram_join.join_components(df).collect()), key=str) == sorted(components(docs), key=str)
@@ -68,21 +68,40 @@ def test_join_of_nothing(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_part_keys_meet_for_every_link():
-    """Sets at the threshold share a key, over all sizes, empty parts included."""
+@pytest.mark.parametrize("cuts", [8, 1])
+def test_part_keys_meet_for_every_link(monkeypatch, cuts):
+    """Sets at the threshold share a key, over all sizes, further cuts included."""
+    monkeypatch.setattr(ngram_join, "CUTS", cuts)
     rng = np.random.default_rng(1)
     bands = ngram_join.Bands(85)
-    for size in [7, 12, 13, 20, 47, 100, 333, 900]:
-        for _ in range(40):
-            drop = int(rng.integers(0, size))
-            both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
-            b = np.unique(np.append(both[drop % max(1, size // 6) :], rng.integers(0, 1 << 63, int(rng.integers(0, size // 7 + 1)), dtype=np.uint64)))
-            a = np.unique(both)
+    met = 0
+    for size in [*range(6, 30), 47, 100, 333, 900]:
+        for _ in range(60):
+            drop = int(rng.integers(0, size // 6 + 1))
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(1))
+            b = np.unique(np.append(a[rng.permutation(size)[drop:]], rng.integers(0, 1 << 63, int(rng.integers(0, size // 7 + 1)), dtype=np.uint64)))
             inter = len(np.intersect1d(a, b))
             if 100 * inter >= 85 * (len(a) + len(b) - inter) and len(a) + len(b) > 2 * inter:
-                keys, _ = ngram_join.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([1, 2]), bands)
-                ka, _ = ngram_join.part_keys(a, np.array([0, len(a)]), np.array([1]), bands)
-                assert len(np.intersect1d(ka, np.setdiff1d(keys, ka))) or len(keys) > len(np.unique(keys))
+                keys, nodes = ngram_join.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([1, 2]), bands)
+                assert len(np.intersect1d(keys[nodes == 1], keys[nodes == 2]))
+                met += 1
+    assert met > 400
+
+
+def test_unrelated_sets_share_no_keys():
+    """Key pairs of sets without common members stay at none when the number of sets doubles."""
+    rng = np.random.default_rng(4)
+    bands = ngram_join.Bands(85)
+    for n_sets in (2000, 4000):
+        size = np.append(rng.integers(60, 1500, n_sets // 2), rng.integers(1, 60, n_sets // 2))
+        edges = np.append(0, np.cumsum(size))
+        values = rng.integers(0, 1 << 63, edges[-1], dtype=np.uint64) << np.uint64(1)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            values[a:b].sort()
+        keys, nodes = ngram_join.part_keys(values, edges, np.arange(n_sets), bands)
+        pairs = np.unique(np.stack([keys, nodes]), axis=1)
+        assert len(np.unique(pairs[0])) == pairs.shape[1]
+        assert len(keys) < 0.5 * len(values)
 
 
 def test_bitmaps_bound_from_above():
