@@ -9,13 +9,14 @@ further left), judged on the input.
 2. Equal runs. Runs meet by anchor hash. Of runs with equal bytes all but the earliest are repeats,
    window by window; equal runs of one task are folded before the shuffle.
 3. Suffix arrays. Anchors with different runs (edits, ends of shared passages) need a finer look: the
-   bytes of each distinct run go to its anchor's task, where the runs of many anchors form one block. Its
-   suffixes are sorted in two stages; adjacent suffixes whose common prefix reaches `depth` are equal
-   windows, and all but the earliest are repeats.
+   places of these runs go to their texts, and their bytes to the anchor's task, where the runs of many
+   anchors form one block. Its suffixes are sorted in two stages; adjacent suffixes whose common prefix
+   reaches `depth` are equal windows, and all but the earliest are repeats.
 4. The byte ranges of repeats are united per text and cut out.
-Anchors with very many different runs are dealt out again by the bytes that a few neighbouring windows
-have in common. Of these rows equal ones fold before any are gathered, and a key with very many different
-ones left is dealt window by window, where the earliest of each decides, so no task must hold a key's rows.
+Runs of anchors with very many different ones do not meet by anchor: where their bytes are read, they are
+dealt by the bytes that a few neighbouring windows have in common. Of these rows equal ones fold before any
+are gathered, and a key with very many different ones left is dealt window by window, where the earliest of
+each decides, so no task must hold a key's rows.
 """
 
 from __future__ import annotations
@@ -29,17 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._bytes import BLOCK_BYTES, U, blocks, mix, powers, prefix_sums, range_hashes
-from ._spark import interim, saved
+from ._spark import interim, joined_in_parts, saved
 
 DEPTH, K = 100, 24
 HOT_RUNS = 4096  # different runs of one anchor beyond which it is dealt out again
 HOT_STEP = 8  # window starts per row then
 BLOCK_RUNS_BYTES = 1 << 21  # of one suffix array
+FOLD_RUNS = 2_000_000  # runs of a task that are held and folded together, 32 bytes each
 PLACE_BITS = 24
 #: place = tag (24 bits of the text's hash) << 39 | first window start << 8 | windows
 TAG, LO = 1 << 39, 1 << 8
 NULL_ID = -(1 << 63)
-REPEAT, MARK, LOOK, BYTES = 0, 1, 2, 3  # roles of rows
+REPEAT, MARK, LOOK = 0, 1, 2  # roles of rows
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -52,11 +54,10 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, off: np.ndarray, depth: int, k: int):
-    """Of each run of a block: anchor hash, bytes hash, text number, first start in the text, number of windows, and
-    bytes from that start to the anchor."""
+    """Of each run of a block: anchor hash, bytes hash, text number, first start in the text and number of windows."""
     none = np.zeros(0, np.int64)
     if len(buf) < depth:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
     s = prefix_sums(buf)
     grams = mix((s[k:] - s[:-k]) * powers(0x9E3779B97F4A7C15, len(s))[: len(s) - k])
     low = U((1 << PLACE_BITS) - 1)
@@ -64,11 +65,11 @@ def runs(buf: np.ndarray, off: np.ndarray, depth: int, k: int):
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(smallest)]
     start = np.flatnonzero(np.arange(len(smallest)) + depth <= off[doc + 1])
     if not len(start):
-        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
     anchor = (smallest[start] & low).astype(np.int64)
     first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (doc[start[1:]] != doc[start[:-1]])))
     lo, n = start[first], np.diff(np.append(first, len(start)))
-    return mix(grams[anchor[first]]), range_hashes(s, lo, lo + n + depth - 1), doc[lo], lo - off[doc[lo]], n, anchor[first] - lo
+    return mix(grams[anchor[first]]), range_hashes(s, lo, lo + n + depth - 1), doc[lo], lo - off[doc[lo]], n
 
 
 def _pieces(column: pa.Array, depth: int):
@@ -84,13 +85,12 @@ def _pieces(column: pa.Array, depth: int):
 
 
 def _batch_runs(batch: pa.RecordBatch, depth: int, k: int):
-    """Yield per piece: anchor, bytes hash, id, place of each run, the bytes with each run's begin in them, its windows and its reach to
-    the anchor."""
+    """Yield per piece: anchor, bytes hash, id and place of each run."""
     ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
     for first, buf, off, base in _pieces(batch.column(1), depth):
-        h, c, doc, lo, n, reach = runs(buf, off, depth, k)
+        h, c, doc, lo, n = runs(buf, off, depth, k)
         row = doc + first
-        yield h.view(np.int64), c.view(np.int64), ids[row], tags[row] * TAG + (lo + base) * LO + n, buf, off[doc] + lo, n, reach
+        yield h.view(np.int64), c.view(np.int64), ids[row], tags[row] * TAG + (lo + base) * LO + n
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -106,34 +106,40 @@ ROW = "h long, c long, id long, place long"
 
 
 def _first_runs(depth: int, k: int):
-    """Rows (h, c, id, place) of runs. Runs of the batch that repeat an earlier one of it come as ranges of
-    repeats at once: place - 2**63, with the number of windows in c and their id's hash in h."""
+    """Rows (h, c, id, place) of runs. Of FOLD_RUNS runs of a task, those that repeat an earlier one of them come as ranges
+    of repeats at once: place - 2**63, with the number of windows in c and their id's hash in h."""
+
+    def fold(parts) -> pa.RecordBatch:
+        h, c, ids, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, ids, c, h))
+        h, c, ids, place = h[order], c[order], ids[order], place[order]
+        again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))[: len(h)]
+        # identical rows of one document are one document
+        same = np.append(False, (ids[1:] == ids[:-1]) & (place[1:] == place[:-1]))[: len(h)] & again
+        sure = again & ~same
+        a, b, n = _united(ids[sure], place[sure] - place[sure] % LO, place[sure] % LO)
+        first = ~again
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(h[first], mix(a.view(np.uint64)).view(np.int64))),
+                pa.array(np.append(c[first], n)),
+                pa.array(np.append(ids[first], a)),
+                pa.array(np.append(place[first], b + NULL_ID)),
+            ],
+            names=["h", "c", "id", "place"],
+        )
 
     def work(batches):
+        parts, held = [], 0
         for batch in batches:
-            parts = [x[:4] for x in _batch_runs(batch, depth, k)]
-            if not parts:
-                continue
-            h, c, ids, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(h):
-                continue
-            order = np.lexsort((place, ids, c, h))
-            h, c, ids, place = h[order], c[order], ids[order], place[order]
-            again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))
-            # identical rows of one document are one document
-            same = np.append(False, (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])) & again
-            sure = again & ~same
-            a, b, n = _united(ids[sure], place[sure] - place[sure] % LO, place[sure] % LO)
-            first = ~again
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(h[first], mix(a.view(np.uint64)).view(np.int64))),
-                    pa.array(np.append(c[first], n)),
-                    pa.array(np.append(ids[first], a)),
-                    pa.array(np.append(place[first], b + NULL_ID)),
-                ],
-                names=["h", "c", "id", "place"],
-            )
+            for x in _batch_runs(batch, depth, k):
+                parts.append(x)
+                held += len(x[0])
+                if held >= FOLD_RUNS:
+                    yield fold(parts)
+                    parts, held = [], 0
+        if parts:
+            yield fold(parts)
 
     return work
 
@@ -195,45 +201,13 @@ def _role_batch(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(place), pa.array(n.astype(np.int64)), pa.array(role.astype(np.int32))], names=["h", "id", "place", "n", "role"])
 
 
-def _run_bytes(depth: int, k: int, wanted, bits: int):
-    """Rows (h, id, place, bytes, reach) of the runs whose (id, place) is in the bit table."""
-
-    def work(batches):
-        for batch in batches:
-            for h, _, ids, place, buf, begin, n, reach in _batch_runs(batch, depth, k):
-                where = (mix(ids.view(np.uint64) * U(0x9E3779B97F4A7C15) + place.view(np.uint64)) & U((1 << bits) - 1)).view(np.int64)
-                hit = np.flatnonzero((wanted.value[where >> 6] >> (where & 63)) & 1)
-                raw = buf.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[hit]), pa.array(ids[hit]), pa.array(place[hit]), pa.array([raw[b : b + m + depth - 1] for b, m in zip(begin[hit].tolist(), n[hit].tolist(), strict=True)], pa.binary()), pa.array(reach[hit])],
-                    names=["h", "id", "place", "bytes", "reach"],
-                )
-
-    return work
-
-
-def _wanted_bits(rows: DataFrame, bits: int) -> np.ndarray:
-    """A bit table of fixed size over (id, place): OR-ed in each task, then over tasks by word."""
-
-    def work(batches):
-        table = np.zeros(1 << (bits - 6), np.int64)
-        for batch in batches:
-            ids, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            where = (mix(ids.view(np.uint64) * U(0x9E3779B97F4A7C15) + place.view(np.uint64)) & U((1 << bits) - 1)).view(np.int64)
-            np.bitwise_or.at(table, where >> 6, np.int64(1) << (where & 63))
-        w = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(table[w])], names=["w", "b"])
-
-    got = rows.select("id", "place").mapInArrow(work, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[got["w"].to_numpy()] = got["b"].to_numpy()
-    return table
-
-
-def _dealt_again(key: int, i: int, p: int, data: bytes, reach: int, depth: int):
+def _dealt_again(key: int, i: int, p: int, data: bytes, depth: int, k: int):
     """A run of a hot anchor as rows of at most HOT_STEP window starts, keyed by the bytes that these windows share."""
     n = p % LO
     # equal windows lie equally far before their anchor, so runs are cut by that distance
+    s = prefix_sums(np.frombuffer(data[:depth], np.uint8))
+    grams = mix((s[k:] - s[:-k]) * powers(0x9E3779B97F4A7C15, len(s))[: len(s) - k]) >> U(PLACE_BITS)
+    reach = int(grams.argmin())
     bucket = (reach - np.arange(n)) // HOT_STEP
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), n]
     for s, e in zip(edges[:-1], edges[1:], strict=True):
@@ -241,10 +215,41 @@ def _dealt_again(key: int, i: int, p: int, data: bytes, reach: int, depth: int):
         begin = reach - j * HOT_STEP
         core = data[begin : begin - HOT_STEP + 1 + depth]
         digest = hashlib.blake2b(core + key.to_bytes(8, "little", signed=True) + bytes([j]), digest_size=8).digest()
-        yield i, p - n + s * LO + (e - s), None, int.from_bytes(digest, "little", signed=True), data[s : e + depth - 1]
+        yield int.from_bytes(digest, "little", signed=True), i, p - n + s * LO + (e - s), data[s : e + depth - 1], True
+
+
+RUN = "h long, id long, place long, bytes binary, dealt boolean"
+RUN_ROWS = 4096  # in an Arrow batch, as rows have bytes
+
+
+def _run_bytes(depth: int, k: int):
+    """From rows (id, text, asked: places with their anchor and whether it is hot): rows (h, id, place, bytes, dealt) of these
+    runs, those of hot anchors dealt again."""
+
+    def work(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for i, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                raw = text.as_py().encode()
+                for a in asked:
+                    h, p = a["h"], a["place"]
+                    lo, n = p >> 8 & (1 << 31) - 1, p % LO
+                    data = raw[lo : lo + n + depth - 1]
+                    rows += _dealt_again(h, i, p, data, depth, k) if a["hot"] else [(h, i, p, data, False)]
+                    if len(rows) >= RUN_ROWS:
+                        yield _run_batch(rows)
+                        rows = []
+        yield _run_batch(rows)
+
+    return work
+
+
+def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["h", "id", "place", "bytes", "dealt"])
 
 
-FINE = "id long, place long, n long, key long, bytes binary"
+FINE = "id long, place long, n long"
 WINDOW = "a long, b long, id long, place long"
 
 
@@ -277,12 +282,7 @@ def _hot_ranges(dealt: DataFrame, depth: int) -> DataFrame:
     single = saved(folded.join(large, "key", "left_semi").select("id", "place", "bytes").mapInArrow(_single_windows(depth), WINDOW), "windows")
     earliest = single.groupBy("a", "b").agg(F.min(F.struct("id", "place")).alias("first")).select("first.id", "first.place")
     again = equal.unionAll(single.select("id", "place").join(earliest, ["id", "place"], "left_anti"))
-    return few.mapInArrow(_hot_suffix_arrays(depth), FINE).select("id", "place", "n").unionAll(again.select("id", "place", F.col("place").bitwiseAND(F.lit(LO - 1)).alias("n")))
-
-
-def _fine_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "place", "n", "key", "bytes"])
+    return few.mapInArrow(_suffix_arrays(depth), FINE).unionAll(again.select("id", "place", F.col("place").bitwiseAND(F.lit(LO - 1)).alias("n")))
 
 
 def _solved(rows: list[tuple[int, int, bytes]], depth: int) -> pa.RecordBatch:
@@ -296,46 +296,12 @@ def _solved(rows: list[tuple[int, int, bytes]], depth: int) -> pa.RecordBatch:
     ids = np.array([k[0] for k, _ in runs_of], np.int64)[row]
     place = np.array([k[1] - k[1] % LO for k, _ in runs_of], np.int64)[row] + (at - begin[row]) * LO
     ids, place, n = _united(ids, place, np.ones(len(ids), np.int64))
-    none = pa.nulls(len(n), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n), none, pa.nulls(len(n), pa.binary())], names=["id", "place", "n", "key", "bytes"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(n)], names=["id", "place", "n"])
 
 
 def _suffix_arrays(depth: int):
-    """From rows (h, id, place, role, bytes, reach) sorted by the first four: ranges of repeated windows (id, place, n), from
-    one suffix array for each block of whole anchors; and rows (id, place, key, bytes) of runs of hot anchors.
-    A run counts only if its LOOK row comes just before its BYTES row."""
-
-    def work(batches):
-        rows: list[tuple] = []
-        size, last, hot, wanted = 0, None, False, None
-        for batch in batches:
-            again: list[tuple] = []
-            for h, i, p, role, d, reach in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if h != last:
-                    last, hot = h, False
-                    if size >= BLOCK_RUNS_BYTES:
-                        yield _solved(rows, depth)
-                        rows, size = [], 0
-                if role == MARK:
-                    hot = True
-                elif role == LOOK:
-                    wanted = h, i, p
-                elif wanted == (h, i, p):
-                    wanted = None
-                    if hot:
-                        again += _dealt_again(h, i, p, d, reach, depth)
-                    else:
-                        rows.append((i, p, d))
-                        size += len(d)
-            yield _fine_batch(again)
-        if rows:
-            yield _solved(rows, depth)
-
-    return work
-
-
-def _hot_suffix_arrays(depth: int):
-    """The same for dealt rows (key, id, place, bytes) sorted by the first three."""
+    """From rows (key, id, place, bytes) sorted by the first three: ranges of repeated windows (id, place, n), from one
+    suffix array for each block of whole keys."""
 
     def work(batches):
         rows: list[tuple] = []
@@ -354,17 +320,19 @@ def _hot_suffix_arrays(depth: int):
     return work
 
 
-def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K, bits: int = 26) -> DataFrame:
+def repeated_ranges(docs: DataFrame, depth: int = DEPTH, k: int = K) -> DataFrame:
     """Ranges of repeated window starts: id, tag, lo, n, of rows (id, text, tag)."""
     firsts = docs.mapInArrow(_first_runs(depth, k), ROW)
     met = saved(firsts.repartition("h").sortWithinPartitions("h", "c", "id", "place").mapInArrow(_repeats, "h long, id long, place long, n long, role int"), "runs")
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted_bits(met.where(F.col("role") == LOOK), bits))
-    with_bytes = docs.mapInArrow(_run_bytes(depth, k, wanted, bits), "h long, id long, place long, bytes binary, reach long")
-    asked = met.where(F.col("role").isin(MARK, LOOK)).select("h", "id", "place", "role", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("long").alias("reach"))
-    met_again = asked.unionAll(with_bytes.select("h", "id", "place", F.lit(BYTES).alias("role"), "bytes", "reach"))
-    fine = saved(met_again.repartition("h").sortWithinPartitions("h", "id", "place", "role").mapInArrow(_suffix_arrays(depth), FINE), "fine")
-    hot = _hot_ranges(fine.where("key is not null").select("key", "id", "place", "bytes"), depth)
-    ranges = met.where(F.col("role") == REPEAT).select("id", "place", "n").unionAll(fine.where("key is null").select("id", "place", "n")).unionAll(hot)
+    hot = saved(met.where(F.col("role") == MARK).select("h", F.lit(True).alias("hot")), "hot")
+    asked = joined_in_parts(met.where(F.col("role") == LOOK).select("h", "id", "place"), hot, "h", "id", how="left")
+    asked = asked.select("id", F.shiftright("place", 39).alias("tag"), F.struct("h", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("a"))
+    # each text once, as its rows may repeat; a text has fewer asked runs than bytes
+    texts = docs.where("text is not null").join(asked.groupBy("id", "tag").agg(F.collect_list("a").alias("asked")), ["id", "tag"]).dropDuplicates(["id", "tag"])
+    found = saved(texts.select("id", "text", "asked").mapInArrow(_run_bytes(depth, k), RUN), "bytes")
+    few = found.where("not dealt").select("h", "id", "place", "bytes").repartition("h").sortWithinPartitions("h", "id", "place")
+    fine = few.mapInArrow(_suffix_arrays(depth), FINE)
+    ranges = met.where(F.col("role") == REPEAT).select("id", "place", "n").unionAll(fine).unionAll(_hot_ranges(found.where("dealt").select(F.col("h").alias("key"), "id", "place", "bytes"), depth))
     return ranges.select("id", F.shiftright("place", 39).alias("tag"), F.shiftright("place", 8).bitwiseAND(F.lit((1 << 31) - 1)).alias("lo"), "n")
 
 
@@ -414,5 +382,5 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int | None = None, id
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], *batch.columns[3:]], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "text", *["carried"] * bool(carry)])
 
     kinds = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string, text string")
-    done = joined.mapInArrow(cut, StructType([*kinds.fields, *[whole.schema["carried"]] * bool(carry)]))
+    done = joined.mapInArrow(cut, StructType([*kinds.fields, *([whole.schema["carried"]] if carry else [])]))
     return done.select(F.when(F.col("id") != NULL_ID, F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "text", *[F.col(f"carried.{c}").alias(c) for c in carry])

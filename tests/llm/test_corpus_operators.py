@@ -165,7 +165,7 @@ def test_remove_repeats(spark, monkeypatch, depth, hot):
 @pytest.mark.parametrize("length", [100, 150])
 def test_no_task_holds_a_common_passage(spark, monkeypatch, length):
     """A passage inside more texts than HOT_RUNS, each with other surroundings."""
-    most, arrays = suffix_dedup.HOT_RUNS, suffix_dedup._hot_suffix_arrays
+    most, arrays = suffix_dedup.HOT_RUNS, suffix_dedup._suffix_arrays
 
     def counted(depth):
         def work(batches):
@@ -182,7 +182,7 @@ def test_no_task_holds_a_common_passage(spark, monkeypatch, length):
 
         return work
 
-    monkeypatch.setattr(suffix_dedup, "_hot_suffix_arrays", counted)
+    monkeypatch.setattr(suffix_dedup, "_suffix_arrays", counted)
     rng = random.Random(length)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     passage = word(length)
