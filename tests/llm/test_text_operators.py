@@ -252,11 +252,43 @@ def test_contamination(spark):
     assert {r.n_hit for r in none.collect()} == {0}
 
 
-def test_contamination_in_several_automata(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 6)
-    items, docs = [(i, f"w{i} b c d{i} e") for i in range(5)], [(1, "x w3 b c d3 e w1 b"), (2, "q w0 b c d0 e")]
-    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 3)
+@pytest.mark.parametrize("most", [24, 80])
+def test_contamination_in_several_automata(spark, monkeypatch, most):
+    """Parts of the items, and items cut in pieces, give what one automaton gives."""
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", most)
+    rng = random.Random(most)
+    words = lambda n: " ".join(rng.choice("abcd") + rng.choice("xy") for _ in range(n))
+    items = [(i, f"w{i} b c d{i} e") for i in range(5)] + [(10 + i, words(rng.randint(1, 30))) for i in range(6)]
+    docs = [(1, "x w3 b c d3 e w1 b"), (2, "q w0 b c d0 e"), (3, None), (4, "")] + [(10 + i, words(60) + " " + rng.choice(items)[1] + " " + words(9)) for i in range(20)]
+    df, tests = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, _names int"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_contamination(df, tests, 3)
     assert sorted(map(tuple, decontaminate.digest(found).collect())) == sorted(contamination(docs, items, 3))
+    parts = decontaminate.decontaminate(df, tests, 3, 0.9).collect()
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 10**6)
+    assert sorted(parts) == sorted(decontaminate.decontaminate(df, tests, 3, 0.9).collect())
+
+
+def test_automaton_of_many_words_is_small():
+    """MAX_ITEM_WORDS words take under 300 MB, as random words and as repeated ones; wide states are right."""
+    rng = np.random.default_rng(1)
+    for vocabulary, n in ((10**6, 40_000), (30, 40_000), (2, 5_000)):
+        pool = rng.integers(0, 1 << 63, vocabulary, dtype=np.uint64)
+        items = [(f"i{k:03}", pool[rng.integers(0, vocabulary, n // 40)]) for k in range(40)]
+        m = decontaminate.Matcher.build(items, 10)
+        assert m.nbytes() * decontaminate.MAX_ITEM_WORDS / n < 300e6
+        text = np.concatenate([pool[rng.integers(0, vocabulary, 500)], items[7][1][20:60], items[30][1][5:16], pool[rng.integers(0, vocabulary, 5)]])
+        windows = defaultdict(set)
+        for name, h in items:
+            for k in range(len(h) - 9):
+                windows[h[k : k + 10].tobytes()].add(name)
+        want, names = np.zeros(len(text), bool), set()
+        for k in range(len(text) - 9):
+            if got := windows.get(text[k : k + 10].tobytes()):
+                want[k : k + 10] = True
+                names |= got
+        hit, found = np.zeros(len(text), bool), {}
+        m.mark(text, np.zeros(len(text), np.int64), hit, found)
+        assert np.array_equal(hit, want) and found.get(0, set()) == names
 
 
 def test_decontaminate_cuts_and_drops(spark):
