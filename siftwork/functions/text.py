@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html as html_lib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 # Markers of blocked pages, of blocked search pages and of pages that need a browser.
 PAGE_BLOCK_MARKERS = ["captcha", "verify you are human", "access denied", "robot check"]
@@ -18,11 +23,27 @@ HIDDEN, HIDDEN_URL = "[REDACTED]", "[REDACTED_URL]"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
+#: Any other reference: numbers, further names, and names without a semicolon.
+OTHER_REFERENCE = "&(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)[#A-Za-z]"
+
+
+@pandas_udf(T.StringType())
+def _unescape_all(text: pd.Series) -> pd.Series:
+    return text.map(html_lib.unescape, na_action="ignore")
+
+
 def unescape(text: Column) -> Column:
-    """The character references of ENTITIES, `&amp;` last."""
+    """Character references as HTML knows them. The frequent ones of ENTITIES (`&amp;` last) are replaced by Spark's own
+    functions; only texts with any other reference go through Python, the rest reach it as nulls."""
+    plain = text
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return F.coalesce(_unescape_all(F.when(text.rlike(OTHER_REFERENCE), text)), plain)
+
+
+#: A tag whose attribute values may hold ">", and the value of its href, in any quoting, behind any other attributes.
+QUOTED_TAG = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+HREF = r"""(?is)^<[a-z]+(?:[\s/]+(?!href[\s=/>])[^\s=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*))?)*[\s/]+href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def is_html(content_type: Column) -> Column:
@@ -35,6 +56,7 @@ def main_text(html: Column, content_type: Column | None = None) -> Column:
     for name in ("script", "style", "noscript", "svg"):
         t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "\n")
+    t = F.regexp_replace(t, QUOTED_TAG, "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "\n")
     t = unescape(t)
     t = F.regexp_replace(t, r"[ \t\r]*\n[ \t\r\n]*", "\n")
@@ -51,8 +73,15 @@ def title(html: Column) -> Column:
 
 def hrefs(html: Column, tag: str = "a") -> Column:
     """href values of a tag in document order, first seen once."""
-    found = F.regexp_extract_all(html, F.lit(rf'(?is)<{tag}\b[^>]*?\bhref="([^"]*)"'), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: unescape(x)))
+    seen = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
+    tags = F.regexp_extract_all(seen, F.lit(rf"""(?is)<{tag}[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+    values = F.transform(tags, lambda x: F.regexp_replace(F.regexp_extract(x, HREF, 1), r"""^["']|["']$""", ""))
+    # the values are unescaped as one text, as Python functions cannot run inside an array
+    joined = unescape(F.array_join(F.filter(values, lambda x: x != ""), HREF_MARK))
+    return F.when(F.length(joined) > 0, F.array_distinct(F.split(joined, HREF_MARK))).when(html.isNotNull(), F.array().cast("array<string>"))
+
+
+HREF_MARK = "\uffff\n"  # no URL has it
 
 
 def _has_any(text: Column, markers: list[str]) -> Column:
@@ -88,6 +117,26 @@ def redact(text: Column, most: int = 1000) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…"))).otherwise(t)
 
 
+def safe_error(message: Column, kind: Column, most: int = 500) -> Column:
+    """The redacted message of an error, or its kind where none is left."""
+    return F.coalesce(F.nullif(redact(message, most), F.lit("")), kind)
+
+
+def agent_blocked(success: Column, diagnostic: Column) -> Column:
+    """An agent's run met a challenge: it did not succeed, and its result or errors name a block marker."""
+    return ~F.coalesce(success, F.lit(False)) & _has_any(F.lower(F.coalesce(diagnostic, F.lit(""))), PAGE_BLOCK_MARKERS)
+
+
+def ql_string(value: Column) -> Column:
+    """Backslashes and double quotes escaped for a quoted query string."""
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def regex_escaped(value: Column) -> Column:
+    """A text as a regular expression that matches itself alone."""
+    return F.regexp_replace(value, r"([^\p{L}\p{N}_])", r"\\$1")
+
+
 def charset(content_type: Column) -> Column:
     """Charset of a content type without quotes; utf-8 where there is none."""
     found = F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset[ \t]*=[ \t]*[\"']?([A-Za-z0-9._-]+)", 1)

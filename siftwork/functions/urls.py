@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 #: scheme, user part, host (IPv6 in brackets), port, path, rest
 PIECES = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:\[\]]*)(?::([0-9]*))?([^?#]*)(.*)$"
-METADATA_HOSTS = ["metadata.google.internal", "metadata", "instance-data"]
+METADATA_HOSTS = ["metadata.google.internal", "metadata.azure.internal", "metadata", "instance-data"]
 
 
 def piece(url: Column, group: int) -> Column:
@@ -97,6 +97,24 @@ def is_unsafe(url: Column) -> Column:
     return ~is_public_source(url) | h.isin(METADATA_HOSTS) | (h == "localhost") | h.endswith(".localhost") | h.endswith(".local") | is_private_ipv4(h)
 
 
+def unsafe_redirect(source: Column, target: Column) -> Column:
+    """A redirect is judged by its destination alone; none at all is no redirect."""
+    return F.coalesce(is_unsafe(target), F.lit(False))
+
+
+def host_list(csv: Column) -> Column:
+    """Comma-separated hosts as a sorted set, in lower case, without blanks and outer dots."""
+    parts = F.transform(F.split(csv, ","), lambda x: F.btrim(F.btrim(F.lower(x)), F.lit(".")))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+
+
+def service_url(value: Column) -> Column:
+    """A service's base URL without blanks and closing slashes; null where it is blank or no plain http(s) URL (it has no
+    host, or a user part, query or fragment)."""
+    url = F.regexp_replace(F.btrim(value), "/+$", "")
+    return F.when(is_public_source(url) & ~url.rlike("[?#]"), url)
+
+
 @pandas_udf(T.StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """href joined to base, without fragment; null where it can't be joined."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +25,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, save=None)
     One job per level: the frontier joins the edges, and nodes seen before are taken out. `save` cuts the
     lineage of each level; by default DataFrame.checkpoint(), which writes to the shared checkpoint folder.
     """
-    if save is None:
-        spark = edges.sparkSession
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwork-levels-"))
-        save = lambda df: df.checkpoint()
+    save = save or checkpointed(edges.sparkSession)
     frontier = save(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -41,6 +37,22 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, save=None)
     return seen
 
 
+def checkpointed(spark):
+    """DataFrame.checkpoint(), which writes to spark.checkpoint.dir."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        _local_checkpoints(spark.sparkContext)
+    return lambda df: df.checkpoint()
+
+
+def _local_checkpoints(sc) -> None:
+    """A checkpoint folder for a session without spark.checkpoint.dir whose executor is the driver; it goes when that ends."""
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="siftwork-levels-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(f"file://{folder}")
+
+
 def within_budget(tasks: DataFrame, budget: Column) -> DataFrame:
     """The first tasks of each collection in queue order, as many as its page budget; the rest are left over."""
     n = F.row_number().over(Window.partitionBy("collection_id").orderBy("seq"))

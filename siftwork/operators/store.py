@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from .dedupe import latest
 
+#: Tables of the store. Observations and evidence are laid out by collection, snapshots by URL's host, recipes by domain.
+SCHEMAS = {
+    "collections": "collection_id string, status string, body string, created_at timestamp, updated_at timestamp",
+    "observations": "observation_id string, collection_id string, body string",
+    "evidence": "evidence_id string, collection_id string, body string",
+    "snapshots": "snapshot_id string, source_url string, collected_at timestamp, body string",
+    "site_recipes": "recipe_id string, domain string, goal string, version int, body string",
+}
+KEYS = {"collections": ["collection_id"], "observations": ["observation_id"], "evidence": ["evidence_id"], "snapshots": ["snapshot_id"], "site_recipes": ["recipe_id"]}
 TERMINAL = ["completed", "partial", "blocked", "failed", "cancelled"]
 
 
@@ -30,6 +39,16 @@ def update_existing(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key), key, "left_anti").unionByName(changed)
 
 
+def of_collections(table: DataFrame, collections: DataFrame) -> DataFrame:
+    """Rows of the given collections, in no order."""
+    return table.join(collections.select("collection_id").distinct(), "collection_id", "left_semi")
+
+
+def append_snapshots(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Snapshots are only ever added; a row whose id is known is the same snapshot, written again after a restart."""
+    return insert_new(table, rows.dropDuplicates(["snapshot_id"]), "snapshot_id")
+
+
 def recoverable(collections: DataFrame) -> DataFrame:
     return collections.where(F.col("status").isin("queued", "running"))
 

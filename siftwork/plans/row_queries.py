@@ -14,15 +14,26 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_redacted(t):
+    """Redaction in SQL, for lower-case http(s) URLs with a host and without a user part."""
+    t = rf"""regexp_replace(regexp_replace({t}, '(?i)\bbearer[ \t\n\r\f\v]+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'),
+      '(?i)\b(token|api[_-]?key|password|passwd|secret|authorization|access[_-]?token)([ \t\n\r\f\v]*[:=][ \t\n\r\f\v]*)([^ \t\n\r\f\v,;]+)', '\1\2[REDACTED]', 'g')"""
+    t = rf"""regexp_replace({t}, '(https?://[^?# \t\n\r\f\v"''<>]+)([?#][^ \t\n\r\f\v"''<>]*)?', '\1', 'g')"""
+    return f"CASE WHEN length({t}) > 1000 THEN substr({t}, 1, 1000) || '…' ELSE {t} END"
+
+
 @query(
     "redacted_documents",
-    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\bbearer[ \t\n\r\f\v]+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'),
-      '(?i)\b(token|api[_-]?key|password|passwd|secret|authorization|access[_-]?token)([ \t\n\r\f\v]*[:=][ \t\n\r\f\v]*)([^ \t\n\r\f\v,;]+)', '\1\2[REDACTED]', 'g') AS redacted
-    FROM documents WHERE regexp_matches(text, '(?i)\b(token|password|secret|bearer|api[_-]?key)\b') AND length(text) < 800 AND NOT regexp_matches(text, '(?i)https?://')""",
+    f"SELECT doc_id, {sql_redacted('text')} AS redacted FROM documents",
 )
 def redacted_documents(spark, sf_dir):
-    some = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?i)\b(token|password|secret|bearer|api[_-]?key)\b") & (F.length("text") < 800) & ~F.col("text").rlike("(?i)https?://"))
-    return some.select("doc_id", text.redact(F.col("text")).alias("redacted"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+
+
+@query("redacted_page_log", f"""SELECT page_id, {sql_redacted("'GET ' || url || ', password=' || page_id || '; moved to <' || url || '>' || html")} AS message FROM pages""")
+def redacted_page_log(spark, sf_dir):
+    message = F.concat(F.lit("GET "), "url", F.lit(", password="), "page_id", F.lit("; moved to <"), "url", F.lit(">"), "html")
+    return table(spark, sf_dir, "pages").select("page_id", text.redact(message).alias("message"))
 
 
 @query("content_hashes", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -78,10 +89,10 @@ def update_existing(spark, sf_dir):
     return store.update_existing(base, changes, "c_custkey")
 
 
-@query("insert_new", "SELECT c_custkey FROM customer UNION SELECT o_custkey + 1000000 FROM orders WHERE o_orderkey < 100")
+@query("insert_new", "SELECT c_custkey FROM customer UNION SELECT o_custkey + 1000000 FROM orders")
 def insert_new(spark, sf_dir):
     base = table(spark, sf_dir, "customer").select("c_custkey")
-    new = table(spark, sf_dir, "orders").where("o_orderkey < 100").select((F.col("o_custkey") + 1000000).alias("c_custkey")).distinct()
+    new = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 1000000).alias("c_custkey")).distinct()
     return store.insert_new(base, new.unionAll(base), "c_custkey")
 
 

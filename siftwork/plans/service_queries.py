@@ -1,10 +1,12 @@
-"""Queries of the service surface: source selection, lists, limits, request spacing."""
+"""Queries of the service surface: source selection, requests, lists, limits, request spacing, look-ups, recipes, branches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text, urls
+from ..operators import branching, recipes, requests, selection, store
+from ..sources import search, web
 from .payload_queries import _values
 from .registry import query
 
@@ -21,26 +23,54 @@ def _sources(spark):
     return spark.createDataFrame(SOURCES, "source_id string, intents array<string>")
 
 
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 @query("source_list", _values("source_id, intents", [(s, ",".join(sorted(i))) for s, i in SOURCES]))
 def source_list(spark, sf_dir):
-    return _sources(spark).select("source_id", F.array_join(F.array_sort("intents"), ",").alias("intents"))
+    return selection.listed(_sources(spark)).select("source_id", F.array_join("intents", ",").alias("intents"))
 
 
 @query(
     "sources_for_intents",
-    _values("request, source_id", [("a", "generic_web"), ("a", "rss_atom"), ("b", "generic_web"), ("b", "openstreetmap_overpass"), ("c", "generic_web"), ("c", "rss_atom"), ("c", "wayback_cdx")]),
+    """WITH wanted AS (SELECT DISTINCT user_id AS request, event_type AS intent FROM events), offered AS (SELECT DISTINCT 'from ' || source AS source_id, CASE WHEN lang = 'en' THEN '*' WHEN lang = 'de' THEN 'click' ELSE 'signup' END AS intent FROM documents)
+    SELECT DISTINCT request, source_id FROM wanted JOIN offered ON offered.intent = '*' OR offered.intent = wanted.intent""",
 )
 def sources_for_intents(spark, sf_dir):
-    requests = spark.createDataFrame([("a", ["local_news", "reviews"]), ("b", ["cafe"]), ("c", ["historical_context"])], "request string, wanted array<string>")
-    chosen = F.array_contains("intents", "*") | F.arrays_overlap("intents", "wanted")
-    return requests.join(F.broadcast(_sources(spark)), chosen).select("request", "source_id")
+    """Users as requests, their event types as intents; sources answer by the languages that they have."""
+    return selection.sources_for(_requests(spark, sf_dir), _offered(spark, sf_dir))
+
+
+def _requests(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("request")).agg(F.array_sort(F.collect_set("event_type")).alias("wanted"))
+
+
+def _offered(spark, sf_dir):
+    intent = F.when(F.col("lang") == "en", "*").when(F.col("lang") == "de", "click").otherwise("signup")
+    return _table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("from "), "source").alias("source_id")).agg(F.collect_set(intent).alias("intents"))
+
+
+_SQL_COVERED = """WITH wanted AS (SELECT DISTINCT user_id AS request, event_type AS intent FROM events),
+  gave AS (SELECT DISTINCT user_id AS request, CASE event_type WHEN 'click' THEN 'a' WHEN 'signup' THEN 'b' ELSE 'c' END AS source_id FROM events WHERE value > 60),
+  offered(source_id, intent) AS (VALUES ('a', 'click'), ('a', 'view'), ('b', '*'), ('c', 'purchase'), ('c', 'other')),
+  met AS (SELECT DISTINCT w.request, w.intent FROM wanted w JOIN gave g ON w.request = g.request JOIN offered o ON g.source_id = o.source_id AND (o.intent = '*' OR o.intent = w.intent))
+  SELECT w.request, coalesce(string_agg(m.intent, ',' ORDER BY m.intent), '') AS covered, coalesce(string_agg(CASE WHEN m.intent IS NULL THEN w.intent END, ',' ORDER BY w.intent), '') AS uncovered
+  FROM wanted w LEFT JOIN met m ON w.request = m.request AND w.intent = m.intent GROUP BY 1"""
+
+
+@query("covered_intents", _SQL_COVERED)
+def covered_intents(spark, sf_dir):
+    gave = _table(spark, sf_dir, "events").where("value > 60").select(F.col("user_id").alias("request"), F.when(F.col("event_type") == "click", "a").when(F.col("event_type") == "signup", "b").otherwise("c").alias("source_id"))
+    offered = spark.createDataFrame([("a", ["click", "view"]), ("b", ["*"]), ("c", ["purchase", "other"])], "source_id string, intents array<string>")
+    out = selection.covered_intents(_requests(spark, sf_dir), gave, offered)
+    return out.select("request", F.array_join("covered", ",").alias("covered"), F.array_join("uncovered", ",").alias("uncovered"))
 
 
 @query("host_lists", _values("k, hosts", [(0, "a.example,b.example"), (1, ""), (2, "x")]))
 def host_lists(spark, sf_dir):
     rows = spark.createDataFrame([(0, " B.example., a.example,,b.example"), (1, ""), (2, "x")], "k int, csv string")
-    parts = F.transform(F.split("csv", ","), lambda x: F.btrim(F.btrim(F.lower(x)), F.lit(".")))
-    return rows.select("k", F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))), ",").alias("hosts"))
+    return rows.select("k", F.array_join(urls.host_list(F.col("csv")), ",").alias("hosts"))
 
 
 @query(
@@ -48,25 +78,185 @@ def host_lists(spark, sf_dir):
     "SELECT user_id, event_id, coalesce(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600, false) AS too_soon FROM events",
 )
 def request_spacing(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    seconds = F.col("ts").cast("double")
-    gap = seconds - F.lag(seconds).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.select("user_id", "event_id", F.coalesce(gap < 3600, F.lit(False)).alias("too_soon"))
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return selection.too_soon(events, "user_id", "ts", ["event_id"], 3600).select("user_id", "event_id", "too_soon")
 
 
 @query("payload_size_cap", "SELECT page_id, strlen(html) <= 4096 AS within FROM pages")
 def payload_size_cap(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (F.octet_length("html") <= 4096).alias("within"))
+    return _table(spark, sf_dir, "pages").select("page_id", selection.within_cap(F.col("html"), 4096).alias("within"))
 
 
-@query("collection_lookup", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
+@query(
+    "landed_pages",
+    r"""SELECT page_id, CASE WHEN url LIKE '%ads%' THEN 'UNSAFE_URL' WHEN strlen(html) > 4096 OR page_id % 7 = 0 THEN 'RESPONSE_TOO_LARGE' END AS error,
+    CASE WHEN url LIKE '%ads%' OR strlen(html) > 4096 OR page_id % 7 = 0 THEN 0 ELSE strlen(html) END AS bytes FROM pages""",
+)
+def landed_pages(spark, sf_dir):
+    """Pages as landed: hosts with "ads" redirect to a local address, every seventh announces a long body."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.contains("url", F.lit("ads")), "http://10.0.0.1/x").alias("final_url"), F.col("html").alias("text"), F.when(F.col("page_id") % 7 == 0, " 9999 ").otherwise("-").alias("content_length"), F.array().cast("array<string>").alias("links"))
+    return web.landed(rows, 4096).select("page_id", "error", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+
+
+@query("collection_lookup", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT 2 * l_orderkey FROM lineitem)")
 def collection_lookup(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey = 7").select("o_orderkey", "o_orderstatus")
+    wanted = _table(spark, sf_dir, "lineitem").select((2 * F.col("l_orderkey")).alias("o_orderkey"))
+    return selection.lookup(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), wanted, "o_orderkey")
+
 
+@query("rows_of_collections", "SELECT event_id, user_id AS collection_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def rows_of_collections(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("collection_id"))
+    return store.of_collections(_table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("collection_id")), wanted)
 
-@query("evidence_lineage", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+
+@query("appended_snapshots", "SELECT doc_id AS snapshot_id, count(*) AS n FROM documents GROUP BY 1")
+def appended_snapshots(spark, sf_dir):
+    """Every document appended once, though half of them are written again after a restart."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("snapshot_id"), "source")
+    first = store.append_snapshots(rows.limit(0), rows.where("snapshot_id % 2 = 0"))
+    return store.append_snapshots(first, rows).groupBy("snapshot_id").agg(F.count("*").alias("n"))
+
+
+@query("evidence_lineage", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def evidence_lineage(spark, sf_dir):
     """Child rows with their parent's key, as evidence with its observation."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("l_orderkey", "l_linenumber", "o_custkey")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return selection.lineage(lines, _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+
+
+@query(
+    "rejected_requests",
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderpriority = '' OR length(o_orderpriority) > 128 THEN 'consumer' END, CASE WHEN o_orderstatus <> 'F' AND o_totalprice < 100000 THEN 'territory' END,
+      CASE WHEN o_totalprice / 4000 > 90 THEN 'point' END, CASE WHEN o_custkey * 100 NOT BETWEEN 1 AND 100000 THEN 'radius_meters' END, CASE WHEN o_orderkey % 600 + 1 > 500 THEN 'max_pages' END, CASE WHEN o_orderkey % 8 > 5 THEN 'max_depth' END) AS broken FROM orders""",
+)
+def rejected_requests(spark, sf_dir):
+    """Orders read as collection requests, with the rules that each breaks."""
+    c = F.col
+    rows = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lit("1.0.0").alias("protocol_version"), c("o_orderpriority").alias("consumer"), F.lit("a").alias("analysis_id"),
+        F.when(c("o_orderstatus") == "F", "Town").alias("city"), F.lit("").alias("address"), F.lit(None).cast("string").alias("geometry"),
+        F.when(c("o_totalprice") >= 100000, c("o_totalprice") / 4000).alias("latitude"), F.when(c("o_totalprice") >= 100000, F.lit(0.0)).alias("longitude"),
+        (c("o_custkey") * 100).alias("radius_meters"), F.array(F.lit("reviews")).alias("intents"), (c("o_orderkey") % 600 + 1).alias("max_pages"), (c("o_orderkey") % 8).alias("max_depth"),
+    )
+    return rows.select("o_orderkey", F.array_join(requests.broken_rules(), ",").alias("broken"))
+
+
+@query("capabilities", _values("protocol_version, discovery, geocoding, archive, map", [("1.0.0", "serp", "", "cdx", "osm,osm2")]))
+def capabilities(spark, sf_dir):
+    rows = spark.createDataFrame([("discovery", "serp", True), ("discovery", "json", False), ("archive", "cdx", True), ("map", "osm2", True), ("map", "osm", True), ("geocoding", None, None)], "kind string, name string, configured boolean")
+    return requests.capabilities(rows).select("protocol_version", *[F.array_join(f"{k}_providers", ",").alias(k) for k in ("discovery", "geocoding", "archive", "map")])
+
+
+@query("capable_providers", _values("k, providers", [(0, "a,b,c"), (1, "a,b"), (2, "a"), (3, "a,c")]))
+def capable_providers(spark, sf_dir):
+    asked = spark.createDataFrame([(0, None, [], None), (1, "x", [], 0), (2, "x", ["cafe"], 10), (3, "", ["cafe"], None)], "k int, text string, categories array<string>, radius int")
+    can = spark.createDataFrame([("a", True, True, True), ("b", True, False, True), ("c", False, True, False)], "provider string, text_search boolean, category_search boolean, nearby boolean")
+    both = asked.withColumn("one", F.lit(1)).join(can.withColumn("one", F.lit(1)), "one")
+    return selection.capable(both, F.col("text"), F.col("categories"), F.col("radius")).groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("provider")), ",").alias("providers"))
+
+
+@query("page_queries", "SELECT doc_id, CASE WHEN length(trim(text)) > 499 THEN 499 ELSE length(trim(text)) END AS n FROM documents WHERE trim(text) <> ''")
+def page_queries(spark, sf_dir):
+    taken = search.page_query(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(taken).cast("long").alias("n")).where("n is not null")
+
+
+@query("first_queries", _values("k, queries", [(0, "a|b"), (1, ""), (2, "1|2|3|4|5|6|7|8")]))
+def first_queries(spark, sf_dir):
+    rows = spark.createDataFrame([(0, [" ", "a", "", "b"]), (1, []), (2, [str(i) for i in range(1, 12)])], "k int, q array<string>")
+    return rows.select("k", F.array_join(selection.first_queries(F.col("q")), "|").alias("queries"))
+
+
+@query(
+    "unblocked_hits",
+    "SELECT page_id, split_part(url, '/', 3) AS provider FROM pages WHERE split_part(url, '/', 3) NOT IN (SELECT split_part(url, '/', 3) FROM pages WHERE page_id % 40 = 0)",
+)
+def unblocked_hits(spark, sf_dir):
+    """Pages as hits of their host; a host one of whose pages is a challenge has none."""
+    rows = _table(spark, sf_dir, "pages").select(F.lit(1).alias("search"), F.split_part("url", F.lit("/"), F.lit(3)).alias("provider"), "page_id", F.when(F.col("page_id") % 40 == 0, "Please verify you are a HUMAN").otherwise(F.lit("<p>")).alias("html"))
+    return search.unblocked(rows.drop("html"), rows).select("page_id", "provider")
+
+
+@query("public_sources", "SELECT page_id, regexp_matches(u, '^https?://[^/?#@]+([/?#]|$)') AS public FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, '://', '://u:p@') WHEN 1 THEN 'ftp:' || url ELSE url END AS u FROM pages)")
+def public_sources(spark, sf_dir):
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, F.replace("url", F.lit("://"), F.lit("://u:p@"))).when(k == 1, F.concat(F.lit("ftp:"), "url")).otherwise(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", urls.is_public_source(url).alias("public"))
+
+
+@query("search_challenges", "SELECT doc_id, contains(lower(text), 'captcha') AS blocked FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' CAPTCHA ' ELSE '' END AS text FROM documents)")
+def search_challenges(spark, sf_dir):
+    shown = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " CAPTCHA ").otherwise(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.search_blocked(shown).alias("blocked"))
+
+
+@query("service_urls", _values("k, url", [(0, "https://a.example/api"), (1, None), (2, None), (3, None), (4, "http://b"), (5, None)]))
+def service_urls(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate([" https://a.example/api// ", "", "ftp://a", "http://u@a/", "http://b", "http://a/?q"])), "k int, v string")
+    return rows.select("k", urls.service_url(F.col("v")).alias("url"))
+
+
+@query("escaped_queries", _values("k, ql, regex", [(0, 'a\\"b\\\\', 'a\\"b\\\\'), (1, "x.y", "x\\.y"), (2, "кафе №1", "кафе\\ \\№1")]))
+def escaped_queries(spark, sf_dir):
+    rows = spark.createDataFrame([(0, 'a"b\\'), (1, "x.y"), (2, "кафе №1")], "k int, v string")
+    return rows.select("k", text.ql_string(F.col("v")).alias("ql"), text.regex_escaped(F.col("v")).alias("regex"))
+
+
+@query("safe_errors", _values("k, message", [(0, "HTTPError"), (1, "HTTPError"), (2, "token=[REDACTED]"), (3, "x" * 5 + "…")]))
+def safe_errors(spark, sf_dir):
+    rows = spark.createDataFrame([(0, ""), (1, None), (2, "token=abc"), (3, "x" * 9)], "k int, v string")
+    most = F.when(F.col("k") == 3, text.safe_error(F.col("v"), F.lit("HTTPError"), 5))
+    return rows.select("k", F.coalesce(most, text.safe_error(F.col("v"), F.lit("HTTPError"))).alias("message"))
+
+
+@query("blocked_agents", _values("k, blocked", [(0, True), (1, False), (2, False), (3, True)]))
+def blocked_agents(spark, sf_dir):
+    rows = spark.createDataFrame([(0, False, "Robot CHECK"), (1, True, "captcha"), (2, None, None), (3, None, "access denied")], "k int, ok boolean, d string")
+    return rows.select("k", text.agent_blocked(F.col("ok"), F.col("d")).alias("blocked"))
+
+
+@query("agent_candidates", "SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS turn, 'u' || event_id AS url FROM events WHERE event_id % 5 <> 0")
+def agent_candidates(spark, sf_dir):
+    """Each user's events as the pages of an agent's run; every fifth is the task's own URL again."""
+    visited = F.transform(F.array_sort(F.collect_list("event_id")), lambda e: F.when(e % 5 == 0, "own").otherwise(F.concat(F.lit("u"), e)))
+    return web.agent_candidates(_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("task")).agg(visited.alias("visited")).withColumn("url", F.lit("own")))
+
+
+@query(
+    "recipe_lookup",
+    """WITH r AS (SELECT split_part(url, '/', 3) AS domain, page_id % 2 AS goal, max(page_id) AS version FROM pages WHERE page_id % 3 > 0 GROUP BY 1, 2)
+    SELECT page_id, version AS recipe_id FROM (SELECT page_id, split_part(url, '/', 3) AS domain, page_id % 2 AS goal FROM pages) t LEFT JOIN r ON r.domain = t.domain AND r.goal = t.goal""",
+)
+def recipe_lookup(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 2).alias("goal"))
+    known = rows.where("page_id % 3 > 0").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("domain"), "goal", F.col("page_id").alias("version"), F.col("page_id").alias("recipe_id"))
+    return recipes.current_recipes(rows, known).select("page_id", "recipe_id")
+
+
+@query("recipe_limits", _values("k, texts, state, ms, valid", [(0, "aaa", "load", 250, True), (1, "a" * 100, None, 500, True), (2, "a" * 150 + "|b", "idle", 60000, False), (3, "", None, 10000, True)]))
+def recipe_limits(spark, sf_dir):
+    rows = spark.createDataFrame([(0, ["aaa", "b"], "0", "7", " LOAD", "1", None), (1, ["a" * 150], None, "20", "", None, None), (2, ["a" * 150, "b"], None, None, "idle", "99999999", None), (3, [], None, None, None, None, "20000")], "k int, t array<string>, items string, chars string, state string, timeout string, ms string")
+    texts, wait = recipes.extracted_texts(F.col("t"), F.col("items"), F.col("chars")), recipes.wait_step(F.col("state"), F.col("timeout"), F.col("ms"))
+    return rows.select("k", F.array_join(texts, "|").alias("texts"), wait["state"].alias("state"), wait["ms"].alias("ms"), wait["valid"].alias("valid"))
+
+
+@query(
+    "historical_branches",
+    """WITH ranked AS (SELECT split_part(url, '/', 3) AS host, page_id, url, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS r FROM pages)
+    SELECT host AS collection_id, CAST(r - 1 AS INT) AS depth, url, '"Place ' || (SELECT p.page_id FROM ranked p WHERE p.host = ranked.host AND p.r = ranked.r - 1) || '" history "' || host || '"' AS from_query FROM ranked WHERE r BETWEEN 2 AND 5""",
+)
+def historical_branches(spark, sf_dir):
+    """Each host is a collection that starts at its first page; the history query for a page's label has the host's next page as
+    its hit. Four expansions of three queries end a collection's budget of twelve."""
+    c = F.col
+    host = F.split_part("url", F.lit("/"), F.lit(3)).alias("host")
+    ids = _table(spark, sf_dir, "pages").groupBy(host).agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("p"))
+    pages = ids.select("host", F.posexplode("p").alias("r", "x")).select("host", "r", "x.url", F.concat(F.lit("Place "), "x.page_id").alias("title"))
+    observed = pages.select("host", "url", "r", F.lit(0).alias("seq"), F.lit("web_page").alias("source_kind"), "title")
+    after = pages.select("host", (c("r") - 1).alias("r"), c("url").alias("next"))
+    hits = pages.join(after, ["host", "r"]).select(F.concat(F.lit('"'), "title", F.lit('" history "'), "host", F.lit('"')).alias("query"), F.lit(1).alias("rank"), c("next").alias("url"))
+    starts = observed.where("r = 0").select(c("host").alias("collection_id"), F.lit(0).cast("bigint").alias("task_seq"), "seq", "url", "source_kind", "title")
+    collections = starts.select("collection_id", c("collection_id").alias("territory"), F.lit("en").alias("language"))
+    tasks, _ = branching.historical_branches(starts, collections, hits, observed.drop("host", "r"), max_depth=6)
+    return tasks.select("collection_id", "depth", "url", "from_query")

@@ -1,4 +1,5 @@
-"""A Python data source over captured payload files: rows (name, body), one partition per file, name filters pushed down.
+"""A Python data source over captured payload files: rows (name, body, error), one partition per file, name filters pushed
+down. A file of more than max_bytes bytes has no body and the error RESPONSE_TOO_LARGE.
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CapturedPayloads)
@@ -19,7 +20,7 @@ class CapturedPayloads(DataSource):
         return "captured"
 
     def schema(self) -> str:
-        return "name string, body string"
+        return "name string, body string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return CapturedReader(dict(self.options))
@@ -61,4 +62,6 @@ class CapturedReader(DataSourceReader):
         with system.open_input_file(f"{top}/{partition.value}") as f:
             body = f.read(self.most + 1)
         if len(body) <= self.most:
-            yield partition.value, body.decode("utf-8", "replace")
+            yield partition.value, body.decode("utf-8", "replace"), None
+        else:
+            yield partition.value, None, "RESPONSE_TOO_LARGE"

@@ -28,6 +28,21 @@ def result_target(href: Column, engine_host: str = "duckduckgo.com") -> Column:
     return F.when(own, F.when(urls.is_http(target), target)).when(urls.is_http(u), u)
 
 
+QUERY_CHARS = 499  # that a search page takes
+
+
+def page_query(query: Column) -> Column:
+    """A query as a search page takes it; null if it is blank."""
+    return F.nullif(F.substring(F.btrim(query), 1, QUERY_CHARS), F.lit(""))
+
+
+def unblocked(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """Hits of providers none of whose result pages of the search was a challenge; one blocked page discards all of its
+    provider's hits. hits: search, provider, ...; pages: search, provider, html."""
+    blocked = pages.where(text.search_blocked(F.col("html"))).select("search", "provider").distinct()
+    return hits.join(blocked, ["search", "provider"], "left_anti")
+
+
 def page_hits(pages: DataFrame, per_query: int = 5) -> DataFrame:
     """Targets of a result page's links in order, each once, no more than per_query; none from a challenge page.
     Input: search, html."""

@@ -38,6 +38,30 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return firsts.withColumn("seq", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).select("url", "seq", "link")
 
 
+BROWSER_LINKS = 1000
+
+
+def browser_links(links: Column) -> Column:
+    """The links of a page as a browser lists them: the first BROWSER_LINKS, repeats included."""
+    return F.slice(links, 1, BROWSER_LINKS)
+
+
+def landed(attempts: DataFrame, most: int = 5 << 20) -> DataFrame:
+    """Fetched pages with their error, if they have one: UNSAFE_URL for an unsafe final URL, RESPONSE_TOO_LARGE for a body or an
+    announced length beyond `most` bytes. Such rows lose their text. Input: url, final_url, text, content_length, links."""
+    final = F.coalesce("final_url", "url")
+    large = (F.octet_length("text") > most) | (F.coalesce(text.content_length(F.col("content_length")), F.lit(0)) > most)
+    error = F.when(urls.unsafe_redirect(F.col("url"), final), "UNSAFE_URL").when(F.coalesce(large, F.lit(False)), "RESPONSE_TOO_LARGE")
+    out = attempts.withColumn("final_url", final).withColumn("error", error)
+    return out.withColumn("text", F.when(F.col("error").isNull(), F.col("text"))).withColumn("links", browser_links(F.col("links")))
+
+
+def agent_candidates(runs: DataFrame) -> DataFrame:
+    """Rows (task, turn, url): pages that an agent visited, the last first, without the task's own URL. Input: task, url, visited."""
+    each = runs.select("task", F.col("url").alias("_own"), F.posexplode(F.reverse("visited")).alias("p", "url")).where("url <> _own")
+    return each.withColumn("turn", F.row_number().over(Window.partitionBy("task").orderBy("p"))).select("task", "turn", "url")
+
+
 def feed_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Rows (url, link) of alternate RSS and Atom links."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwork.functions import ids, text, urls, values
-from siftwork.operators import crawl, history, status
+from siftwork.operators import branching, crawl, history, planning, status
 from siftwork.sources.captured import CapturedPayloads
 from siftwork.streaming.health import event_counts, health_updates
 
@@ -93,7 +93,7 @@ def test_captured_files(spark, tmp_path):
     spark.dataSource.register(CapturedPayloads)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("captured").option("path", str(tmp_path)).option("max_bytes", "10").load()
-    assert sorted(map(tuple, df.collect())) == [("a.json", "[1]"), ("b.json", "[2]")]
+    assert sorted(map(tuple, df.collect())) == [("a.json", "[1]", None), ("b.json", "[2]", None), ("c.xml", None, "RESPONSE_TOO_LARGE")]
     assert [r.body for r in df.where("name = 'b.json'").collect()] == ["[2]"]
 
 
@@ -117,3 +117,118 @@ def test_windowed_counts(spark, tmp_path):
     q = event_counts(stream, "ts", "1 minute", "5 minutes", "k").writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.k, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+class Parsed(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """Links and text as the standard library's parser sees them."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.links, self.text, self.hidden = [], [], 0
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag == "a" and dict(attrs).get("href"):
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.hidden and data.strip():
+            self.text.append(data.strip())
+
+
+def test_links_and_references_as_a_parser_reads_them(spark):
+    pages = [
+        "<p>caf&eacute; &#233; &#xE9; &hellip; &copy 2020 &amp;lt; &notin; &unknown; &amp &euro;</p>",
+        "<a href='/single'>x</a><A HREF=/bare class=x>y</A><a class=\"b\" href = \"/spaced\">z</a>",
+        "<a title=\"a > b\" href=\"/q?a=1&amp;b=2&eacute;\">q</a><a title='href=/no' href=/yes>r</a><a name=n>s</a>",
+        "<script>var a = '<a href=\"/script\">';</script><!-- <a href=\"/comment\"> --><a href=\"/last\">t</a>",
+        "<abbr href=/abbr>u</abbr><a data-href=/data>v</a><a\nhref=\n/line>w</a><a href=\"\">e</a>",
+        "",
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)] + [(99, None)], "k int, html string")
+    got = {r.k: r for r in df.select("k", text.hrefs(F.col("html")).alias("links"), text.main_text(F.col("html")).alias("text")).collect()}
+    for i, p in enumerate(pages):
+        want = Parsed(p)
+        assert got[i].links == list(dict.fromkeys(want.links)), i
+        assert got[i].text.split("\n") == (want.text or [""]), i
+    assert got[99].links is None and got[99].text is None
+
+
+def test_oversized_files_are_named(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"x" * 11)
+    (tmp_path / "b.html").write_bytes(b"x" * 10)
+    spark.dataSource.register(CapturedPayloads)
+    rows = spark.read.format("captured").option("path", str(tmp_path)).option("max_bytes", "10").load().orderBy("name").collect()
+    assert [tuple(r) for r in rows] == [("a.html", None, "RESPONSE_TOO_LARGE"), ("b.html", "x" * 10, None)]
+
+
+def plain_branches(starts, territories, hits, observed, max_depth):
+    """The loop, query by query."""
+    level, seen, visited = starts, {c: [] for c in territories}, {(c, u) for c, _, _, u, _, _ in starts}
+    tasks = []
+    for depth in range(1, max_depth + 1):
+        found = {}
+        for c in territories:
+            turn = []
+            for task in sorted({t for x, t, *_ in level if x == c}):
+                taken = 0
+                for _, _, _, _, kind, title in sorted((r for r in level if r[:2] == (c, task)), key=lambda r: r[2]):
+                    label = title and " ".join(title.replace('"', "").split()).strip(" .,-")
+                    if kind == "archive_capture_index" or not label or not 3 <= len(label) <= 120 or label.lower() == territories[c].lower():
+                        continue
+                    for form in planning.BRANCHES["en"]:
+                        q = form.replace("%1", label).replace("%2", territories[c])
+                        if q not in seen[c] and taken < planning.PER_EXPANSION and len(seen[c]) < planning.PER_COLLECTION:
+                            seen[c].append(q)
+                            turn.append(q)
+                            taken += 1
+            for n, q in enumerate(turn):
+                for _, rank, url in (h for h in hits if h[0] == q):
+                    if (c, url) not in visited:
+                        found[c, url] = min(found.get((c, url), (n, rank, url, q)), (n, rank, url, q))
+        level = []
+        for c in territories:
+            for p, (_, _, url, q) in enumerate(sorted(v for (x, _), v in found.items() if x == c)):
+                tasks.append((c, depth, p, url, q))
+                visited.add((c, url))
+                level += [(c, p, seq, url, kind, title) for u, seq, kind, title in observed if u == url]
+    return tasks, seen
+
+
+def test_historical_loop(spark):
+    """Branches over several levels, with the limits of an expansion and of a collection, repeats and unusable labels."""
+    import random
+
+    rng = random.Random(3)
+    names = ["Old Mill", "Town Hall", "old mill", "x", "Bridge - ", '"Quay"', "Ghost", "Hill"]
+    observed = [(f"u{i}", s, rng.choice(["web_page", "archive_capture_index", "web_page"]), rng.choice([*names, None])) for i in range(30) for s in range(rng.randint(1, 3))]
+    territories = {"c1": "Ghost", "c2": "Elsewhere"}
+    starts = [(c, t, s, f"u{t}", k, n) for c in territories for t in range(3) for u, s, k, n in observed if u == f"u{t}"]
+    labels = ["Old Mill", "old mill", "Town Hall", "Bridge", "Quay", "Hill"]
+    hits = list({(f.replace("%1", x).replace("%2", t), r, f"u{rng.randint(0, 29)}") for x in labels for t in territories.values() for f in planning.BRANCHES["en"] for r in range(2)})
+    made = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    tasks, queries = branching.historical_branches(
+        made(starts, "collection_id string, task_seq long, seq long, url string, source_kind string, title string"),
+        made([(c, t, "en") for c, t in territories.items()], "collection_id string, territory string, language string"),
+        made(hits, "query string, rank int, url string"),
+        made(observed, "url string, seq long, source_kind string, title string"),
+        max_depth=3,
+    )
+    want, seen = plain_branches(starts, territories, hits, observed, 3)
+    assert sorted(map(tuple, tasks.collect())) == sorted(want) and len(want) > 6
+    got = queries.collect()
+    assert all(sorted(q.query for q in got if q.collection_id == c) == sorted(seen[c]) and len(seen[c]) <= planning.PER_COLLECTION for c in territories)
+
+
+def test_iteration_state_survives_a_restart(spark, tmp_path):
+    tasks = spark.createDataFrame([("c", f"k{i}", f"u{i}") for i in range(6)], "collection_id string, task_key string, url string")
+    done = tasks.where("url < 'u2'")
+    branching.checkpoint_tables(tasks, done, str(tmp_path), 4)
+    branching.checkpoint_tables(tasks, done, str(tmp_path), 4)  # written again after a lost driver
+    pending, visited = branching.restored(spark, str(tmp_path), 4)
+    assert sorted(r.url for r in pending.collect()) == ["u2", "u3", "u4", "u5"] and visited.count() == 2
