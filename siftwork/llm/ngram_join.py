@@ -319,7 +319,7 @@ def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str)
     dealt to blocks by hash, so that no task has all rows of a key.
     """
     known = signed.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
-    placed = saved(joined_in_parts(keyed, known, "node", "key", how="inner"), "placed")
+    placed = saved(keyed.join(known, "node"), "placed")  # a node has no more keys than members
     # a node is counted once for each key
     keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
     keys = keys.where("low <> high").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), F.xxhash64("c", "x").alias("group"))
@@ -332,9 +332,9 @@ def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str)
         "node",
         "label",
     )
-    # one row of a node in a tile
-    sides = sides.distinct()
-    rows = joined_in_parts(sides, signed.select("node", "n", F.col(bits).alias("bits")), "node", "tile", how="inner").select("tile", "side", "key", "node", "label", "n", "bits")
+    # one row of a node in a tile, dealt as the join needs them
+    sides = sides.repartition("node").distinct()
+    rows = sides.join(signed.select("node", "n", F.col(bits).alias("bits")), "node").select("tile", "side", "key", "node", "label", "n", "bits")
     return rows.repartition("tile").sortWithinPartitions("tile")
 
 
