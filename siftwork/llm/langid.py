@@ -134,14 +134,23 @@ class Model:
         return total
 
 
+PARTS = 16
+
+
 def train(docs: DataFrame, docs_per_language: int = 400, bytes_per_language: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit one context tree per label on a bounded sample: for each language the `docs_per_language`
     labelled documents with the smallest hash of their id, then as many of these, in that order, as hold
-    `bytes_per_language` bytes (a first longer text is cut there).
+    `bytes_per_language` bytes (a first longer text is cut there). The documents with the smallest hash are
+    found in PARTS parts of each language first, so that a hot language is no single task's. Null and empty
+    texts and null labels teach nothing; rows that repeat count as often as they are there; an empty table, or
+    one without labels, gives a model without languages, for which every text is `und`.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = labelled.where("text is not null").select("id", "lang").withColumn("k", F.row_number().over(by)).where(F.col("k") <= docs_per_language)
+    ids = labelled.where("text is not null").select("id", "lang").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(PARTS)))
+    for groups in (["lang", "part"], ["lang"]):
+        by = Window.partitionBy(*groups).orderBy(F.xxhash64("id"), "id")
+        ids = ids.withColumn("k", F.row_number().over(by)).where(F.col("k") <= docs_per_language)
+    ids = ids.select("id", "lang", "k")
     chosen = labelled.join(F.broadcast(ids), ["id", "lang"])
     size = F.octet_length("text").cast("long")
     before = F.sum(size).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
@@ -206,7 +215,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accept(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least `least_score`."""
+    """The rows of docs, all columns, whose language is known with at least `least_score`. Null and empty texts and texts
+    without letters go; rows that repeat, with null ids too, are judged each; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -211,7 +211,8 @@ def read_archives(index: DataFrame) -> DataFrame:
 
     places = saved(index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("at")).alias("at")).withColumn("k", F.xxhash64("bundle", "frame")), "warc-frames")
     # rows are a few bytes but stand for a frame each, so tasks are sized by frames
-    places = places.repartition(max(1, -(-places.count() // FRAMES_PER_TASK)), "k")
+    # sorted, so that a task opens a bundle and reads its seek table once
+    places = places.repartition(max(1, -(-places.count() // FRAMES_PER_TASK)), "k").sortWithinPartitions("bundle", "frame")
     return places.select("k", "bundle", "frame", "at").mapInArrow(load, "page_id long, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
@@ -222,5 +223,10 @@ def _records(out: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write pages to bundles in a new shared folder and read their records back."""
+    """Write pages to bundles in a new shared folder and read their records back: one row per row of pages.
+
+    Null html is an empty payload, a null url an empty target, and a null id is written as None, is always a
+    response and nothing refers to it. Rows that repeat an id and payload are records each, all responses if the
+    id is the largest. An empty table gives no bundle and no rows; further columns are ignored.
+    """
     return read_archives(write_archives(pages, new_folder(pages.sparkSession, "warc"), **options))
