@@ -20,6 +20,18 @@ def snapshot_chain(captures: DataFrame, key: str = "source_url", order: tuple[st
     return hashed.withColumn("previous_snapshot_id", F.lag(snapshot_id).over(w)).withColumn("changed", F.lag("content_hash").over(w) != F.col("content_hash"))
 
 
+def with_previous_content(captures: DataFrame, key: str, capture_id: str, content: str) -> DataFrame:
+    """Each capture (ids are unique) with before_id and before: the id and content of its key's previous capture.
+
+    Only ids are sorted by key; contents meet by the id that they are wanted for, so a key with many captures
+    gathers none of them.
+    """
+    order = captures.select(key, capture_id).withColumn("before_id", F.lag(capture_id).over(Window.partitionBy(key).orderBy(capture_id)))
+    wanted = order.where("before_id is not null").select("before_id", F.col(capture_id).alias("for_id"))
+    given = captures.select(F.col(capture_id).alias("before_id"), F.col(content).alias("before")).join(wanted, "before_id")
+    return captures.join(given, F.col(capture_id) == F.col("for_id"), "left").drop("for_id")
+
+
 @pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series, name: pd.Series) -> pd.Series:
     """Unified line diff with three lines of context; null where nothing precedes or changes."""

@@ -69,8 +69,8 @@ def snapshot_chain(spark, sf_dir):
 @query("unified_diff")
 def unified_diff(spark, sf_dir):
     captures = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    before = dedupe.with_previous(dedupe.with_previous(captures, ["source"], ["doc_id"], "text", "before"), ["source"], ["doc_id"], "doc_id", "before_id")
-    return before.select("doc_id", history.unified_diff(F.col("before"), F.col("text"), F.col("before_id").cast("string")).alias("diff"))
+    both = history.with_previous_content(captures, "source", "doc_id", "text")
+    return both.select("doc_id", history.unified_diff(F.col("before"), F.col("text"), F.col("before_id").cast("string")).alias("diff"))
 
 
 @query(
