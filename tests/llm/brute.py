@@ -60,6 +60,34 @@ def contamination(docs, items, size):
     return out
 
 
+def decontaminated(docs, items, size, most):
+    """id -> text without hit words, for those of which at most `most` of the words are hit."""
+    windows = set()
+    for _, t in items:
+        w = ALNUM_WORD.findall(lower(t or ""))
+        n = min(size, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if n else 0)}
+    out = {}
+    for d, t in docs:
+        found = list(ALNUM_WORD.finditer(lower(t or "")))
+        w = [m[0] for m in found]
+        hit = {k + i for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for i in range(n)}
+        if len(hit) > most * len(w):
+            continue
+        if hit:
+            parts, at = [], 0
+            for k in sorted(hit):
+                if k - 1 not in hit:
+                    end = k
+                    while end + 1 in hit:
+                        end += 1
+                    parts.append(t[at : found[k].start()].encode().rstrip())
+                    at = found[end].end()
+            t = b" ".join([*parts, t[at:].encode().lstrip()]).decode().strip()
+        out[d] = t
+    return out
+
+
 def archives(rows):
     payloads = [(h or "").encode() for _, _, h in rows]
     ids = collections.defaultdict(list)

@@ -180,6 +180,10 @@ def test_url_automaton_equals_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best.text, best.verdict if best else "allow")
 
 
+def test_urls_of_nothing(spark):
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), url_filter.RULES).count() == 0
+
+
 def test_automaton_over_many_words():
     globs = [f"p{i}*x{i}**" for i in range(40)]
     a = url_filter.WildcardAutomaton(globs)
