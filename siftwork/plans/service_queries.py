@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import branching, recipes, requests, selection, store
-from ..sources import search, web
+from ..operators import branching, crawl, diagnostics, health, recipes, requests, selection, store
+from ..sources import places, search, web
 from .payload_queries import _values
 from .registry import query
 
@@ -260,3 +260,55 @@ def historical_branches(spark, sf_dir):
     collections = starts.select("collection_id", c("collection_id").alias("territory"), F.lit("en").alias("language"))
     tasks, _ = branching.historical_branches(starts, collections, hits, observed.drop("host", "r"), max_depth=6)
     return tasks.select("collection_id", "depth", "url", "from_query")
+
+
+@query(
+    "page_budget",
+    "SELECT user_id AS collection_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 1 + user_id % 5 AS in_budget FROM events",
+)
+def page_budget(spark, sf_dir):
+    tasks = _table(spark, sf_dir, "events").select(F.col("user_id").alias("collection_id"), F.col("event_id").alias("seq"))
+    return crawl.within_budget(tasks, 1 + F.col("collection_id") % 5).select("collection_id", "seq", "in_budget")
+
+
+@query("outcome_codes", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'E1' WHEN event_type = 'purchase' THEN 'SOURCE_BLOCKED' WHEN event_type = 'error' THEN 'SOURCE_PARTIAL' END AS code FROM events")
+def outcome_codes(spark, sf_dir):
+    outcome = F.when(F.col("event_type") == "purchase", "blocked").when(F.col("event_type") == "error", "degraded").otherwise("ok")
+    code = health.default_error(outcome, F.when(F.col("event_type") == "click", "E1"))
+    return _table(spark, sf_dir, "events").select("event_id", code.alias("code"))
+
+
+@query("named_places", "SELECT p_partkey AS place_id FROM part WHERE p_size <= 40 AND contains(lower(p_name), lower('A'))")
+def named_places(spark, sf_dir):
+    """Parts as places on a meridian, one metre for each unit of size."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place_id"), F.col("p_name").alias("name"), (F.col("p_size") / 111195.0).alias("latitude"), F.lit(0.0).alias("longitude"))
+    return places.within_radius(rows, 0.0, 0.0, 40.5, text="A").select("place_id")
+
+
+@query(
+    "log_records",
+    """SELECT '{"timestamp":"' || event_id || '","severity":"INFO","logger":"x","message":"did ' || event_type || ' with token=[REDACTED]"' || CASE WHEN user_id % 2 = 0 THEN ',"collection_id":"' || user_id || '"' ELSE '' END || ',"status":"ok"}' AS record FROM events""",
+)
+def log_records(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("timestamp"), F.lit("INFO").alias("severity"), F.lit("x").alias("logger"), F.concat(F.lit("did "), "event_type", F.lit(" with token=abc")).alias("message"),
+        F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("collection_id"), F.lit("ok").alias("status"), F.lit("hidden").alias("password"),
+    )
+    return diagnostics.log_records(rows)
+
+
+@query("json_actions", """SELECT event_id, '{"click":{"index":' || event_id % 9 || ',"text":null}}' AS action, '"' || event_type || '"' AS kind, CAST(event_id % 3 AS VARCHAR) AS n FROM events""")
+def json_actions(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.struct(F.struct((F.col("event_id") % 9).alias("index"), F.lit(None).cast("string").alias("text")).alias("click")).alias("action"), F.col("event_type").alias("kind"), (F.col("event_id") % 3).alias("n"))
+    for name in ("action", "kind", "n"):
+        rows = diagnostics.json_safe(rows, name)
+    return rows
+
+
+@query("replayed_pages", "SELECT url, count(*) AS n FROM pages GROUP BY 1")
+def replayed_pages(spark, sf_dir):
+    """Observations of all pages written twice, as after a restart, are the observations written once."""
+    seen = web.observations(_table(spark, sf_dir, "pages"), F.lit("run-1")).select("observation_id", "source_url")
+    once = store.upsert(seen.limit(0).withColumn("seq", F.lit(0)), seen.withColumn("seq", F.lit(1)), ["observation_id"], "seq")
+    again = store.upsert(once, seen.withColumn("seq", F.lit(2)), ["observation_id"], "seq")
+    return again.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
