@@ -105,10 +105,10 @@ def joined_in_parts(many: DataFrame, one: DataFrame, key: str, salt: str, how: s
     return many.withColumn("_part", F.pmod(F.xxhash64(F.col(salt)), F.lit(SALTS)).cast("int")).join(parts, [key, "_part"], how).drop("_part")
 
 
-def joined_by_share(many: DataFrame, one: DataFrame, key: str, salt: str, name: str, rows: int = 512) -> DataFrame:
+def joined_by_share(many: DataFrame, one: DataFrame, key: str, salt: str, rows: int = 512) -> DataFrame:
     """many joined with one (each key at most once, long values) on key. A key with c rows in `many`, more than `rows`, is
     dealt over c / rows parts by a hash of `salt`, and its row of `one` is repeated for these only."""
-    hot = saved(many.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > rows).select(key, F.ceil(F.col("c") / rows).cast("int").alias("_parts")), f"{name}-hot")
+    hot = many.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > rows).select(key, F.ceil(F.col("c") / rows).cast("int").alias("_parts"))
     dealt = joined_in_parts(many, hot, key, salt, how="left").withColumn("_share", F.pmod(F.xxhash64(F.col(salt)), F.coalesce("_parts", F.lit(1)).cast("bigint"))).drop("_parts")
     spread = one.join(hot, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1))).drop("_parts")
     return dealt.join(spread, [key, "_share"]).drop("_share")
@@ -136,7 +136,8 @@ class IdFilter:
         self.bits = bits
         self.table = ids.sparkSession.sparkContext.broadcast(table)
 
-    def keep(self, df: DataFrame, column: str) -> DataFrame:
+    def keep(self, df: DataFrame, column: str, work, schema: str) -> DataFrame:
+        """What `work`, a function over Arrow batches, makes of the rows of df that may have an id of the filter."""
         bits, table = self.bits, self.table
 
         def some(batches):
@@ -148,7 +149,7 @@ class IdFilter:
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(hit.astype(bool)))
 
         where = F.xxhash64(F.col(column)).bitwiseAND(F.lit((1 << bits) - 1))
-        return df.select("*", where.alias("_where")).mapInArrow(some, df.schema)
+        return df.select("*", where.alias("_where")).mapInArrow(lambda batches: work(some(batches)), schema)
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -169,7 +170,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         # hooking: the old label's own node also takes the smaller label
         hook = low.where("low < label").groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
         low = low.join(hook, "node", "left").select("node", "label", F.least("low", F.coalesce("hook", "low")).alias("low"))
-        low = saved(low, f"{name}-{turn}-low")
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("to"))
         after = saved(joined_in_parts(low, jump, "low", "node", how="left").select("node", F.least("low", F.coalesce("to", "low")).alias("new"), "label"), f"{name}-{turn}")
         if not after.where("new <> label").take(1):

@@ -306,7 +306,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
                     keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    full = joined_by_share(joined_by_share(pairs, b, "b", "a", f"{name}-b"), a, "a", "b", f"{name}-a").select("a", "b", "a_text", "b_text")
+    full = joined_by_share(joined_by_share(pairs, b, "b", "a"), a, "a", "b").select("a", "b", "a_text", "b_text")
     return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 
 
@@ -319,7 +319,7 @@ def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str)
     dealt to blocks by hash, so that no task has all rows of a key.
     """
     known = signed.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
-    placed = saved(keyed.join(known, "node"), "placed")  # a node has no more keys than members
+    placed = keyed.join(known, "node")  # a node has no more keys than members
     # a node is counted once for each key
     keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
     keys = keys.where("low <> high").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), F.xxhash64("c", "x").alias("group"))
@@ -415,13 +415,13 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
     involved = groups.select("node").distinct()
     heads = saved(table.where("n > 0").groupBy("node").agg(F.min("id").alias("head")).join(involved, "node", "left_semi"), "heads")
     # only texts of ids that head a node sharing a key move from here on; as rows of one id may have other texts, each text's node is made again
-    near = IdFilter(heads, "head").keep(rows, "id").select("text").mapInArrow(named, "node long, text string")
+    near = IdFilter(heads, "head").keep(rows.select("text", "id"), "id", named, "node long, text string")
     texts = saved(near.repartition("node").dropDuplicates(["node"]), "texts")
     signed = saved(texts.mapInArrow(signatures, "node long, n long, short binary, long binary"), "signatures")
 
     pairs = stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     for x, y in ("ab", "ba"):
-        pairs = joined_by_share(pairs, signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x, y, f"stars-{x}")
+        pairs = joined_by_share(pairs, signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x, y)
     pairs = pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
     linked = _verified(saved(pairs, "star-pairs"), texts, n, percent, "star-links")
     labels = components(linked, "stars")

@@ -277,7 +277,7 @@ def _hot_ranges(dealt: DataFrame, depth: int) -> DataFrame:
     """
     folded = saved(dealt.groupBy("key", "bytes").agg(F.min(F.struct("id", "place")).alias("first")).select("key", "first.id", "first.place", "bytes"), "folded")
     equal = dealt.select("id", "place").join(folded.select("id", "place"), ["id", "place"], "left_anti")
-    large = F.broadcast(saved(folded.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT_RUNS).select("key"), "large"))
+    large = saved(folded.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT_RUNS).select("key"), "large")  # small: Spark broadcasts it
     few = folded.join(large, "key", "left_anti").select("key", "id", "place", "bytes").repartition("key").sortWithinPartitions("key", "id", "place")
     single = saved(folded.join(large, "key", "left_semi").select("id", "place", "bytes").mapInArrow(_single_windows(depth), WINDOW), "windows")
     earliest = single.groupBy("a", "b").agg(F.min(F.struct("id", "place")).alias("first")).select("first.id", "first.place")
