@@ -39,6 +39,7 @@ BLOCK = 512  # nodes of a block, on average; a tile has two blocks
 MOST_BITS = 1 << 16  # of a bitmap
 SHORT, LONG = 2, 4  # bits of a bitmap for each member, rounded up to a power of two
 ROUNDS = 3
+FEW_PAIRS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -287,7 +288,7 @@ def _bounded(percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) that are linked, by exact intersection of their sorted arrays."""
+    """Pairs (a, b), a saved table, that are linked, by exact intersection of their sorted arrays."""
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
 
     def intersect(batches):
@@ -306,6 +307,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
                     keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
+    if pairs.count() <= FEW_PAIRS:  # their nodes take 4 MB at most, so they are broadcast and only their texts move
+        a, b = (side.join(F.broadcast(pairs.select(x)), x, "left_semi") for side, x in ((a, "a"), (b, "b")))
     full = joined_by_share(joined_by_share(pairs, b, "b", "a"), a, "a", "b").select("a", "b", "a_text", "b_text")
     return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 

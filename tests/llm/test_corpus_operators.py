@@ -47,6 +47,7 @@ def near_copies(rng):
 def test_join_components(spark, monkeypatch, rounds, block):
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0 if block == 3 else 1 << 19)
     docs = near_copies(random.Random(3 + rounds))
     df = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id long, text string, node string, n int").repartition(5)
     assert sorted(map(tuple, ngram_join.join_components(df).collect()), key=str) == sorted(components(docs), key=str)
