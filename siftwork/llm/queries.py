@@ -1,4 +1,4 @@
-"""The queries op1..op10 over whole tables, and SQL for those that SQL can express."""
+"""The queries op1..op13 over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -80,11 +80,46 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), depth=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .relative_lz import remove_repeated_words
+
+    return remove_repeated_words(read(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep_groups=False)
+
+
 def _sql() -> dict[str, str]:
     from .url_filter import SQL
 
     return {"op8_url_filters": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_decontamination, op4_warc, op5_packing, op6_token_counts, op7_quality_rules, op8_url_filters, op9_language_id, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_html_extraction,
+        op3_decontamination,
+        op4_warc,
+        op5_packing,
+        op6_token_counts,
+        op7_quality_rules,
+        op8_url_filters,
+        op9_language_id,
+        op10_suffix_dedup,
+        op11_substring_dedup,
+        op12_embedding_whitening,
+        op13_tokenizer_alignment,
+    )
+}
 ORACLE = _sql()
