@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .crawl import checkpointed
 from .planning import BRANCHES, PER_COLLECTION, PER_EXPANSION, clean_label, usable_label
+from .turns import Turns
 
 #: Kinds of sources whose observations name no entities.
 NON_ENTITY_KINDS = ["archive_capture_index"]
@@ -50,45 +51,63 @@ def expand_tasks(labels: DataFrame, collections: DataFrame, seen: DataFrame) ->
     return both.select("collection_id", F.posexplode(F.aggregate("turns", none, turn)).alias("n", "x")).select("collection_id", "x.task_seq", "n", "x.query")
 
 
-def historical_branches(starts: DataFrame, collections: DataFrame, hits: DataFrame, observed: DataFrame, max_depth: int, save=None) -> tuple[DataFrame, DataFrame]:
+def historical_branches(starts: DataFrame, collections: DataFrame, hits: DataFrame, observed: DataFrame, max_depth: int, save=None, turns: Turns | None = None) -> tuple[DataFrame, DataFrame]:
     """The loop over captured search results: (tasks, queries).
 
     starts: collection_id, task_seq, seq, url, source_kind, title of the first observations; collections: collection_id,
     territory, language, only of those that ask for history; hits: query, rank, url; observed: url, seq, source_kind,
     title. tasks: collection_id, depth, task_seq, url, from_query; queries: collection_id, depth, query. A URL is a
     task of its collection once; a query without hits gives no task and no error. Each level is saved as the
-    frontier of the next, so a lost executor costs at most one level.
+    frontier of the next, so a lost executor costs at most one level. With `turns`, levels are its turns, and the loop
+    goes on from the newest whole one, so a lost driver costs at most one level as well.
     """
-    save = save or checkpointed(starts.sparkSession)
     spark = starts.sparkSession
-    level = starts.join(collections.select("collection_id"), "collection_id", "left_semi").select("collection_id", "task_seq", "seq", "source_kind", "title")
-    visited = starts.select("collection_id", "url").distinct()
+    if turns is None:
+        save = save or checkpointed(spark)
+        keep = lambda depth, name, rows: save(rows)
+    else:
+        keep = turns.write
+    done = turns.newest() if turns else 0
     queries = spark.createDataFrame([], "collection_id string, depth int, query string")
     tasks = spark.createDataFrame([], "collection_id string, depth int, task_seq bigint, url string, from_query string")
-    for depth in range(1, max_depth + 1):
-        new = save(expand_tasks(entity_labels(level), collections, queries.select("collection_id", "query")))
+    visited = starts.select("collection_id", "url").distinct()
+    level = starts.join(collections.select("collection_id"), "collection_id", "left_semi").select("collection_id", "task_seq", "seq", "source_kind", "title")
+    observations = lambda frontier: frontier.join(observed, "url").select("collection_id", "task_seq", "seq", "source_kind", "title")
+    if done:
+        queries, tasks = (turns.upto(min(done, max_depth), name, none) for name, none in (("queries", queries), ("tasks", tasks)))
+        visited = visited.unionByName(tasks.select("collection_id", "url"))
+        frontier = turns.read(done, "tasks")
+        if not frontier.take(1):
+            return tasks, queries
+        level = observations(frontier)
+    for depth in range(done + 1, max_depth + 1):
+        new = keep(depth, "queries", expand_tasks(entity_labels(level), collections, queries.select("collection_id", "query")).withColumn("depth", F.lit(depth)))
         found = new.join(hits, "query").groupBy("collection_id", "url").agg(F.min(F.struct("n", "rank", "query")).alias("at"))
         fresh = found.join(visited, ["collection_id", "url"], "left_anti")
         order = F.struct("at.n", "at.rank", "url")
         ranked = fresh.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("url"), F.col("at.query").alias("from_query")))).alias("t"))
-        frontier = save(ranked.select("collection_id", F.lit(depth).alias("depth"), F.posexplode("t").alias("p", "x")).select("collection_id", "depth", F.col("p").cast("bigint").alias("task_seq"), "x.url", "x.from_query"))
-        queries = queries.unionByName(new.select("collection_id", F.lit(depth).alias("depth"), "query"))
+        frontier = keep(depth, "tasks", ranked.select("collection_id", F.lit(depth).alias("depth"), F.posexplode("t").alias("p", "x")).select("collection_id", "depth", F.col("p").cast("bigint").alias("task_seq"), "x.url", "x.from_query"))
+        if turns:
+            turns.mark(depth)
+        queries = queries.unionByName(new.select("collection_id", "depth", "query"))
         if not frontier.take(1):
             break
         tasks = tasks.unionByName(frontier)
         visited = visited.unionByName(frontier.select("collection_id", "url"))
-        level = frontier.join(observed, "url").select("collection_id", "task_seq", "seq", "source_kind", "title")
+        level = observations(frontier)
     return tasks, queries
 
 
-def checkpoint_tables(tasks: DataFrame, done: DataFrame, folder: str, turn: int) -> None:
-    """The state of an iteration as two tables: `visited` (task keys that were processed) and `pending` (the rest), each in a
-    folder of its turn, so that a restart reads the last whole turn. tasks and done: collection_id, task_key, ..."""
+def checkpoint_tables(tasks: DataFrame, done: DataFrame, turns: Turns, turn: int) -> None:
+    """The state of a collection's loop as the two tables of a turn: `visited` (task keys that were processed) and `pending`
+    (the rest). tasks and done: collection_id, task_key, ..."""
     keys = ["collection_id", "task_key"]
-    done.select(*keys).distinct().write.mode("overwrite").parquet(f"{folder}/turn={turn}/visited")
-    tasks.join(done.select(*keys), keys, "left_anti").write.mode("overwrite").parquet(f"{folder}/turn={turn}/pending")
+    turns.write(turn, "visited", done.select(*keys).distinct())
+    turns.write(turn, "pending", tasks.join(done.select(*keys), keys, "left_anti"))
+    turns.mark(turn)
 
 
-def restored(spark, folder: str, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(pending, visited) of a turn."""
-    return spark.read.parquet(f"{folder}/turn={turn}/pending"), spark.read.parquet(f"{folder}/turn={turn}/visited")
+def restored(turns: Turns) -> tuple[DataFrame, DataFrame] | None:
+    """(pending, visited) of the newest whole turn; None before the first."""
+    turn = turns.newest()
+    return (turns.read(turn, "pending"), turns.read(turn, "visited")) if turn else None

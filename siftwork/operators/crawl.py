@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .turns import Turns
+
 
 def expand_links(tasks: DataFrame, links: DataFrame, max_depth: int, max_links: int, in_scope: Column) -> DataFrame:
     """Child tasks of fetched tasks: feed links keep the depth and know no limit of it; page links add one, below max_depth
@@ -19,20 +21,36 @@ def expand_links(tasks: DataFrame, links: DataFrame, max_depth: int, max_links:
     return feed.unionByName(page)
 
 
-def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, save=None) -> DataFrame:
+def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, save=None, turns: Turns | None = None) -> DataFrame:
     """Rows (node, depth) reachable from seeds (node) over edges (src, dst), each at its smallest depth.
 
     One job per level: the frontier joins the edges, and nodes seen before are taken out. `save` cuts the
-    lineage of each level; by default DataFrame.checkpoint(), which writes to the shared checkpoint folder.
+    lineage of each level; by default DataFrame.checkpoint(), which writes to the shared checkpoint folder. With `turns`,
+    level d is turn d + 1, and the loop goes on from the newest whole one.
     """
-    save = save or checkpointed(edges.sparkSession)
-    frontier = save(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
-    for depth in range(1, max_depth + 1):
-        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = save(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+    if turns is None:
+        save = save or checkpointed(edges.sparkSession)
+
+    def keep(depth: int, rows: DataFrame) -> DataFrame:
+        if turns is None:
+            return save(rows)
+        found = turns.write(depth + 1, "frontier", rows)
+        turns.mark(depth + 1)
+        return found
+
+    first = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    done = min(turns.newest(), max_depth + 1) if turns else 0
+    if done:
+        frontier = turns.read(done, "frontier")
+        seen = turns.upto(done, "frontier", first.limit(0))
+    else:
+        frontier = seen = keep(0, first)
+        done = 1
+    for depth in range(done, max_depth + 1):
         if not frontier.take(1):
             break
+        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = keep(depth, found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -7,15 +7,6 @@ from pyspark.sql import functions as F
 
 from .dedupe import latest
 
-#: Tables of the store. Observations and evidence are laid out by collection, snapshots by URL's host, recipes by domain.
-SCHEMAS = {
-    "collections": "collection_id string, status string, body string, created_at timestamp, updated_at timestamp",
-    "observations": "observation_id string, collection_id string, body string",
-    "evidence": "evidence_id string, collection_id string, body string",
-    "snapshots": "snapshot_id string, source_url string, collected_at timestamp, body string",
-    "site_recipes": "recipe_id string, domain string, goal string, version int, body string",
-}
-KEYS = {"collections": ["collection_id"], "observations": ["observation_id"], "evidence": ["evidence_id"], "snapshots": ["snapshot_id"], "site_recipes": ["recipe_id"]}
 TERMINAL = ["completed", "partial", "blocked", "failed", "cancelled"]
 
 

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import page_queries, payload_queries, row_queries, service_queries  # noqa: F401
+    from . import page_queries, payload_queries, row_queries, service_queries, state_queries  # noqa: F401
 
 
 _load()

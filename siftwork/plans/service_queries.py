@@ -249,6 +249,11 @@ def recipe_limits(spark, sf_dir):
 def historical_branches(spark, sf_dir):
     """Each host is a collection that starts at its first page; the history query for a page's label has the host's next page as
     its hit. Four expansions of three queries end a collection's budget of twelve."""
+    tasks, _ = branching.historical_branches(*branch_inputs(spark, sf_dir), max_depth=6)
+    return tasks.select("collection_id", "depth", "url", "from_query")
+
+
+def branch_inputs(spark, sf_dir):
     c = F.col
     host = F.split_part("url", F.lit("/"), F.lit(3)).alias("host")
     ids = _table(spark, sf_dir, "pages").groupBy(host).agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("p"))
@@ -258,8 +263,7 @@ def historical_branches(spark, sf_dir):
     hits = pages.join(after, ["host", "r"]).select(F.concat(F.lit('"'), "title", F.lit('" history "'), "host", F.lit('"')).alias("query"), F.lit(1).alias("rank"), c("next").alias("url"))
     starts = observed.where("r = 0").select(c("host").alias("collection_id"), F.lit(0).cast("bigint").alias("task_seq"), "seq", "url", "source_kind", "title")
     collections = starts.select("collection_id", c("collection_id").alias("territory"), F.lit("en").alias("language"))
-    tasks, _ = branching.historical_branches(starts, collections, hits, observed.drop("host", "r"), max_depth=6)
-    return tasks.select("collection_id", "depth", "url", "from_query")
+    return starts, collections, hits, observed.drop("host", "r")
 
 
 @query(

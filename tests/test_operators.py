@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import ids, text, urls, values
 from siftwork.operators import branching, crawl, history, planning, status
+from siftwork.operators.turns import Turns
 from siftwork.sources.captured import CapturedPayloads
 from siftwork.streaming.health import event_counts, health_updates
 
@@ -228,7 +229,11 @@ def test_historical_loop(spark):
 def test_iteration_state_survives_a_restart(spark, tmp_path):
     tasks = spark.createDataFrame([("c", f"k{i}", f"u{i}") for i in range(6)], "collection_id string, task_key string, url string")
     done = tasks.where("url < 'u2'")
-    branching.checkpoint_tables(tasks, done, str(tmp_path), 4)
-    branching.checkpoint_tables(tasks, done, str(tmp_path), 4)  # written again after a lost driver
-    pending, visited = branching.restored(spark, str(tmp_path), 4)
+    turns = Turns(spark, str(tmp_path))
+    assert branching.restored(turns) is None
+    branching.checkpoint_tables(tasks, done.limit(0), turns, 1)
+    branching.checkpoint_tables(tasks, done, turns, 2)
+    branching.checkpoint_tables(tasks, done, turns, 2)  # written again after a lost driver
+    turns.write(3, "visited", done)  # a turn that was never marked
+    pending, visited = branching.restored(Turns(spark, str(tmp_path)))
     assert sorted(r.url for r in pending.collect()) == ["u2", "u3", "u4", "u5"] and visited.count() == 2
