@@ -71,10 +71,12 @@ def title(html: Column) -> Column:
     return F.nullif(t, F.lit(""))
 
 
-def hrefs(html: Column, tag: str = "a") -> Column:
-    """href values of a tag in document order, first seen once."""
+def hrefs(html: Column, tag: str = "a", where=None) -> Column:
+    """href values of a tag in document order, first seen once; `where`: of those tags alone for which it holds."""
     seen = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
     tags = F.regexp_extract_all(seen, F.lit(rf"""(?is)<{tag}[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+    if where is not None:
+        tags = F.filter(tags, where)
     values = F.transform(tags, lambda x: F.regexp_replace(F.regexp_extract(x, HREF, 1), r"""^["']|["']$""", ""))
     # the values are unescaped as one text, as Python functions cannot run inside an array
     joined = unescape(F.array_join(F.filter(values, lambda x: x != ""), HREF_MARK))
@@ -145,9 +147,11 @@ def charset(content_type: Column) -> Column:
 
 def content_length(value: Column) -> Column:
     """A length header as a number of at least 0; null where it is none."""
-    return F.greatest(F.lit(0).cast("long"), F.btrim(value).try_cast("long"))
+    n = F.btrim(value).try_cast("long")
+    return F.when(n.isNotNull(), F.greatest(F.lit(0).cast("long"), n))
 
 
 def bounded_int(value: Column, least: int, most: int) -> Column:
     """An integer clamped to a range; text that is no number is null."""
-    return F.greatest(F.lit(least), F.least(F.lit(most), value.try_cast("int")))
+    n = value.try_cast("int")
+    return F.when(n.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), n)))

@@ -32,10 +32,20 @@ def listed(sources: DataFrame) -> DataFrame:
     return sources.select("source_id", F.array_sort("intents").alias("intents"))
 
 
-def capable(providers: DataFrame, text: Column, categories: Column, radius: Column) -> DataFrame:
-    """Providers that can do all that a request needs. Input: text_search, category_search, nearby beside the request's columns."""
-    needs = lambda asked, can: ~F.coalesce(asked, F.lit(False)) | F.col(can)
-    return providers.where(needs(text != "", "text_search") & needs(F.size(categories) > 0, "category_search") & needs(radius > 0, "nearby"))
+ABILITIES = ("text_search", "category_search", "nearby")
+
+
+def capable(requests: DataFrame, providers: DataFrame, text: Column, categories: Column, radius: Column) -> DataFrame:
+    """Requests with each provider that can do all that they need: a text, categories, a radius. Providers: text_search,
+    category_search, nearby beside their own columns.
+
+    What a request needs is a number of three bits; a provider answers every number whose bits it has, so both meet in an
+    equi-join. Nulls need nothing and can do nothing; a request that nobody can serve gives no row.
+    """
+    bits = lambda flags: sum((F.coalesce(f, F.lit(False)).cast("int") * (1 << i) for i, f in enumerate(flags)), F.lit(0))
+    asked = requests.withColumn("_needs", bits([text != "", F.size(categories) > 0, radius > 0]))
+    able = providers.withColumn("_can", bits([F.col(a) for a in ABILITIES])).withColumn("_needs", F.explode(F.sequence(F.lit(0), F.lit((1 << len(ABILITIES)) - 1))))
+    return asked.join(able.where(F.col("_can").bitwiseAND(F.col("_needs")) == F.col("_needs")).drop("_can"), "_needs").drop("_needs")
 
 
 def first_queries(queries: Column, most: int = 8) -> Column:

@@ -1,9 +1,7 @@
-"""Queries over captured payloads: small literal inputs decoded by the source operators, held against literal results."""
+"""Queries over captured payloads: each row of a table becomes a payload, and the source operators decode it again."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import text, urls, values
@@ -12,324 +10,379 @@ from ..sources import archive, feeds, places, search, web
 from .registry import query
 
 
-def _values(columns: str, rows: list[tuple]) -> str:
-    def lit(x):
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).lower()
-        if isinstance(x, str):
-            return "'" + x.replace("'", "''") + "'"
-        return repr(x)
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"
 
+def _id(column):
+    return F.col(column).cast("string")
 
-CDX = [
-    ["timestamp", "original", "mimetype", "statuscode", "digest", "length"],
-    ["20200102030405", "http://site.example/a", "text/html", "200", "AAA", "120"],
-    ["20200102030405", "http://site.example/a", "text/html", "200", "AAA", "121"],
-    ["2021", "http://site.example/b", "", "200", "BBB", "-"],
-    ["20220101000000", "ftp://site.example/c", "text/html", "200", "CCC", "5"],
-    ["20230231000000", "https://site.example/d", "text/html", "oops", "", "7"],
-]
 
+def _two(number):
+    """A number of two digits."""
+    return F.lpad(number.cast("string"), 2, "0")
 
-def _captures(spark):
-    rows = [("http://site.example/a", json.dumps(CDX)), ("http://empty.example/", json.dumps(CDX[:1])), ("http://bad.example/", "no json")]
-    return archive.captures(spark.createDataFrame(rows, "url string, payload string"), limit=5)
 
+def _by(number, *cases):
+    """One case for each remainder of a number."""
+    out = F
+    for i, case in enumerate(cases[:-1]):
+        out = out.when(number % len(cases) == i, case)
+    return out.otherwise(cases[-1])
 
-@query(
-    "cdx_decode",
-    _values(
-        "url, rank, timestamp, captured_at, original, mimetype, status, digest, length, capture_url",
-        [
-            ("http://site.example/a", 1, "20200102030405", "2020-01-02 03:04:05", "http://site.example/a", "text/html", 200, "AAA", 120, "https://web.archive.org/web/20200102030405id_/http://site.example/a"),
-            ("http://site.example/a", 2, "2021", None, "http://site.example/b", None, 200, "BBB", None, "https://web.archive.org/web/2021id_/http://site.example/b"),
-            ("http://site.example/a", 3, "20230231000000", None, "https://site.example/d", "text/html", None, None, 7, "https://web.archive.org/web/20230231000000id_/https://site.example/d"),
-        ],
-    ),
-)
+
+def _captures(spark, sf_dir):
+    """Each page as an archive's index of four rows (one again, one no web address), every other one with its columns in
+    reverse; of ten pages one has no rows and one no JSON."""
+    i = F.col("page_id")
+    at = F.concat(F.lit("20200102"), _two(i % 24), _two(i % 60), F.lit("05"))
+    lit = F.lit
+    rows = [
+        list(map(lit, ("timestamp", "original", "mimetype", "statuscode", "digest", "length"))),
+        [at, F.col("url"), lit("text/html"), (200 + i % 5).cast("string"), F.concat(lit("D"), _id("page_id")), _id("page_id")],
+        [at, F.col("url"), lit("text/plain"), lit("200"), lit("AAA"), lit("1")],
+        [lit("2021"), F.concat("url", lit("#b")), lit(""), lit("oops"), lit(""), lit("-")],
+        [at, F.concat(lit("ftp://x/"), _id("page_id")), lit("text/html"), lit("200"), lit("BBB"), lit("5")],
+    ]
+    whole = F.when(i % 2 == 0, F.array(*[F.array(*r) for r in rows])).otherwise(F.array(*[F.array(*reversed(r)) for r in rows]))
+    payload = F.when(i % 10 == 9, "no json").when(i % 10 == 8, F.to_json(F.slice(whole, 1, 1))).otherwise(F.to_json(whole))
+    return archive.captures(_table(spark, sf_dir, "pages").select(F.concat(lit("p"), _id("page_id")).alias("url"), payload.alias("payload")), limit=5)
+
+
+_SQL_CAPTURES = """WITH c AS (SELECT page_id, 'p' || page_id AS url, '20200102' || lpad(CAST(page_id % 24 AS VARCHAR), 2, '0') || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || '05' AS ts, url AS o FROM pages WHERE page_id % 10 < 8),
+  found AS (SELECT url, 1 AS rank, ts AS timestamp, strftime(strptime(ts, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') AS captured_at, o AS original, 'text/html' AS mimetype, 200 + page_id % 5 AS status, 'D' || page_id AS digest, page_id AS length FROM c
+    UNION ALL SELECT url, 2, '2021', NULL, o || '#b', NULL, NULL, NULL, NULL FROM c)"""
+
+
+@query("cdx_decode", _SQL_CAPTURES + " SELECT *, 'https://web.archive.org/web/' || timestamp || 'id_/' || original AS capture_url FROM found")
 def cdx_decode(spark, sf_dir):
-    return _captures(spark).withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss"))
+    return _captures(spark, sf_dir).withColumn("captured_at", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(
-    "archive_page_tasks",
-    _values(
-        "rank, task_key, task_url",
-        [
-            (1, "generic_web:wayback:20200102030405:http://site.example/a", "https://web.archive.org/web/20200102030405id_/http://site.example/a"),
-            (2, "generic_web:wayback:2021:http://site.example/b", "https://web.archive.org/web/2021id_/http://site.example/b"),
-            (3, "generic_web:wayback:20230231000000:https://site.example/d", "https://web.archive.org/web/20230231000000id_/https://site.example/d"),
-        ],
-    ),
-)
+@query("archive_page_tasks", _SQL_CAPTURES + " SELECT url, rank, 'generic_web:wayback:' || timestamp || ':' || original AS task_key, 'https://web.archive.org/web/' || timestamp || 'id_/' || original AS task_url FROM found")
 def archive_page_tasks(spark, sf_dir):
-    return archive.page_tasks(_captures(spark)).drop("url")
+    return archive.page_tasks(_captures(spark, sf_dir))
 
 
 @query(
     "archive_observations",
-    """SELECT '20200102030405:http://site.example/a' AS entity_id, sha256('{"digest":"AAA","length":120,"mimetype":"text/html","original":"http://site.example/a","status":200,"timestamp":"20200102030405"}') AS content_hash
-    UNION ALL SELECT '2021:http://site.example/b', sha256('{"digest":"BBB","length":null,"mimetype":null,"original":"http://site.example/b","status":200,"timestamp":"2021"}')
-    UNION ALL SELECT '20230231000000:https://site.example/d', sha256('{"digest":null,"length":7,"mimetype":"text/html","original":"https://site.example/d","status":null,"timestamp":"20230231000000"}')""",
+    _SQL_CAPTURES
+    + """ SELECT timestamp || ':' || original AS entity_id, sha256('{"digest":' || coalesce('"' || digest || '"', 'null') || ',"length":' || coalesce(CAST(length AS VARCHAR), 'null') || ',"mimetype":' || coalesce('"' || mimetype || '"', 'null')
+      || ',"original":"' || original || '","status":' || coalesce(CAST(status AS VARCHAR), 'null') || ',"timestamp":"' || timestamp || '"}') AS content_hash FROM found""",
 )
 def archive_observations(spark, sf_dir):
-    return archive.observations(_captures(spark), F.lit("run-1")).select("entity_id", "content_hash")
+    return archive.observations(_captures(spark, sf_dir), F.lit("run-1")).select("entity_id", "content_hash")
 
 
-@query("provider_outcomes", _values("status, code", [(200, None), (403, "ARCHIVE_PROVIDER_BLOCKED"), (429, "ARCHIVE_PROVIDER_BLOCKED"), (503, "ARCHIVE_PROVIDER_ERROR")]))
+@query(
+    "provider_outcomes",
+    "SELECT o_orderkey, status, CASE WHEN status IN (403, 429) THEN 'ARCHIVE_PROVIDER_BLOCKED' WHEN status < 200 OR status >= 300 THEN 'ARCHIVE_PROVIDER_ERROR' END AS code FROM (SELECT o_orderkey, 100 + o_orderkey % 500 AS status FROM orders)",
+)
 def provider_outcomes(spark, sf_dir):
-    return spark.createDataFrame([(200,), (403,), (429,), (503,)], "status int").select("status", archive.provider_outcome(F.col("status")).alias("code"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", (100 + F.col("o_orderkey") % 500).alias("status"))
+    return rows.select("o_orderkey", "status", archive.provider_outcome(F.col("status")).alias("code"))
 
 
-RSS = """<rss version="2.0"><channel><title>Feed</title>
-<item><title>One</title><link>http://n.example/1</link><description>First thing</description><guid>g1</guid><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item>
-<item><title>  </title><link>http://n.example/2</link><pubDate>2024-05-06T07:08:09Z</pubDate></item></channel></rss>"""
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><id>x1</id><link href="http://n.example/a"/><summary>Sum</summary><updated>2024-02-03T04:05:06+02:00</updated></entry></feed>"""
-
-
-def _entries(spark):
-    return feeds.entries(spark.createDataFrame([("http://n.example/f.rss", RSS), ("http://n.example/f.atom", ATOM), ("http://n.example/bad.xml", "<rss><oops>"), ("http://n.example/none.xml", None)], "feed_url string, payload string"))
+def _entries(spark, sf_dir):
+    """Of four pages two are RSS feeds of two items, one is an Atom feed, and one is broken."""
+    i, key = F.col("page_id"), _id("page_id")
+    seconds = _two(i % 60)
+    rss = F.concat(
+        F.lit('<rss version="2.0"><channel><title>Feed</title><item><title>T'), key, F.lit("</title><link>http://n.example/"), key, F.lit("</link><description>D &amp; "), key, F.lit("</description><guid>g"), key,
+        F.lit("</guid><pubDate>Tue, 02 Jan 2024 03:04:"), seconds, F.lit(" GMT</pubDate></item><item><title>  </title><link>http://n.example/b/"), key, F.lit("</link><pubDate>2024-05-06T07:08:"), seconds, F.lit("Z</pubDate></item></channel></rss>"),
+    )
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A'), key, F.lit("</title><id>x"), key, F.lit('</id><link href="http://n.example/a/'), key, F.lit('"/><summary>Sum</summary><updated>2024-02-03T04:05:'), seconds, F.lit("+02:00</updated></entry></feed>"))
+    payload = _by(i, rss, rss, atom, F.lit("<rss><oops>"))
+    return feeds.entries(_table(spark, sf_dir, "pages").select(F.concat(F.lit("http://n.example/f"), key).alias("feed_url"), payload.alias("payload")))
 
 
 @query(
     "feed_decode",
-    _values(
-        "feed_url, seq, title, link, description, guid, published_at",
-        [
-            ("http://n.example/f.rss", 0, "One", "http://n.example/1", "First thing", "g1", "2024-01-02 03:04:05"),
-            ("http://n.example/f.rss", 1, None, "http://n.example/2", None, None, "2024-05-06 07:08:09"),
-            ("http://n.example/f.atom", 0, "A", "http://n.example/a", "Sum", "x1", "2024-02-03 02:05:06"),
-        ],
-    ),
+    """WITH p AS (SELECT page_id AS i, 'http://n.example/f' || page_id AS feed_url, lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') AS s FROM pages)
+    SELECT feed_url, 0 AS seq, 'T' || i AS title, 'http://n.example/' || i AS link, 'D & ' || i AS description, 'g' || i AS guid, '2024-01-02 03:04:' || s AS published_at FROM p WHERE i % 4 < 2
+    UNION ALL SELECT feed_url, 1, NULL, 'http://n.example/b/' || i, NULL, NULL, '2024-05-06 07:08:' || s FROM p WHERE i % 4 < 2
+    UNION ALL SELECT feed_url, 0, 'A' || i, 'http://n.example/a/' || i, 'Sum', 'x' || i, '2024-02-03 02:05:' || s FROM p WHERE i % 4 = 2""",
 )
 def feed_decode(spark, sf_dir):
-    return _entries(spark).withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
+    return _entries(spark, sf_dir).withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("feed_observations", "SELECT 'http://n.example/1' AS source_url, sha256('One' || chr(10) || 'First thing') AS content_hash UNION ALL SELECT 'http://n.example/2', sha256('') UNION ALL SELECT 'http://n.example/a', sha256('A' || chr(10) || 'Sum')")
+@query(
+    "feed_observations",
+    """SELECT 'http://n.example/' || page_id AS source_url, sha256('T' || page_id || chr(10) || 'D & ' || page_id) AS content_hash FROM pages WHERE page_id % 4 < 2
+    UNION ALL SELECT 'http://n.example/b/' || page_id, sha256('') FROM pages WHERE page_id % 4 < 2 UNION ALL SELECT 'http://n.example/a/' || page_id, sha256('A' || page_id || chr(10) || 'Sum') FROM pages WHERE page_id % 4 = 2""",
+)
 def feed_observations(spark, sf_dir):
-    return feeds.observations(_entries(spark), F.lit("run-1")).select("source_url", "content_hash")
+    return feeds.observations(_entries(spark, sf_dir), F.lit("run-1")).select("source_url", "content_hash")
 
 
-FEED_URLS = ["http://a/x.RSS", "http://a/x.xml?y", "http://a/f.atom", "http://a/page"]
-
-
-@query("feed_seeds", _values("url, is_feed", [(FEED_URLS[0], True), (FEED_URLS[1], False), (FEED_URLS[2], True), (FEED_URLS[3], False)]))
+@query("feed_seeds", r"SELECT page_id, regexp_matches(lower(url || CASE page_id % 4 WHEN 0 THEN '/x.RSS' WHEN 1 THEN '/x.xml?y' WHEN 2 THEN '/f.atom' ELSE '' END), '\.(rss|xml|atom)$') AS is_feed FROM pages")
 def feed_seeds(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in FEED_URLS], "url string").select("url", feeds.is_feed_url(F.col("url")).alias("is_feed"))
-
-
-FEED_HEAD = '<head><link rel="alternate" type="application/rss+xml" href="/f.rss#x"><link type="application/atom+xml" rel="alternate" href="http://o.example/f.atom"><link rel="alternate" type="application/feed+json" href="/j"><link rel="stylesheet" href="/c.css"></head>'
-
-
-@query("feed_links", _values("url, link", [("http://n.example/p/q", "http://n.example/f.rss"), ("http://n.example/p/q", "http://o.example/f.atom")]))
-def feed_links(spark, sf_dir):
-    return web.feed_links(spark.createDataFrame([("http://n.example/p/q", FEED_HEAD)], "url string, html string"))
-
-
-PLACES = {
-    "elements": [
-        {"type": "node", "id": 1, "lat": 50.5, "lon": 30.25, "tags": {"name": " School 1 ", "amenity": "school", "addr:city": "K", "addr:street": "Main", "addr:housenumber": "5"}},
-        {"type": "way", "id": 2, "center": {"lat": 51.0, "lon": 31.0}, "tags": {"brand": "Mart", "shop": "supermarket", "office": "x", "addr:full": "Full 1"}},
-        {"type": "node", "id": 3, "lat": 1.0, "lon": 2.0, "tags": {"amenity": "cafe"}},
-        {"type": "relation", "id": 4, "lat": 95.0, "lon": 2.0, "tags": {"operator": "Op"}},
-        {"type": "area", "id": 5, "lat": 5.0, "lon": 2.0, "tags": {"name": "No"}},
-    ]
-}
-
-
-def _places(spark):
-    return places.decode_elements(spark.createDataFrame([("r1", json.dumps(PLACES))], "request_id string, payload string"))
+    url = F.concat("url", _by(F.col("page_id"), F.lit("/x.RSS"), F.lit("/x.xml?y"), F.lit("/f.atom"), F.lit("")))
+    return _table(spark, sf_dir, "pages").select("page_id", feeds.is_feed_url(url).alias("is_feed"))
 
 
 @query(
-    "poi_decode",
-    _values(
-        "place_id, name, address, latitude, longitude, categories",
-        [("node/1", "School 1", "K, Main 5", 50.5, 30.25, "amenity:school"), ("way/2", "Mart", "Full 1", 51.0, 31.0, "shop:supermarket;office:x"), ("relation/4", "Op", None, None, None, "")],
-    ).replace("50.5, 30.25", "50.5::DOUBLE, 30.25::DOUBLE"),
+    "feed_links",
+    """SELECT 'http://n.example/p/' || page_id AS url, 'http://n.example/f.rss?a=1&b=' || page_id AS link FROM pages UNION ALL SELECT 'http://n.example/p/' || page_id, 'http://o.example/' || page_id || '.atom' FROM pages
+    UNION ALL SELECT 'http://n.example/p/' || page_id, 'http://n.example/p/' || page_id || '.rss' FROM pages WHERE page_id % 2 = 0""",
 )
+def feed_links(spark, sf_dir):
+    """Each page with a head of its own: references, spaces around "=", no quotes, a comment and a script, other links."""
+    key = _id("page_id")
+    head = F.concat(
+        F.lit('<head><link rel="alternate" type="application/rss+xml" href="/f.rss?a=1&amp;b='), key, F.lit("#x\"><link type = 'application/atom+xml' REL = 'home alternate' href = 'http://o.example/"), key, F.lit(".atom'>"),
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<link rel=alternate type=application/rss+xml href="), key, F.lit(".rss>"))).otherwise(F.lit('<link rel="alternate" type="text/html" href="/other">')),
+        F.lit('<!-- <link rel="alternate" type="application/rss+xml" href="/no"> --><script>"<link rel=\'alternate\' type=\'application/rss+xml\' href=\'/no\'>"</script><link rel="alternate" type="application/feed+json" href="/j"><link rel="stylesheet" href="/c.css"></head>'),
+    )
+    rows = _table(spark, sf_dir, "pages").select(F.concat(F.lit("http://n.example/p/"), key).alias("url"), F.concat(head, "html").alias("html"))
+    return web.feed_links(rows)
+
+
+def _places(spark, sf_dir):
+    """Each customer as an answer of a map: two places, one without a name, one off the globe, one of another kind."""
+    k = F.col("c_custkey")
+    key = _id("c_custkey")
+    lat, lon, none = (k % 180 - 90 + F.lit(0.5)), (k % 360 - 180 + F.lit(0.25)), F.lit(None).cast("double")
+
+    def element(kind, at, tags, centre=False):
+        point = F.struct((at[0] if centre else none).alias("lat"), (at[1] if centre else none).alias("lon"))
+        pairs = [x for name, value in tags.items() for x in (F.lit(name), value if not isinstance(value, str) else F.lit(value))]
+        return F.struct(F.lit(kind).alias("type"), k.alias("id"), (none if centre else at[0]).cast("double").alias("lat"), (none if centre else at[1]).cast("double").alias("lon"), F.when(F.lit(centre), point).alias("center"), F.create_map(*pairs).alias("tags"))
+
+    elements = F.array(
+        element("node", (lat, lon), {"name": F.concat(F.lit(" "), "c_name", F.lit(" ")), "amenity": "school", "addr:city": "K", "addr:street": "Main", "addr:housenumber": key}),
+        element("way", (lat, lon), {"brand": F.col("c_name"), "shop": "supermarket", "office": "x", "addr:full": F.concat(F.lit("Full "), key)}, centre=True),
+        element("node", (lat, lon), {"amenity": "cafe"}),
+        element("relation", (F.lit(95.0), lon), {"operator": F.concat(F.lit("Op "), key)}),
+        element("area", (lat, lon), {"name": "No"}),
+    )
+    payload = F.to_json(F.struct(elements.alias("elements")))
+    return places.decode_elements(_table(spark, sf_dir, "customer").select(key.alias("request_id"), payload.alias("payload")))
+
+
+_SQL_PLACES = """WITH p AS (SELECT c_custkey AS k, c_name AS n, c_custkey % 180 - 90 + 0.5::DOUBLE AS lat, c_custkey % 360 - 180 + 0.25::DOUBLE AS lon FROM customer),
+  f AS (SELECT 'node/' || k AS place_id, n AS name, 'K, Main ' || k AS address, lat AS latitude, lon AS longitude, 'amenity:school' AS categories FROM p UNION ALL SELECT 'way/' || k, n, 'Full ' || k, lat, lon, 'shop:supermarket;office:x' FROM p
+    UNION ALL SELECT 'relation/' || k, 'Op ' || k, NULL, NULL, NULL, '' FROM p)"""
+
+
+@query("poi_decode", _SQL_PLACES + " SELECT * FROM f")
 def poi_decode(spark, sf_dir):
-    return _places(spark).select("place_id", "name", "address", "latitude", "longitude", F.array_join("categories", ";").alias("categories"))
+    return _places(spark, sf_dir).select("place_id", "name", "address", "latitude", "longitude", F.array_join("categories", ";").alias("categories"))
 
 
 @query(
     "poi_observations",
-    """SELECT 'node/1' AS place_id, 'School 1' || chr(10) || 'K, Main 5' || chr(10) || 'Coordinates: 50.500000, 30.250000' || chr(10) || 'Categories: amenity:school' AS text,
-      sha256('{"address":"K, Main 5","categories":["amenity:school"],"latitude":50.5,"longitude":30.25,"name":"School 1","place_id":"node/1"}') AS content_hash
-    UNION ALL SELECT 'way/2', 'Mart' || chr(10) || 'Full 1' || chr(10) || 'Coordinates: 51.000000, 31.000000' || chr(10) || 'Categories: shop:supermarket, office:x',
-      sha256('{"address":"Full 1","categories":["office:x","shop:supermarket"],"latitude":51.0,"longitude":31.0,"name":"Mart","place_id":"way/2"}')
-    UNION ALL SELECT 'relation/4', 'Op', sha256('{"address":null,"categories":[],"latitude":null,"longitude":null,"name":"Op","place_id":"relation/4"}')""",
+    _SQL_PLACES
+    + """ SELECT place_id, name || coalesce(chr(10) || address, '') || coalesce(chr(10) || 'Coordinates: ' || printf('%.6f', latitude) || ', ' || printf('%.6f', longitude), '') || CASE WHEN categories = '' THEN '' ELSE chr(10) || 'Categories: ' || replace(categories, ';', ', ') END AS text,
+      sha256('{"address":' || coalesce('"' || address || '"', 'null') || ',"categories":[' || CASE categories WHEN '' THEN '' WHEN 'amenity:school' THEN '"amenity:school"' ELSE '"office:x","shop:supermarket"' END || '],"latitude":' || coalesce(CAST(latitude AS VARCHAR), 'null')
+        || ',"longitude":' || coalesce(CAST(longitude AS VARCHAR), 'null') || ',"name":"' || name || '","place_id":"' || place_id || '"}') AS content_hash FROM f""",
 )
 def poi_observations(spark, sf_dir):
-    return places.place_observations(_places(spark), F.lit("run-1")).select("place_id", "text", "content_hash")
+    return places.place_observations(_places(spark, sf_dir), F.lit("run-1")).select("place_id", "text", "content_hash")
 
 
-@query("category_tasks", _values("collection_id, seq, category, task_key", [("c", 0, "cafe", "openstreetmap_overpass:cafe"), ("c", 1, "school", "openstreetmap_overpass:school")]))
+@query(
+    "category_tasks",
+    """SELECT o_orderkey AS collection_id, v.seq, v.category, 'openstreetmap_overpass:' || v.category AS task_key FROM orders
+    JOIN (VALUES (0, 0, 'cafe'), (0, 1, 'park'), (2, 0, 'cafe'), (2, 1, 'mall'), (2, 2, 'school')) v(k, seq, category) ON o_orderkey % 4 = v.k""",
+)
 def category_tasks(spark, sf_dir):
-    return places.category_tasks(spark.createDataFrame([("c", ["school", "reviews", "cafe", "school"])], "collection_id string, intents array<string>"))
-
+    wanted = [F.array(*map(F.lit, x)) for x in (["park", "cafe"], ["reviews"], ["school", "mall", "cafe", "school", "news"])]
+    intents = _by(F.col("o_orderkey"), *wanted, F.array().cast("array<string>"))
+    return places.category_tasks(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("collection_id"), intents.alias("intents")))
 
-GEO = [
-    {"place_id": 7, "osm_type": "way", "osm_id": 99, "lat": "50.5", "lon": "30.25", "display_name": "Town A"},
-    {"place_id": 8, "lat": "x", "lon": "1", "display_name": "Bad"},
-    {"place_id": 9, "lat": "1.5", "lon": "2.5", "display_name": "Town b/é"},
-]
 
-
-def _geocodes(spark):
-    return places.decode_geocodes(spark.createDataFrame([("r1", json.dumps(GEO)), ("r2", "[]")], "request_id string, payload string"))
+def _geocodes(spark, sf_dir):
+    """Each supplier as an answer of a geocoder with two good candidates and a bad one between; every fifth has none."""
+    k, key = F.col("s_suppkey"), _id("s_suppkey")
+    candidate = lambda name, lat, lon, kind, osm: F.struct(k.alias("place_id"), F.lit(kind).alias("osm_type"), F.lit(osm).cast("bigint").alias("osm_id") if osm is None else osm.alias("osm_id"), lat.cast("string").alias("lat"), lon.cast("string").alias("lon"), name.alias("display_name"))
+    found = F.array(
+        candidate(F.concat(F.lit("Town "), key), k % 180 - 90 + F.lit(0.5), k % 360 - 180 + F.lit(0.25), "way", k),
+        candidate(F.lit("Bad"), F.lit("x"), F.lit("1"), None, None),
+        candidate(F.concat(F.lit("Town b/é "), key), F.lit("1.5"), F.lit("2.5"), None, None),
+    )
+    return places.decode_geocodes(_table(spark, sf_dir, "supplier").select(key.alias("request_id"), F.when(k % 5 == 4, "[]").otherwise(F.to_json(found)).alias("payload")))
 
 
 @query(
     "geocode_decode",
-    _values(
-        "request_id, rank, display_name, latitude, longitude, source_url",
-        [("r1", 1, "Town A", 50.5, 30.25, "https://www.openstreetmap.org/way/99"), ("r1", 2, "Town b/é", 1.5, 2.5, "https://nominatim.openstreetmap.org/ui/search.html?q=Town+b%2F%C3%A9")],
-    ).replace("50.5, 30.25", "50.5::DOUBLE, 30.25::DOUBLE"),
+    """SELECT CAST(s_suppkey AS VARCHAR) AS request_id, 1 AS rank, 'Town ' || s_suppkey AS display_name, s_suppkey % 180 - 90 + 0.5::DOUBLE AS latitude, s_suppkey % 360 - 180 + 0.25::DOUBLE AS longitude, 'https://www.openstreetmap.org/way/' || s_suppkey AS source_url FROM supplier WHERE s_suppkey % 5 < 4
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 2, 'Town b/é ' || s_suppkey, 1.5, 2.5, 'https://nominatim.openstreetmap.org/ui/search.html?q=Town+b%2F%C3%A9+' || s_suppkey FROM supplier WHERE s_suppkey % 5 < 4""",
 )
 def geocode_decode(spark, sf_dir):
-    return _geocodes(spark)
+    return _geocodes(spark, sf_dir)
 
 
 @query(
     "geocode_resolution",
-    _values(
-        "request_id, latitude, longitude, radius, code",
-        [("r1", 50.5, 30.25, 1000, None), ("r2", None, None, 1000, "GEOCODING_NO_RESULTS"), ("r3", 1.0, 2.0, 1000, None), ("r4", None, None, 1000, "GEOCODING_QUERY_REQUIRED")],
-    ).replace("50.5, 30.25", "50.5::DOUBLE, 30.25::DOUBLE"),
+    """SELECT CAST(k AS VARCHAR) AS request_id, CASE WHEN k % 4 = 2 THEN 1.0::DOUBLE WHEN k % 4 < 2 AND k % 5 < 4 THEN k % 180 - 90 + 0.5::DOUBLE END AS latitude, CASE WHEN k % 4 = 2 THEN k % 100 + 0.5::DOUBLE WHEN k % 4 < 2 AND k % 5 < 4 THEN k % 360 - 180 + 0.25::DOUBLE END AS longitude,
+      1000 AS radius, CASE WHEN k % 4 = 2 THEN NULL WHEN k % 4 = 3 THEN 'GEOCODING_QUERY_REQUIRED' WHEN k % 5 = 4 THEN 'GEOCODING_NO_RESULTS' END AS code FROM (SELECT s_suppkey AS k FROM supplier)""",
 )
 def geocode_resolution(spark, sf_dir):
-    rows = [("r1", "Street 1", "A", None, None), ("r2", None, "B", None, None), ("r3", None, None, 1.0, 2.0), ("r4", " ", None, None, None)]
-    return places.with_points(spark.createDataFrame(rows, "request_id string, address string, city string, latitude double, longitude double"), _geocodes(spark))
-
-
-HITS = [
-    ("s", 0, json.dumps({"results": [{"url": "http://a.example/1", "title": "A1", "engines": ["x", "y"]}, {"url": "ftp://no", "title": "F"}, {"url": "http://a.example/2", "title": "A2", "engine": "z"}, {"url": "http://a.example/late", "title": "L"}]})),
-    ("s", 1, json.dumps({"results": [{"url": "http://a.example/2", "title": "again"}, {"url": "https://b.example/", "title": "B"}]})),
-]
+    k = F.col("s_suppkey")
+    own = k % 4 == 2
+    rows = _table(spark, sf_dir, "supplier").select(_id("s_suppkey").alias("request_id"), _by(k, F.col("s_name"), F.lit(None), F.lit(None), F.lit(" ")).alias("address"), F.when(k % 4 == 1, F.col("s_name")).alias("city"), F.when(own, 1.0).alias("latitude"), F.when(own, k % 100 + F.lit(0.5)).alias("longitude"))
+    return places.with_points(rows, _geocodes(spark, sf_dir))
 
 
 @query(
     "search_hits",
-    _values("search, url, query_seq, rank, title, engines", [("s", "http://a.example/1", 0, 1, "A1", "x,y"), ("s", "http://a.example/2", 0, 3, "A2", "z"), ("s", "https://b.example/", 1, 2, "B", "")]),
+    """SELECT c_custkey AS search, 'http://a.example/' || c_custkey AS url, 0 AS query_seq, 1 AS rank, c_name AS title, 'x,y' AS engines FROM customer UNION ALL SELECT c_custkey, 'http://a.example/two', 0, 3, 'A2', 'z' FROM customer UNION ALL SELECT c_custkey, 'https://b.example/' || c_custkey, 1, 2, c_mktsegment, '' FROM customer""",
 )
 def search_hits(spark, sf_dir):
-    return search.json_hits(spark.createDataFrame(HITS, "search string, query_seq int, payload string"), per_query=3).withColumn("engines", F.array_join("engines", ","))
-
-
-SERP = '<a href="//duckduckgo.com/l/?uddg=https%3A%2F%2Ft.example%2Fx%3Fa%3D1&amp;rut=9">t</a><a href="/settings">s</a><a href="https://duckduckgo.com/about">d</a><a href="http://o.example/">o</a><a href="http://o.example/">o</a><a href="http://p.example/">p</a>'
+    """Two queries of each customer; of three results each one is a repeat or no web page."""
+    key, none = _id("c_custkey"), F.lit(None).cast("string")
+    hit = lambda url, title, engines=None, engine=none: F.struct(url.alias("url"), title.alias("title"), (F.array(*map(F.lit, engines)) if engines else F.lit(None).cast("array<string>")).alias("engines"), engine.alias("engine"))
+    pages = F.array(
+        F.array(hit(F.concat(F.lit("http://a.example/"), key), F.col("c_name"), ["x", "y"]), hit(F.lit("ftp://no"), F.lit("F")), hit(F.lit("http://a.example/two"), F.lit("A2"), engine=F.lit("z")), hit(F.lit("http://a.example/late"), F.lit("L"))),
+        F.array(hit(F.lit("http://a.example/two"), F.lit("again")), hit(F.concat(F.lit("https://b.example/"), key), F.col("c_mktsegment"))),
+    )
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("search"), F.posexplode(pages).alias("query_seq", "results"))
+    return search.json_hits(rows.select("search", "query_seq", F.to_json(F.struct("results")).alias("payload")), per_query=3).withColumn("engines", F.array_join("engines", ","))
 
 
-@query("serp_unwrap", _values("search, rank, url", [("q1", 1, "https://t.example/x?a=1"), ("q1", 2, "http://o.example/")]))
+@query(
+    "serp_unwrap",
+    "SELECT page_id AS search, 1 AS rank, 'https://t.example/' || page_id || '?a=1' AS url FROM pages WHERE page_id % 7 > 0 UNION ALL SELECT page_id, 2, 'http://o.example/' || page_id FROM pages WHERE page_id % 7 > 0",
+)
 def serp_unwrap(spark, sf_dir):
-    rows = [("q1", SERP), ("q2", SERP + "<p>Please complete the following challenge</p>")]
-    return search.page_hits(spark.createDataFrame(rows, "search string, html string"), per_query=2)
+    """Each page as a result page of a search engine; every seventh is a challenge."""
+    key = _id("page_id")
+    html = F.concat(
+        F.lit('<a href="//duckduckgo.com/l/?uddg=https%3A%2F%2Ft.example%2F'), key, F.lit('%3Fa%3D1&amp;rut=9">t</a><a href="/settings">s</a><a href="https://duckduckgo.com/about">d</a><a href="http://o.example/'), key,
+        F.lit('">o</a><a href="http://o.example/'), key, F.lit('">o</a><a href="http://p.example/">p</a>'), F.when(F.col("page_id") % 7 == 0, "<p>Please complete the following challenge</p>").otherwise(""),
+    )
+    return search.page_hits(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("search"), html.alias("html")), per_query=2)
 
 
-@query("search_tasks", _values("search, rank, source_id, task_key", [("s", 1, "generic_web", "generic_web:http://a/"), ("s", 1, "wayback_cdx", "wayback_cdx:http://a/"), ("n", 1, "generic_web", "generic_web:http://b/")]))
+@query(
+    "search_tasks",
+    "SELECT page_id % 10 AS search, page_id AS rank, url, 'generic_web' AS source_id, 'generic_web:' || url AS task_key FROM pages UNION ALL SELECT page_id % 10, page_id, url, 'wayback_cdx', 'wayback_cdx:' || url FROM pages WHERE page_id % 10 < 3",
+)
 def search_tasks(spark, sf_dir):
-    hits = spark.createDataFrame([("s", 1, "http://a/"), ("n", 1, "http://b/")], "search string, rank int, url string")
-    return search.tasks(hits, F.col("search") == "s").drop("url")
+    hits = _table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("search"), F.col("page_id").alias("rank"), "url")
+    return search.tasks(hits, F.col("search") < 3)
 
 
-@query("seed_tasks", _values("collection_id, seq, source_id, goal, url, depth", [("c", 0, "generic_web", "reviews", "http://a/", 0), ("c", 1, "generic_web", "reviews", "http://b/", 0)]))
+@query(
+    "seed_tasks",
+    "SELECT c_custkey AS collection_id, CAST(s AS INT) AS seq, 'generic_web' AS source_id, c_mktsegment AS goal, 'http://' || c_name || '/' || s AS url, 0 AS depth FROM customer, range(0, 3) r(s) WHERE s < c_custkey % 4",
+)
 def seed_tasks(spark, sf_dir):
-    return web.seed_tasks(spark.createDataFrame([("c", ["reviews", "local_news"], ["http://a/", "http://b/"]), ("d", ["x"], [])], "collection_id string, intents array<string>, seed_urls array<string>"))
-
-
-ATTEMPTS = [
-    ("t1", 1, 200, "fine", False, False),
-    ("t2", 1, 403, "no", False, False),
-    ("t2", 2, 200, "fine", False, False),
-    ("t3", 1, 200, "Enable JavaScript", False, False),
-    ("t3", 2, None, None, True, False),
-    ("t3", 3, 429, "no", False, False),
-    ("t4", 1, 200, "fine", False, True),
-    ("t5", 1, None, None, True, False),
-]
+    """Customers as requests of up to three seed URLs."""
+    seeds = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), (F.col("c_custkey") % 4).cast("int")), lambda s: F.concat(F.lit("http://"), "c_name", F.lit("/"), s.cast("string")))
+    return web.seed_tasks(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("collection_id"), F.array("c_mktsegment", F.lit("x")).alias("intents"), seeds.alias("seed_urls")))
 
 
-@query("accepted_attempts", _values("task, tier, outcome", [("t1", 1, "ok"), ("t2", 2, "ok"), ("t3", 3, "blocked"), ("t4", None, "unsafe"), ("t5", None, "failed")]))
+@query(
+    "accepted_attempts",
+    """WITH a AS (SELECT user_id AS task, event_id % 4 AS tier, event_type = 'signup' AS failed, event_id % 61 = 0 AS unsafe, event_type = 'error' OR event_id % 7 = 3 AS blocked, event_type = 'click' AS script FROM events),
+    f AS (SELECT task, bool_or(unsafe) AS unsafe, min(CASE WHEN NOT failed AND NOT unsafe AND NOT blocked AND NOT (tier = 1 AND script) THEN tier END) AS usable, max(CASE WHEN blocked AND NOT failed THEN tier END) AS blocked FROM a GROUP BY task)
+    SELECT task, CASE WHEN unsafe THEN NULL ELSE coalesce(usable, blocked) END AS tier, CASE WHEN unsafe THEN 'unsafe' WHEN usable IS NOT NULL THEN 'ok' WHEN blocked IS NOT NULL THEN 'blocked' ELSE 'failed' END AS outcome FROM f""",
+)
 def accepted_attempts(spark, sf_dir):
-    return web.accepted_attempt(spark.createDataFrame(ATTEMPTS, "task string, tier int, status int, text string, failed boolean, unsafe boolean"))
-
-
-ACTIONS = [
-    ("a", 1, "go_to_url", "http://x/", {}, None),
-    ("a", 2, "click_element", None, {"id": 'q"1'}, "/html/a"),
-    ("a", 3, "input_text", "hi", {"name": "n", "data-testid": "t"}, None),
-    ("a", 4, "done", None, {}, None),
-    ("b", 1, "fly", None, {}, None),
-    ("c", 1, "click", None, {"class": "z"}, "/html/b"),
-    ("d", 1, "click", None, {"class": "z"}, None),
-]
+    """Events of a user as attempts at one page, in four tiers."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    shown = F.when(kind == "error", "Access DENIED").when(kind == "click", "Enable JavaScript").otherwise("fine")
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), (i % 4).alias("tier"), F.when(i % 7 == 3, 403).otherwise(200).alias("status"), shown.alias("text"), (kind == "signup").alias("failed"), (i % 61 == 0).alias("unsafe"))
+    return web.accepted_attempt(rows)
 
 
 @query(
     "compiled_recipes",
-    _values(
-        "run, steps, rejected",
-        [
-            ("a", '[{"action":"goto","value":"http://x/"},{"action":"click","selector":"[id=\\"q\\\\\\"1\\"]"},{"action":"fill","selector":"[data-testid=\\"t\\"]","value":"hi"}]', False),
-            ("b", None, True),
-            ("c", '[{"action":"click","selector":"xpath=/html/b"}]', False),
-            ("d", None, True),
-        ],
-    ),
+    r"""WITH s AS (SELECT user_id, event_id, event_type = 'error' AND user_id % 3 = 0 AS bad, CASE event_type WHEN 'view' THEN '{"action":"goto","value":"http://x/' || event_id || '"}' WHEN 'click' THEN '{"action":"click","selector":"[id=\"q\\\"' || event_id || '\"]"}'
+      WHEN 'purchase' THEN '{"action":"fill","selector":"[data-testid=\"t' || event_id || '\"]","value":"' || event_id || '"}' ELSE '{"action":"click","selector":"xpath=/html/' || event_id || '"}' END AS step FROM events WHERE event_type <> 'signup')
+    SELECT user_id AS run, CASE WHEN NOT bool_or(bad) THEN '[' || string_agg(step, ',' ORDER BY event_id) || ']' END AS steps, bool_or(bad) AS rejected FROM s GROUP BY 1""",
 )
 def compiled_recipes(spark, sf_dir):
-    return recipes.compile_actions(spark.createDataFrame(ACTIONS, "run string, seq int, action string, value string, attributes map<string,string>, x_path string"))
+    """Events of a user as an agent's actions; an error is an element without attributes, or of every third user an unknown action."""
+    kind, key = F.col("event_type"), _id("event_id")
+    action = F.when(kind == "view", "go_to_url").when(kind == "click", "click_element").when(kind == "purchase", "input_text").when(kind == "signup", "done").when(F.col("user_id") % 3 == 0, "fly").otherwise("click")
+    value = F.when(kind == "view", F.concat(F.lit("http://x/"), key)).when(kind == "purchase", key)
+    attributes = F.when(kind == "click", F.create_map(F.lit("id"), F.concat(F.lit('q"'), key))).when(kind == "purchase", F.create_map(F.lit("name"), F.lit("n"), F.lit("data-testid"), F.concat(F.lit("t"), key))).otherwise(F.create_map(F.lit("class"), F.lit("z")))
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), action.alias("action"), value.alias("value"), attributes.alias("attributes"), F.when(kind == "error", F.concat(F.lit("/html/"), key)).alias("x_path"))
+    return recipes.compile_actions(rows)
 
 
-HEADERS = [("text/html; charset=\"ISO-8859-1\"", "120"), ("text/html", "-5"), (None, "x"), ("a; Charset=utf-8", None)]
-
-
-@query("response_headers", _values("k, charset, length, bounded", [(0, "iso-8859-1", 120, 100), (1, "utf-8", 0, 1), (2, "utf-8", None, None), (3, "utf-8", None, None)]))
+@query(
+    "response_headers",
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'iso-8859-' || p_size WHEN 1 THEN 'utf-8' ELSE 'koi8-r' END AS charset, CASE p_partkey % 4 WHEN 0 THEN p_size * 100 WHEN 1 THEN 0 END AS length,
+      CASE p_partkey % 4 WHEN 0 THEN least(greatest(p_size * 100, 1), 1000) WHEN 1 THEN 1 END AS bounded FROM part""",
+)
 def response_headers(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *h) for i, h in enumerate(HEADERS)], "k int, content_type string, n string")
-    length = text.content_length(F.col("n"))
-    return rows.select("k", text.charset(F.col("content_type")).alias("charset"), F.when(F.col("n").rlike("^-?[0-9]+$"), length).alias("length"), F.when(F.col("n").rlike("^-?[0-9]+$"), text.bounded_int(F.col("n"), 1, 100)).alias("bounded"))
+    size = F.col("p_size").cast("string")
+    kind = _by(F.col("p_partkey"), F.concat(F.lit('text/html; charset="ISO-8859-'), size, F.lit('"')), F.lit(None), F.lit("a; b=c; CharSet = koi8-R"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", kind.alias("content_type"), _by(F.col("p_partkey"), F.concat(F.lit(" "), size, F.lit("00 ")), F.lit("-5"), F.lit("x"), F.lit(None)).alias("n"))
+    return rows.select("p_partkey", text.charset(F.col("content_type")).alias("charset"), text.content_length(F.col("n")).alias("length"), text.bounded_int(F.btrim("n"), 1, 1000).alias("bounded"))
 
 
-TERRITORIES = [("K", "Main 5", None, None, None), ("K", "Main 5, k", None, None, "en-GB"), (None, None, 50.5, 30.25, None), ("Киев", None, None, None, "fr"), (None, " ", None, None, "RU")]
-
-
-@query("territories", _values("k, territory, language", [(0, "K, Main 5", "en"), (1, "Main 5, k", "en"), (2, "50.500000, 30.250000", "en"), (3, "Киев", "ru"), (4, "location", "ru")]))
+@query(
+    "territories",
+    """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_mktsegment || ', Main ' || c_custkey WHEN 1 THEN 'At ' || lower(c_mktsegment) || ' ' || c_custkey WHEN 2 THEN printf('%.6f', c_custkey % 90 + 0.5) || ', ' || printf('%.6f', 30.25) WHEN 3 THEN 'Киев ' || c_custkey ELSE 'location' END AS territory,
+      CASE WHEN c_custkey % 7 = 0 THEN 'ru' WHEN c_custkey % 7 = 1 THEN 'en' WHEN c_custkey % 5 = 3 THEN 'ru' ELSE 'en' END AS language FROM customer""",
+)
 def territories(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TERRITORIES)], "k int, city string, address string, latitude double, longitude double, explicit string")
-    named = rows.withColumn("territory", planning.territory_text(F.col("city"), F.col("address"), F.col("latitude"), F.col("longitude")))
-    return named.select("k", "territory", planning.language_of(F.col("explicit"), F.col("territory")).alias("language"))
-
-
-DIAGNOSTICS = ["Authorization: Bearer abc.def-1", "token=s3cret, api_key: k1; ok", "see https://u:p@Host.example:81/a?q=1#f now", "plain", None]
+    k, key = F.col("c_custkey"), _id("c_custkey")
+    city = _by(k, F.col("c_mktsegment"), F.col("c_mktsegment"), F.lit(None), F.concat(F.lit("Киев "), key), F.lit(" "))
+    address = _by(k, F.concat(F.lit(" Main "), key), F.concat(F.lit("At "), F.lower("c_mktsegment"), F.lit(" "), key), F.lit(""), F.lit(None), F.lit(None))
+    point = F.when(k % 5 == 2, k % 90 + F.lit(0.5)), F.when(k % 5 == 2, F.lit(30.25))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", planning.territory_text(city, address, *point).alias("territory"), F.when(k % 7 == 0, "RU").when(k % 7 == 1, "en-GB").when(k % 7 == 2, "fr").alias("explicit"))
+    return rows.select("c_custkey", "territory", planning.language_of(F.col("explicit"), F.col("territory")).alias("language"))
 
 
 @query(
     "redacted_diagnostics",
-    _values("k, redacted", [(0, "Authorization: [REDACTED] [REDACTED]"), (1, "token=[REDACTED], api_key: [REDACTED]; ok"), (2, "see https://host.example:81/a now"), (3, "plain"), (4, None)]),
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Authorization: [REDACTED] [REDACTED] ' || event_type WHEN 1 THEN 'token=[REDACTED], api_key: [REDACTED]; ' || event_id WHEN 2 THEN 'see https://host' || user_id || '.example:81/a now' ELSE 'plain ' || event_type END AS redacted FROM events""",
 )
 def redacted_diagnostics(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(DIAGNOSTICS)), "k int, t string").select("k", text.redact(F.col("t")).alias("redacted"))
+    i, key, user = F.col("event_id"), _id("event_id"), _id("user_id")
+    shown = _by(
+        i,
+        F.concat(F.lit("Authorization: Bearer abc.def-"), key, F.lit(" "), "event_type"),
+        F.concat(F.lit("token=s3cret"), key, F.lit(", api_key: k"), user, F.lit("; "), key),
+        F.concat(F.lit("see https://u:p"), key, F.lit("@Host"), user, F.lit(".example:81/a?q="), key, F.lit("#f now")),
+        F.concat(F.lit("plain "), "event_type"),
+    )
+    return _table(spark, sf_dir, "events").select("event_id", text.redact(shown).alias("redacted"))
 
 
-@query("crawl_children", _values("collection_id, seq, url, depth", [("c", 1, "http://s/f.rss", 2), ("c", 2, "http://s/p", 1)]))
+@query(
+    "crawl_children",
+    """SELECT page_id AS collection_id, 1 AS seq, 'http://s.example/f' || page_id || '.rss' AS url, page_id % 3 AS depth FROM pages WHERE page_id % 2 = 0
+    UNION ALL SELECT page_id, 2, 'http://s.example/p' || page_id, page_id % 3 + 1 FROM pages WHERE page_id % 3 < 2""",
+)
 def crawl_children(spark, sf_dir):
-    tasks = spark.createDataFrame([("c", "http://s/", 0), ("c", "http://s/deep", 2)], "collection_id string, url string, depth int")
-    links = spark.createDataFrame([("http://s/", 2, "http://s/p", False), ("http://s/", 3, "http://other/", False), ("http://s/", 9, "http://s/late", False), ("http://s/deep", 1, "http://s/f.rss", True), ("http://s/deep", 2, "http://s/q", False)], "url string, seq int, link string, is_feed boolean")
-    return crawl.expand_links(tasks, links, max_depth=2, max_links=5, in_scope=urls.in_crawl_scope(F.col("link"), F.lit("s"), [], []))
+    """Pages as fetched tasks of depth 0 to 2, with a feed on every second, a link in scope, one out of it, and one beyond the cap."""
+    key = _id("page_id")
+    own = F.concat(F.lit("http://s.example/"), key)
+    rows = _table(spark, sf_dir, "pages").select("page_id", own.alias("url"), (F.col("page_id") % 3).cast("int").alias("depth"))
+    link = lambda seq, to, feed: F.struct(F.lit(seq).alias("seq"), to.alias("link"), F.lit(feed).alias("is_feed"))
+    every = F.array(link(2, F.concat(F.lit("http://s.example/p"), key), False), link(3, F.concat(F.lit("http://other.example/"), key), False), link(9, F.lit("http://s.example/late"), False))
+    feed = F.when(F.col("page_id") % 2 == 0, F.array(link(1, F.concat(F.lit("http://s.example/f"), key, F.lit(".rss")), True))).otherwise(F.slice(every, 1, 0))
+    links = rows.select("url", F.explode(F.concat(every, feed)).alias("l")).select("url", "l.*")
+    tasks = rows.select(F.col("page_id").alias("collection_id"), "url", "depth")
+    return crawl.expand_links(tasks, links, max_depth=2, max_links=5, in_scope=urls.in_crawl_scope(F.col("link"), F.lit("s.example"), [], []))
 
 
-@query("private_addresses", _values("h, private", [("10.0.0.1", True), ("8.8.8.8", False), ("[::1]", True), ("[2001:4860:4860::8888]", False), ("name", False), ("224.0.0.1", True)]))
+@query(
+    "private_addresses",
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN true WHEN 4 THEN false ELSE a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b BETWEEN 18 AND 19) END AS private
+    FROM (SELECT o_orderkey, o_custkey * 7 % 256 AS a, o_orderkey * 31 % 256 AS b FROM orders)""",
+)
 def private_addresses(spark, sf_dir):
-    return spark.createDataFrame([(h,) for h in ("10.0.0.1", "8.8.8.8", "[::1]", "[2001:4860:4860::8888]", "name", "224.0.0.1")], "h string").select("h", urls.is_private_ip("h").alias("private"))
+    """Orders as addresses: three of five IPv4, one IPv6 of a private range, one a name."""
+    part = lambda x: (x % 256).cast("string")
+    four = F.concat(part(F.col("o_custkey") * 7), F.lit("."), part(F.col("o_orderkey") * 31), F.lit(".1.1"))
+    h = _by(F.col("o_orderkey"), four, four, four, F.concat(F.lit("[fd00::"), part(F.col("o_orderkey")), F.lit("]")), F.concat(F.lit("name"), part(F.col("o_orderkey"))))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", h.alias("h")).select("o_orderkey", urls.is_private_ip("h").alias("private"))
 
 
-@query("feed_dates", _values("k, moment", [(0, "2024-01-02 03:04:05"), (1, "2024-01-02 02:04:05"), (2, "2024-01-02 00:00:00"), (3, None)]))
+@query(
+    "feed_dates",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d 00:00:00') END AS moment FROM events",
+)
 def feed_dates(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(["Tue, 02 Jan 2024 03:04:05 GMT", "2 Jan 2024 03:04:05 +0100", "2024-01-02", "soon"])), "k int, t string")
-    return rows.select("k", F.date_format(values.feed_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+    at = F.col("ts").cast("timestamp")
+    shown = _by(F.col("event_id"), F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.concat(F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" +0100")), F.date_format(at, "yyyy-MM-dd"), F.lit("soon"))
+    return _table(spark, sf_dir, "events").select("event_id", F.date_format(values.feed_time(shown), "yyyy-MM-dd HH:mm:ss").alias("moment"))

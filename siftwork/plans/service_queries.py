@@ -7,29 +7,17 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import branching, crawl, diagnostics, health, recipes, requests, selection, store
 from ..sources import places, search, web
-from .payload_queries import _values
 from .registry import query
 
-# Sources and the intents that they answer ("*": all).
-SOURCES = [
-    ("generic_web", ["*"]),
-    ("rss_atom", ["local_news", "public_mentions", "incidents", "discussions", "historical_context"]),
-    ("wayback_cdx", ["historical_context"]),
-    ("openstreetmap_overpass", ["school", "kindergarten", "college", "university", "hospital", "clinic", "pharmacy", "restaurant", "cafe", "supermarket", "mall", "park"]),
-]
-
-
-def _sources(spark):
-    return spark.createDataFrame(SOURCES, "source_id string, intents array<string>")
-
-
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("source_list", _values("source_id, intents", [(s, ",".join(sorted(i))) for s, i in SOURCES]))
+@query("source_list", "SELECT source AS source_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS intents FROM documents GROUP BY source")
 def source_list(spark, sf_dir):
-    return selection.listed(_sources(spark)).select("source_id", F.array_join("intents", ",").alias("intents"))
+    """Sources of documents, their languages as the intents that they answer."""
+    rows = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_id")).agg(F.collect_set("lang").alias("intents"))
+    return selection.listed(rows).select("source_id", F.array_join("intents", ",").alias("intents"))
 
 
 @query(
@@ -67,10 +55,11 @@ def covered_intents(spark, sf_dir):
     return out.select("request", F.array_join("covered", ",").alias("covered"), F.array_join("uncovered", ",").alias("uncovered"))
 
 
-@query("host_lists", _values("k, hosts", [(0, "a.example,b.example"), (1, ""), (2, "x")]))
+@query("host_lists", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN '' ELSE 'a.example,b.example,h' || page_id || '.example' END AS hosts FROM pages")
 def host_lists(spark, sf_dir):
-    rows = spark.createDataFrame([(0, " B.example., a.example,,b.example"), (1, ""), (2, "x")], "k int, csv string")
-    return rows.select("k", F.array_join(urls.host_list(F.col("csv")), ",").alias("hosts"))
+    key = F.col("page_id").cast("string")
+    csv = F.when(F.col("page_id") % 4 == 3, " , .,").otherwise(F.concat(F.lit(" H"), key, F.lit(".example., B.example,a.example,,b.example, h"), key, F.lit(".EXAMPLE")))
+    return _table(spark, sf_dir, "pages").select("page_id", F.array_join(urls.host_list(csv), ",").alias("hosts"))
 
 
 @query(
@@ -132,28 +121,56 @@ def evidence_lineage(spark, sf_dir):
 )
 def rejected_requests(spark, sf_dir):
     """Orders read as collection requests, with the rules that each breaks."""
+    return _order_requests(spark, sf_dir).select("o_orderkey", F.array_join(requests.broken_rules(), ",").alias("broken"))
+
+
+def _order_requests(spark, sf_dir):
     c = F.col
-    rows = _table(spark, sf_dir, "orders").select(
+    return _table(spark, sf_dir, "orders").select(
         "o_orderkey", F.lit("1.0.0").alias("protocol_version"), c("o_orderpriority").alias("consumer"), F.lit("a").alias("analysis_id"),
         F.when(c("o_orderstatus") == "F", "Town").alias("city"), F.lit("").alias("address"), F.lit(None).cast("string").alias("geometry"),
         F.when(c("o_totalprice") >= 100000, c("o_totalprice") / 4000).alias("latitude"), F.when(c("o_totalprice") >= 100000, F.lit(0.0)).alias("longitude"),
-        (c("o_custkey") * 100).alias("radius_meters"), F.array(F.lit("reviews")).alias("intents"), (c("o_orderkey") % 600 + 1).alias("max_pages"), (c("o_orderkey") % 8).alias("max_depth"),
+        (c("o_custkey") * 100).alias("radius_meters"), F.array(F.lit("reviews")).alias("intents"), (c("o_orderkey") % 600 + 1).alias("max_pages"), (c("o_orderkey") % 8).alias("max_depth"), "o_orderdate",
     )
-    return rows.select("o_orderkey", F.array_join(requests.broken_rules(), ",").alias("broken"))
 
 
-@query("capabilities", _values("protocol_version, discovery, geocoding, archive, map", [("1.0.0", "serp", "", "cdx", "osm,osm2")]))
+@query(
+    "submitted_requests",
+    """SELECT 'c' || o_orderkey AS collection_id, 'queued' AS status, 'queued' AS stage, 0 AS progress_percent, false AS partial, CAST(epoch(o_orderdate) AS BIGINT) AS created FROM orders WHERE o_orderpriority <> '' AND length(o_orderpriority) <= 128 AND NOT (o_orderstatus <> 'F' AND o_totalprice < 100000)
+      AND o_totalprice / 4000 <= 90 AND o_custkey * 100 BETWEEN 1 AND 100000 AND o_orderkey % 600 + 1 <= 500 AND o_orderkey % 8 <= 5""",
+)
+def submitted_requests(spark, sf_dir):
+    """The orders that break no rule, as queued collections."""
+    queued = requests.submitted(_order_requests(spark, sf_dir), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")), F.col("o_orderdate").cast("timestamp"))
+    return queued.select("collection_id", "status", "stage", "progress_percent", "partial", F.unix_seconds("created_at").alias("created"))
+
+
+@query(
+    "capabilities",
+    """SELECT '1.0.0' AS protocol_version, coalesce(string_agg(DISTINCT CASE WHEN k = 0 AND c THEN n END, ',' ORDER BY CASE WHEN k = 0 AND c THEN n END), '') AS discovery, coalesce(string_agg(DISTINCT CASE WHEN k = 1 AND c THEN n END, ',' ORDER BY CASE WHEN k = 1 AND c THEN n END), '') AS geocoding,
+      coalesce(string_agg(DISTINCT CASE WHEN k = 2 AND c THEN n END, ',' ORDER BY CASE WHEN k = 2 AND c THEN n END), '') AS archive, coalesce(string_agg(DISTINCT CASE WHEN k = 3 AND c THEN n END, ',' ORDER BY CASE WHEN k = 3 AND c THEN n END), '') AS map
+    FROM (SELECT s_suppkey % 5 AS k, s_name AS n, s_acctbal > 5000 AS c FROM supplier)""",
+)
 def capabilities(spark, sf_dir):
-    rows = spark.createDataFrame([("discovery", "serp", True), ("discovery", "json", False), ("archive", "cdx", True), ("map", "osm2", True), ("map", "osm", True), ("geocoding", None, None)], "kind string, name string, configured boolean")
+    """Suppliers as providers of four kinds and a fifth that is not listed; those with a large balance are configured."""
+    k = F.col("s_suppkey") % 5
+    kind = F.when(k == 0, "discovery").when(k == 1, "geocoding").when(k == 2, "archive").when(k == 3, "map")
+    rows = _table(spark, sf_dir, "supplier").select(kind.alias("kind"), F.col("s_name").alias("name"), (F.col("s_acctbal") > 5000).alias("configured"))
     return requests.capabilities(rows).select("protocol_version", *[F.array_join(f"{k}_providers", ",").alias(k) for k in ("discovery", "geocoding", "archive", "map")])
 
 
-@query("capable_providers", _values("k, providers", [(0, "a,b,c"), (1, "a,b"), (2, "a"), (3, "a,c")]))
+@query(
+    "capable_providers",
+    """WITH r AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS t, o_orderkey % 2 = 1 AS c, o_orderkey % 3 = 0 AS d FROM orders), p AS (SELECT n_name AS provider, n_nationkey % 2 = 0 AS t, n_nationkey % 3 = 0 AS c, n_nationkey % 5 < 3 AS d FROM nation)
+    SELECT r.k, count(*) AS n, min(provider) AS first FROM r JOIN p ON (p.t OR NOT r.t) AND (p.c OR NOT r.c) AND (p.d OR NOT r.d) GROUP BY 1""",
+)
 def capable_providers(spark, sf_dir):
-    asked = spark.createDataFrame([(0, None, [], None), (1, "x", [], 0), (2, "x", ["cafe"], 10), (3, "", ["cafe"], None)], "k int, text string, categories array<string>, radius int")
-    can = spark.createDataFrame([("a", True, True, True), ("b", True, False, True), ("c", False, True, False)], "provider string, text_search boolean, category_search boolean, nearby boolean")
-    both = asked.withColumn("one", F.lit(1)).join(can.withColumn("one", F.lit(1)), "one")
-    return selection.capable(both, F.col("text"), F.col("categories"), F.col("radius")).groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("provider")), ",").alias("providers"))
+    """Orders as place searches, nations as providers."""
+    k, n = F.col("o_orderkey"), F.col("n_nationkey")
+    asked = _table(spark, sf_dir, "orders").select(k.alias("k"), F.when(F.col("o_orderstatus") == "F", "cafe").alias("text"), F.when(k % 2 == 1, F.array(F.lit("cafe"))).otherwise(F.array().cast("array<string>")).alias("categories"), F.when(k % 3 == 0, 10).otherwise(0).alias("radius"))
+    can = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("provider"), (n % 2 == 0).alias("text_search"), (n % 3 == 0).alias("category_search"), (n % 5 < 3).alias("nearby"))
+    both = selection.capable(asked, can, F.col("text"), F.col("categories"), F.col("radius"))
+    return both.groupBy("k").agg(F.count("*").alias("n"), F.min("provider").alias("first"))
 
 
 @query("page_queries", "SELECT doc_id, CASE WHEN length(trim(text)) > 499 THEN 499 ELSE length(trim(text)) END AS n FROM documents WHERE trim(text) <> ''")
@@ -162,10 +179,12 @@ def page_queries(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.length(taken).cast("long").alias("n")).where("n is not null")
 
 
-@query("first_queries", _values("k, queries", [(0, "a|b"), (1, ""), (2, "1|2|3|4|5|6|7|8")]))
+@query("first_queries", "SELECT c_custkey, c_name || repeat('|' || c_mktsegment, CAST(least(7, c_custkey % 12) AS INT)) AS queries FROM customer")
 def first_queries(spark, sf_dir):
-    rows = spark.createDataFrame([(0, [" ", "a", "", "b"]), (1, []), (2, [str(i) for i in range(1, 12)])], "k int, q array<string>")
-    return rows.select("k", F.array_join(selection.first_queries(F.col("q")), "|").alias("queries"))
+    """A customer's name, blanks, and up to eleven more queries."""
+    more = F.array_repeat(F.col("c_mktsegment"), (F.col("c_custkey") % 12).cast("int"))
+    asked = F.concat(F.array(F.lit(" "), F.col("c_name"), F.lit("")), more)
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(selection.first_queries(asked), "|").alias("queries"))
 
 
 @query(
@@ -191,29 +210,42 @@ def search_challenges(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.search_blocked(shown).alias("blocked"))
 
 
-@query("service_urls", _values("k, url", [(0, "https://a.example/api"), (1, None), (2, None), (3, None), (4, "http://b"), (5, None)]))
+@query("service_urls", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://' || split_part(url, '/', 3) || '/api' WHEN 4 THEN 'http://' || split_part(url, '/', 3) END AS url FROM pages")
 def service_urls(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate([" https://a.example/api// ", "", "ftp://a", "http://u@a/", "http://b", "http://a/?q"])), "k int, v string")
-    return rows.select("k", urls.service_url(F.col("v")).alias("url"))
+    """Hosts of pages as service URLs: of six one with a path, one blank, of another kind, with a user, plain, and with a query."""
+    forms = [" https://{}/api// ", " ", "ftp://{}", "http://u@{}/", "http://{}/", "http://{}/?q"]
+    host, k = F.split_part("url", F.lit("/"), F.lit(3)), F.col("page_id") % 6
+    value = F.coalesce(*[F.when(k == i, F.replace(F.lit(form), F.lit("{}"), host)) for i, form in enumerate(forms)])
+    return _table(spark, sf_dir, "pages").select("page_id", urls.service_url(value).alias("url"))
 
 
-@query("escaped_queries", _values("k, ql, regex", [(0, 'a\\"b\\\\', 'a\\"b\\\\'), (1, "x.y", "x\\.y"), (2, "кафе №1", "кафе\\ \\№1")]))
+@query(
+    "escaped_queries",
+    r"""SELECT p_partkey, replace(replace(v, '\', '\\'), '"', '\"') AS ql, regexp_replace(v, '([^\p{L}\p{N}_])', '\\\1', 'g') AS regex FROM (SELECT p_partkey, p_brand || ' "' || p_name || '" №' || p_size || '\' AS v FROM part)""",
+)
 def escaped_queries(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 'a"b\\'), (1, "x.y"), (2, "кафе №1")], "k int, v string")
-    return rows.select("k", text.ql_string(F.col("v")).alias("ql"), text.regex_escaped(F.col("v")).alias("regex"))
+    value = F.concat("p_brand", F.lit(' "'), "p_name", F.lit('" №'), F.col("p_size").cast("string"), F.lit("\\"))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.ql_string(value).alias("ql"), text.regex_escaped(value).alias("regex"))
 
 
-@query("safe_errors", _values("k, message", [(0, "HTTPError"), (1, "HTTPError"), (2, "token=[REDACTED]"), (3, "x" * 5 + "…")]))
+@query(
+    "safe_errors",
+    "SELECT event_id, CASE event_id % 5 WHEN 2 THEN 'token=[REDACTED] ' || event_type WHEN 3 THEN repeat('x', 500) || '…' WHEN 4 THEN 'failed ' || event_id ELSE 'Error' || user_id END AS message FROM events",
+)
 def safe_errors(spark, sf_dir):
-    rows = spark.createDataFrame([(0, ""), (1, None), (2, "token=abc"), (3, "x" * 9)], "k int, v string")
-    most = F.when(F.col("k") == 3, text.safe_error(F.col("v"), F.lit("HTTPError"), 5))
-    return rows.select("k", F.coalesce(most, text.safe_error(F.col("v"), F.lit("HTTPError"))).alias("message"))
+    """Events as errors: without a message, with a secret, too long, or plain."""
+    key = F.col("event_id").cast("string")
+    k = F.col("event_id") % 5
+    message = F.when(k == 0, "").when(k == 2, F.concat(F.lit("token=a"), key, F.lit(" "), "event_type")).when(k == 3, F.repeat(F.lit("x"), F.lit(501) + (F.col("event_id") % 9).cast("int"))).when(k == 4, F.concat(F.lit("failed "), key))
+    return _table(spark, sf_dir, "events").select("event_id", text.safe_error(message, F.concat(F.lit("Error"), F.col("user_id").cast("string"))).alias("message"))
 
 
-@query("blocked_agents", _values("k, blocked", [(0, True), (1, False), (2, False), (3, True)]))
+@query("blocked_agents", "SELECT event_id, event_id % 3 > 0 AND event_type IN ('click', 'error') AS blocked FROM events")
 def blocked_agents(spark, sf_dir):
-    rows = spark.createDataFrame([(0, False, "Robot CHECK"), (1, True, "captcha"), (2, None, None), (3, None, "access denied")], "k int, ok boolean, d string")
-    return rows.select("k", text.agent_blocked(F.col("ok"), F.col("d")).alias("blocked"))
+    """Events as agents' runs: every third succeeded, of the others clicks and errors met a challenge."""
+    ok = F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False)
+    said = F.when(F.col("event_type") == "click", F.concat(F.lit("Robot CHECK "), F.col("event_id").cast("string"))).when(F.col("event_type") == "error", "a captcha, access denied").when(F.col("event_type") == "view", F.col("event_type"))
+    return _table(spark, sf_dir, "events").select("event_id", text.agent_blocked(ok, said).alias("blocked"))
 
 
 @query("agent_candidates", "SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS turn, 'u' || event_id AS url FROM events WHERE event_id % 5 <> 0")
@@ -234,11 +266,20 @@ def recipe_lookup(spark, sf_dir):
     return recipes.current_recipes(rows, known).select("page_id", "recipe_id")
 
 
-@query("recipe_limits", _values("k, texts, state, ms, valid", [(0, "aaa", "load", 250, True), (1, "a" * 100, None, 500, True), (2, "a" * 150 + "|b", "idle", 60000, False), (3, "", None, 10000, True)]))
+@query(
+    "recipe_limits",
+    """SELECT p_partkey, repeat('a', CAST(least(p_size * 10, greatest(100, p_size * 5)) AS INT)) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '|b' END AS texts, CASE p_partkey % 4 WHEN 0 THEN 'load' WHEN 1 THEN 'idle' END AS state,
+      CASE WHEN p_partkey % 4 < 2 THEN least(greatest(p_size * 2000, 250), 60000) WHEN p_partkey % 4 = 2 THEN 500 ELSE least(p_size * 300, 10000) END AS ms, p_partkey % 4 <> 1 AS valid FROM part""",
+)
 def recipe_limits(spark, sf_dir):
-    rows = spark.createDataFrame([(0, ["aaa", "b"], "0", "7", " LOAD", "1", None), (1, ["a" * 150], None, "20", "", None, None), (2, ["a" * 150, "b"], None, None, "idle", "99999999", None), (3, [], None, None, None, None, "20000")], "k int, t array<string>, items string, chars string, state string, timeout string, ms string")
-    texts, wait = recipes.extracted_texts(F.col("t"), F.col("items"), F.col("chars")), recipes.wait_step(F.col("state"), F.col("timeout"), F.col("ms"))
-    return rows.select("k", F.array_join(texts, "|").alias("texts"), wait["state"].alias("state"), wait["ms"].alias("ms"), wait["valid"].alias("valid"))
+    """Parts as steps: two texts, of which items and characters are limited, and a wait for a state or a time."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    texts = F.array(F.repeat(F.lit("a"), size * 10), F.lit("b"))
+    items = F.when(k % 3 == 0, "0").when(k % 3 == 1, "7")
+    state = F.when(k % 4 == 0, " LOAD").when(k % 4 == 1, "idle").when(k % 4 == 2, " ")
+    kept = recipes.extracted_texts(texts, items, (size * 5).cast("string"))
+    wait = recipes.wait_step(state, (size * 2000).cast("string"), F.when(k % 4 == 3, (size * 300).cast("string")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(kept, "|").alias("texts"), wait["state"].alias("state"), wait["ms"].alias("ms"), wait["valid"].alias("valid"))
 
 
 @query(

@@ -63,12 +63,10 @@ def agent_candidates(runs: DataFrame) -> DataFrame:
 
 
 def feed_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (url, link) of alternate RSS and Atom links."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
-    each = pages.select(F.col(url).alias("url"), F.explode(tags).alias("tag"))
-    named = each.where(F.col("tag").rlike(r"(?i)\brel=[\"']?[^\"'>]*\balternate\b") & F.col("tag").rlike(FEED_TYPES))
-    href = F.regexp_extract("tag", r"(?i)\bhref=[\"']?([^\"'\s>]+)", 1)
-    return named.select("url", urls.resolve(F.col("url"), href).alias("link")).where(urls.is_http(F.col("link"))).distinct()
+    """Rows (url, link) of alternate RSS and Atom links, in any quoting; those in comments and scripts are none."""
+    is_feed = lambda tag: tag.rlike(r"(?i)[\s\"']rel\s*=\s*(?:\"[^\"]*\balternate\b|'[^']*\balternate\b|alternate[\s/>])") & tag.rlike(FEED_TYPES)
+    each = pages.select(F.col(url).alias("url"), F.explode(text.hrefs(F.col(html), "link", is_feed)).alias("href"))
+    return each.select("url", urls.resolve(F.col("url"), F.col("href")).alias("link")).where(urls.is_http(F.col("link"))).distinct()
 
 
 def observations(pages: DataFrame, collection_id: Column, url: str = "url", html: str = "html") -> DataFrame:
