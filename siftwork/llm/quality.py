@@ -3,8 +3,9 @@
 The sketch is a log-bucket histogram: a value x lies in bucket ceil(log(x) / log(GAMMA)), so counts of
 two parts of a table simply add up, in any order, and a quantile is right within half of GAMMA - 1. It
 is built by one partial aggregation (language, source, measure, bucket), so a hot source costs each task
-as many rows as it has buckets. Thresholds are joined back by language and source. Sketches of small groups
-give way to their language's, which is their sum over sources, and that to the corpus's.
+as many rows as it has buckets. Thresholds are joined back by language and source. A group's quantiles are drawn
+towards its language's by a fixed number of texts, and a language's towards the corpus's, so the fewer texts a
+group has, the more its language decides, without a step at any size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_SPACE, blocks, mix, windows, words
@@ -72,7 +73,9 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
 @dataclass(frozen=True)
 class Rules:
     """min_words and max_repeat_percent are the base rule. The adaptive rule drops a text one of whose ratios lies
-    above high + reach * (high - low), where low and high are quantiles of that ratio in its language and source.
+    above high + reach * spread, where low and high are quantiles of that ratio in its language and source, and spread is
+    high - low, or that of the usual group (the median over groups, by texts) where this is more, as the texts of one group may
+    be all alike.
     There is no fixed cutoff. The default quantiles stay with ordinary texts while under half of a group is junk.
 
     For the quantiles, each ratio is taken of `more` counts more in both its parts: a text of 60 words without
@@ -85,8 +88,8 @@ class Rules:
     reach: float = 10.0
     #: ratio -> more; a repeated window has several words, so repeated words come in larger steps than symbols
     ratios: tuple[tuple[str, int], ...] = (("symbol_ratio", 2), ("dup_line_ratio", 2), ("repeat_ratio", 20), ("word_length", 0))
-    #: texts that pass the base rule below which a group takes its language's thresholds, and a language the corpus's
-    least_group: int = 20
+    #: texts of its language that a group's quantiles are mixed with, and of the corpus that a language's are
+    prior: int = 20
 
 
 PARTS = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
@@ -97,11 +100,14 @@ def _ratio(name: str, more: int):
     return (F.col(above) + more) / F.greatest(F.col(below) + more, F.lit(1))
 
 
+def _bucket(x: str) -> Column:
+    return F.when(F.col(x) > 0, F.ceil(F.log(x) / math.log(GAMMA)))
+
+
 def sketch(df: DataFrame, groups: list[str], ratios: list[str]) -> DataFrame:
     """Mergeable sketch rows: groups, measure, bucket, n. Bucket null holds zeros."""
     long = df.select(*groups, F.explode(F.array(*[F.struct(F.lit(r).alias("measure"), F.col(r).alias("x")) for r in ratios])).alias("m")).select(*groups, "m.*")
-    bucket = F.when(F.col("x") > 0, F.ceil(F.log("x") / math.log(GAMMA)))
-    return long.groupBy(*groups, "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return long.groupBy(*groups, "measure", _bucket("x").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def quantiles(sk: DataFrame, groups: list[str], qs: list[float]) -> DataFrame:
@@ -114,23 +120,28 @@ def quantiles(sk: DataFrame, groups: list[str], qs: list[float]) -> DataFrame:
 
 
 def thresholds(passing: DataFrame, rules: Rules) -> DataFrame:
-    """Per lang, source and measure of rows (lang, source, counts): the highest ratio that is kept, and the level it
-    comes from (0 the group, 1 its language, 2 the corpus)."""
+    """Per lang, source and measure of rows (lang, source, counts): the highest ratio that is kept."""
     from ._spark import saved
 
     smoothed = passing.select("lang", "source", *[_ratio(r, more).alias(r) for r, more in rules.ratios])
     sk = saved(sketch(smoothed, ["lang", "source"], [r for r, _ in rules.ratios]), "sketch")
-    # a quantile is taken at the upper end of its bucket, so that a group of equal texts keeps them
-    most = F.col("q1") * (1 + GAMMA) / 2 * (1 + 1e-9) + rules.reach * (F.col("q1") - F.col("q0"))
     levels = []
-    for groups in (["lang", "source"], ["lang"], []):
+    for k, groups in enumerate((["lang", "source"], ["lang"], [])):
         merged = sk.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n"))
-        levels.append(quantiles(merged, groups, list(rules.quantiles)).select(*groups, "measure", F.col("n").alias(f"n{len(levels)}"), most.alias(f"most{len(levels)}")))
+        levels.append(quantiles(merged, groups, list(rules.quantiles)).select(*groups, "measure", *[F.col(c).alias(f"{c}_{k}") for c in ("n", "q0", "q1")]))
     own, lang, corpus = levels
     lang = lang.withColumnRenamed("lang", "of_lang").withColumnRenamed("measure", "of")
     joined = own.join(lang, own.lang.eqNullSafe(lang.of_lang) & (own.measure == lang.of)).drop("of_lang", "of").join(corpus, "measure")
-    level = F.when(F.col("n0") >= rules.least_group, 0).when(F.col("n1") >= rules.least_group, 1).otherwise(2)
-    return joined.select("lang", "source", "measure", F.when(level == 0, F.col("most0")).when(level == 1, F.col("most1")).otherwise(F.col("most2")).alias("most"), level.alias("level"))
+
+    def mixed(q: str) -> Column:
+        towards = lambda k, above: (F.col(f"n_{k}") * F.col(f"{q}_{k}") + rules.prior * above) / (F.col(f"n_{k}") + rules.prior)
+        return towards(0, towards(1, F.col(f"{q}_2")))
+
+    groups = joined.select("lang", "source", "measure", F.col("n_0").alias("n"), mixed("q1").alias("high"), (mixed("q1") - mixed("q0")).alias("spread"))
+    usual = quantiles(groups.groupBy("measure", _bucket("spread").alias("bucket")).agg(F.sum("n").alias("n")), [], [0.5]).select("measure", F.col("q0").alias("usual"))
+    # a quantile is taken at the upper end of its bucket, so that a group of equal texts keeps them
+    most = F.col("high") * (1 + GAMMA) / 2 * (1 + 1e-9) + rules.reach * F.greatest("spread", "usual")
+    return groups.join(usual, "measure").select("lang", "source", "measure", most.alias("most"))
 
 
 def judge_quality(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
