@@ -139,22 +139,23 @@ PARTS = 16
 
 def train(docs: DataFrame, docs_per_language: int = 400, bytes_per_language: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit one context tree per label on a bounded sample: for each language the `docs_per_language`
-    labelled documents with the smallest hash of their id, then as many of these, in that order, as hold
-    `bytes_per_language` bytes (a first longer text is cut there). The documents with the smallest hash are
+    different labelled rows with the smallest hash of their id and text, then as many of these, in that order, as hold
+    `bytes_per_language` bytes (a first longer text is cut there). The rows with the smallest hash are
     found in PARTS parts of each language first, so that a hot language is no single task's. Null and empty
-    texts and null labels teach nothing; rows that repeat count as often as they are there; an empty table, or
-    one without labels, gives a model without languages, for which every text is `und`.
+    texts and null labels teach nothing; rows that repeat an id and a text teach once, rows of one id or a null id
+    with different texts teach each; an empty table, or one without labels, gives a model without languages, for
+    which every text is `und`.
     """
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
-    ids = labelled.where("text is not null").select("id", "lang").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(PARTS)))
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    labelled = labelled.select("text", "lang", F.xxhash64("id", "text").alias("row"))
+    rows = labelled.groupBy("lang", "row").agg(F.lit(1)).select("lang", "row", F.pmod(F.xxhash64(F.lit("part"), "row"), F.lit(PARTS)).alias("part"))
     for groups in (["lang", "part"], ["lang"]):
-        by = Window.partitionBy(*groups).orderBy(F.xxhash64("id"), "id")
-        ids = ids.withColumn("k", F.row_number().over(by)).where(F.col("k") <= docs_per_language)
-    ids = ids.select("id", "lang", "k")
-    chosen = labelled.join(F.broadcast(ids), ["id", "lang"])
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*groups).orderBy("row"))).where(F.col("k") <= docs_per_language)
+    rows = rows.select("lang", "row", "k")  # at most docs_per_language of each label
+    chosen = labelled.join(F.broadcast(rows), ["lang", "row"]).dropDuplicates(["lang", "row"])
     size = F.octet_length("text").cast("long")
     before = F.sum(size).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < bytes_per_language)
+    chosen = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < bytes_per_language).select("lang", "k", "text")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         texts = [t.encode()[:bytes_per_language] for t in rows.sort_values(["k"])["text"]]
