@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import new_folder, saved
+from ._spark import joined_in_parts, new_folder, saved
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
@@ -150,7 +150,8 @@ def write_archives(pages: DataFrame, folder: str, least_revisit_bytes: int = 0,
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("bytes"))
     # narrow rows only: one per distinct payload after partial aggregation
     heads = rows.where(F.col("bytes") >= least_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(heads, "sha1", "left").select("page_id", "url", "html", F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
+    # copies of one payload, however many, meet their head in parts
+    joined = joined_in_parts(rows, heads, "sha1", "page_id", how="left").select("page_id", "url", "html", F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _fs(folder)
