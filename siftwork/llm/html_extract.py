@@ -13,9 +13,10 @@
    the deepest once-a-page token whose slots hold a varying heading and most of the varying text outside links,
    or else nearly all of that text. If the article's heading lies outside of it, it grows to the token that
    holds both, or the heading's own slot joins it.
-4. Extraction. The text of the content slot is read from each page, block by block, without the tokens in
-   it that belong to the template or are menus. Names tell only what vectors cannot: which varying parts
-   inside the content slot are adverts, notices, forms or reader comments.
+4. Extraction. The text of the content slot is read from each page, block by block, without menus. Where the slot
+   has grown around the one that was found, tokens of the template go there; inside the slot that was found,
+   lines that are equal on all pages (a byline, a section's name) are the article's. Names tell only what vectors
+   cannot: which parts inside the content slot are adverts, notices, forms or reader comments.
 Hosts of few pages have no vectors to compare: their pages use the template of all pages together. Pages that
 lack its content slot, or their own host's, and templates whose only slot is the whole page leave it to the
 classes of the page alone.
@@ -318,7 +319,9 @@ def deduce(tokens: Iterable[Token], compared: bool = True) -> Template:
     size, below, over = sum(by_id[t].plain for t in content), within(content), {t for c in content for t in above(c)}
     below -= over
     inside = [t for t in order if t.token in valid and t.token in once and tag[t.token] in CONTAINERS and t.token in below]
-    dropped = {t.token for t in inside if (t.token in fixed and 2 * t.plain < size) or (compared and t.links >= MENU * t.text > 0 and 2 * t.text < size)}
+    # what never varies is the template's around the slot that was found, but inside it a byline or a section's name is article
+    own = within({chosen.token}) if chosen.token not in page_wide else set()
+    dropped = {t.token for t in inside if (t.token in fixed and t.token not in own and 2 * t.plain < size) or (compared and t.links >= MENU * t.text > 0 and 2 * t.text < size)}
     return Template(frozenset(content), frozenset(dropped), bool(content & page_wide))
 
 

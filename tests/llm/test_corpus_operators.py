@@ -47,7 +47,6 @@ def near_copies(rng):
 def test_join_components(spark, monkeypatch, rounds, block):
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0 if block == 3 else 1 << 19)
     docs = near_copies(random.Random(3 + rounds))
     df = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id long, text string, node string, n int").repartition(5)
     assert sorted(map(tuple, ngram_join.join_components(df).collect()), key=str) == sorted(components(docs), key=str)
@@ -235,7 +234,7 @@ def test_templates_find_unnamed_articles(spark):
     rows = []
     for i in range(12):
         article = "".join(f"<p>Paragraph {i} {j} with some text about topic {i * j} and more words follow here.</p>" for j in range(4))
-        rows.append((i, f"http://a.x/{i}", f'<html><body><div class="top"><a href=1>Home</a></div><div class="x1"><h1>T{i}</h1><div class="share">Share {i}</div>{article}<div class="box">Read our terms.</div></div><div class="comments"><p>user {i}: great</p></div><div class="right">Other {i}</div></body></html>'))
+        rows.append((i, f"http://a.x/{i}", f'<html><body><div class="top"><a href=1>Home</a></div><div class="x1"><h1>T{i}</h1><div class="share">Share {i}</div>{article}<div class="notice">Read our terms.</div><div class="box">From our own desk.</div></div><div class="comments"><p>user {i}: great</p></div><div class="right">Other {i}</div></body></html>'))
     rows += [
         (100, None, None),
         (101, "http://b/", "<p>only<p>one &amp; two&nbsp;x"),
@@ -247,7 +246,8 @@ def test_templates_find_unnamed_articles(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, path string")
     got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
     for i in range(12):
-        assert got[i].split("\n") == [f"T{i}", *[f"Paragraph {i} {j} with some text about topic {i * j} and more words follow here." for j in range(4)]]
+        # what is equal on all pages of a host stays inside the article, unless its name tells it
+        assert got[i].split("\n") == [f"T{i}", *[f"Paragraph {i} {j} with some text about topic {i * j} and more words follow here." for j in range(4)], "From our own desk."]
     assert (got[100], got[101], got[102], got[103], got[104]) == ("", "only\none & two x", "", "x z w<", "Different <b> page\none\ntwo")
     assert html_extract.extract(df.limit(0)).count() == 0
 
@@ -268,12 +268,41 @@ def test_articles_in_sibling_blocks(spark):
     assert got == want
 
 
+def built_page(rng, words, n_parts, equal):
+    """A page and its article's text: heading, byline, parts and a section line between a menu and a footer. `equal`: the
+    lines that are the same on all pages of the host."""
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(8, 40)))
+    title, parts = sentence(), [sentence() for _ in range(n_parts)]
+    byline, section = equal
+    body = "".join(f"<p>{x}</p>" for x in parts)
+    html = (
+        f'<html><body><div class="bar"><ul><li><a href="/a">Start</a></li><li><a href="/b">World</a></li></ul></div><div class="page"><article><h1>{title}</h1><div class="byline">{byline}</div>'
+        f'<div class="body">{body}</div><div class="where">{section}</div></article></div><div class="foot">All rights with the house, {rng.randint(0, 1)}</div></body></html>'
+    )
+    return html, "\n".join([title, byline, *parts, section])
+
+
+@pytest.mark.parametrize("n_pages", [3, 4, 5, 8, 12, 40])
+def test_texts_of_built_sites(spark, n_pages):
+    """Texts are those that the pages were built from, lines that are equal on all pages of a host included, however many it has."""
+    rng = random.Random(n_pages)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows, want = [], {}
+    for host, equal in (("one", ("By Jane Roe", "World news section")), ("two", ("Our own writer in the north of the country, for this house", "Licence: free for all to use, as long as the name stays with it"))):
+        for i in range(n_pages):
+            html, text = built_page(rng, words, rng.randint(1, 6), equal)
+            rows.append((len(rows), f"http://{host}.example/{i}", html))
+            want[rows[-1][0]] = text
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
 def test_hosts_of_identical_pages(spark):
-    """Copies of one article under different URLs keep their text; a notice on varying pages goes."""
+    """Copies of one article under different URLs keep their text; a notice on varying pages goes, and what never varies around the article."""
     article = " ".join(f"word{k}" for k in range(90))
     rows = [(i, f"http://same.x/{i}", f'<html><body><article class="a"><p>{article}</p></article></body></html>') for i in range(9)]
     rows += [(100 + i, f"http://slot.x/{i}", f'<html><body><div class="content"><p>{article}</p></div><div class="right">Seen {i}</div></body></html>') for i in range(12)]
-    rows += [(200 + i, f"http://vary.x/{i}", f'<html><body><article class="a"><p>{i} {article}</p><div class="box">Read our terms.</div></article></body></html>') for i in range(12)]
+    rows += [(200 + i, f"http://vary.x/{i}", f'<html><body><article class="a"><p>{i} {article}</p><div class="notice">Read our terms.</div></article><div class="box">Seen by all.</div></body></html>') for i in range(12)]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == article for i in range(9))
     assert all(article in got[100 + i] for i in range(12))
@@ -461,6 +490,15 @@ def test_pipeline_stages(spark, sf_dir):
                 assert at == len(ids)
 
 
+def test_one_id_with_several_texts_in_the_pipeline(spark, sf_dir):
+    """A row stays by its own component: the second text of an id does not bring back its first."""
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (None, b + " more"), (7, a + " more"), (9, None), (9, ""), (None, "other " + " ".join(map(str, range(60))))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (5, b), (9, None), (9, ""), rows[-1]], key=str)
+
+
 def test_pipeline_stages_with_further_columns(spark, sf_dir):
     """Further columns stay with their rows whatever their names; null ids and an empty table pass."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
