@@ -30,12 +30,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the document with the smallest id of each group of documents linked by 80 % of their 5-word shingles, and of
     repeated rows one (ties between their further columns: the smallest language, then source). Rows of a null id are
     kept unless they are linked with one that has an id; texts without words are linked with nothing."""
-    found = ngram_join.join_components(docs, n=5, percent=80)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # one key for join and window, so texts are shuffled once
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    found = ngram_join.join_components(docs, n=5, percent=80, text_hash=True)
+    # rows of one id may have several texts, each of its own component; one key for join and window, so texts are shuffled once
+    key = lambda text: F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), text.alias("text"))
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("text_hash")).alias("_key")).distinct()
     # rows move as one struct, so further columns may have any name
-    joined = docs.select(F.struct("*").alias("row"), key.alias("_key")).join(keep, "_key", "left_semi")
-    again = F.row_number().over(Window.partitionBy("_key", F.xxhash64("row.text")).orderBy("row.lang", "row.source"))
+    joined = docs.select(F.struct("*").alias("row"), key(F.xxhash64("text")).alias("_key")).join(keep, "_key", "left_semi")
+    again = F.row_number().over(Window.partitionBy("_key").orderBy("row.lang", "row.source"))
     return joined.withColumn("_again", again).where("_again = 1").select("row.*")
 
 

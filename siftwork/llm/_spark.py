@@ -118,7 +118,7 @@ class IdFilter:
     """A bit table over 64-bit ids with about eight bits for each: no id that was put in is ever missed.
 
     It has 2**22 to 2**28 bits (half a MB to 32 MB), so it can be broadcast at any scale; with more than
-    3 * 10**7 ids it lets more through, and the exact join behind it still decides.
+    3 * 10**7 ids it lets more through. What comes through is joined or only costs time.
     """
 
     def __init__(self, ids: DataFrame, column: str):

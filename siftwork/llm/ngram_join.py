@@ -39,7 +39,6 @@ BLOCK = 512  # nodes of a block, on average; a tile has two blocks
 MOST_BITS = 1 << 16  # of a bitmap
 SHORT, LONG = 2, 4  # bits of a bitmap for each member, rounded up to a power of two
 ROUNDS = 3
-FEW_PAIRS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -288,8 +287,10 @@ def _bounded(percent: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b), a saved table, that are linked, by exact intersection of their sorted arrays."""
-    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
+    """Pairs (a, b), a saved table, that are linked, by exact intersection of their sorted arrays. Only texts that a bit filter
+    of the pairs' nodes lets through are shuffled; the joins behind it decide."""
+    some = {x: IdFilter(pairs.select(x), x).keep(texts.select("node", "text"), "node", lambda batches: batches, "node long, text string") for x in "ab"}
+    a, b = (some[x].select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
 
     def intersect(batches):
         for batch in batches:
@@ -307,8 +308,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
                     keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    if pairs.count() <= FEW_PAIRS:  # their nodes take 4 MB at most, so they are broadcast and only their texts move
-        a, b = (side.join(F.broadcast(pairs.select(x)), x, "left_semi") for side, x in ((a, "a"), (b, "b")))
     full = joined_by_share(joined_by_share(pairs, b, "b", "a"), a, "a", "b").select("a", "b", "a_text", "b_text")
     return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 
@@ -353,23 +352,26 @@ def _joined(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return saved(joined_in_parts(known, top, "label", "node", how="left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-labels")
 
 
-def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Two rows link if 100 * |A & B| >= percent * |A | B| of their sets of lower-cased word n-grams. Null and
     empty texts, and those without words, have the empty set and link with nothing. Equal texts always
     link; rows that repeat are rows of one component. A null id is never a component's name unless all
     of its ids are null. An empty table gives an empty result; further columns are ignored. Sets are
-    compared by 64-bit hashes of n-grams and known by a 64-bit hash of their members.
+    compared by 64-bit hashes of n-grams and known by a 64-bit hash of their members. With `text_hash` the
+    rows also have the hash of their text (xxhash64), so that rows of one id can be told apart.
     """
     with interim(docs.sparkSession):
-        return saved(_join_components(docs, n, percent, id_col, text_col), "components", lasting=True)
+        found = saved(_join_components(docs, n, percent, id_col, text_col), "components", lasting=True)
+    return found if text_hash else found.drop("text_hash")
 
 
 def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     bands = Bands(percent)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    hashed = rows.select("id", "text", F.xxhash64("text").alias("text_hash"))
 
     def sets(batches):
         for batch in batches:
@@ -378,7 +380,7 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
             for _, values, edges in shingle_sets(batch.column(1), n):
                 ids.append(node_ids(values, edges))
                 sizes.append(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), batch.column(2)], names=["id", "node", "n", "text_hash"])
 
     def keys(batches):
         for batch in batches:
@@ -411,7 +413,7 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
                     names=["node", "n", "short", "long"],
                 )
 
-    table = saved(rows.mapInArrow(sets, f"id {kind}, node long, n long"), "sets")
+    table = saved(hashed.mapInArrow(sets, f"id {kind}, node long, n long, text_hash long"), "sets")
     groups = saved(rows.mapInArrow(keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared_keys, "key long, node long, centre long"), "groups")
     stars = groups.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
     stars = saved(stars, "stars")
@@ -452,4 +454,4 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
     names = topped.groupBy("top").agg(F.min("least").alias("name"), F.sum("c").alias("rows")).where("rows > 1").drop("rows")
     named_nodes = saved(joined_in_parts(topped.select("node", "top"), names, "top", "node", how="inner").select("node", "name"), "names")
     full = joined_in_parts(table, named_nodes, "node", "id", how="left")
-    return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+    return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"), "text_hash")
