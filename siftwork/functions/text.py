@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import html as html_lib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,6 +147,37 @@ def charset(content_type: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(found), F.lit("")), F.lit("utf-8"))
 
 
+# Byte order marks.
+MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+META = re.compile(rb"""<meta\b[^>]*?\bcharset\s*=\s*["']?\s*([A-Za-z0-9._:-]+)""", re.I)
+META_BYTES = 1024
+
+
+def decode_bytes(body: bytes, content_type: str | None = None) -> tuple[str, str]:
+    """(text, charset) of a body: by its byte order mark, else by the charset of its content type, else by a meta tag in its first
+    META_BYTES bytes, else as UTF-8; bytes that do not fit become replacement characters, a charset that nobody knows is UTF-8."""
+    for mark, name in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace"), name
+    told = re.search(r"charset[ \t]*=[ \t]*[\"']?([A-Za-z0-9._-]+)", content_type or "", re.I)
+    meta = None if told else META.search(body[:META_BYTES])
+    name = told[1] if told else meta[1].decode() if meta else "utf-8"
+    try:
+        known = codecs.lookup(name)
+        if not known._is_text_encoding or (meta and known.name.startswith("utf-16")):  # a tag read as ASCII is no UTF-16
+            known = codecs.lookup("utf-8")
+    except LookupError:
+        known = codecs.lookup("utf-8")
+    return body.decode(known.name, "replace"), known.name
+
+
+@pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("charset", T.StringType())]))
+def decoded(body: pd.Series, content_type: pd.Series) -> pd.DataFrame:
+    """Text and charset of a binary column, by decode_bytes(); null for a null body."""
+    rows = [(None, None) if b is None else decode_bytes(bytes(b), t) for b, t in zip(body, content_type, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "charset"])
+
+
 def content_length(value: Column) -> Column:
     """A length header as a number of at least 0; null where it is none."""
     n = F.btrim(value).try_cast("long")

@@ -66,6 +66,12 @@ def in_discovery_scope(url: Column, allowed: list[str], denied: list[str]) -> Co
     return (h != "") & ~_suffix_of_any(h, denied) & (_suffix_of_any(h, allowed) if allowed else F.lit(True))
 
 
+def suffixes(h: Column) -> Column:
+    """A host and its parent domains, the longest first: a.b.c, b.c, c."""
+    parts = F.split(h, r"\.")
+    return F.when(h != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
+
+
 def is_private_ipv4(h: Column) -> Column:
     """Private, loopback, link-local, multicast, reserved or unspecified IPv4 literals, as number ranges."""
     parts = F.transform(F.split(h, r"\."), lambda x: x.try_cast("long"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
 
 def sources_for(requests: DataFrame, sources: DataFrame, request: str = "request") -> DataFrame:
     """Rows (request, source_id): sources that answer one of a request's intents, or all ("*").
@@ -27,6 +29,28 @@ def covered_intents(requests: DataFrame, tasks: DataFrame, sources: DataFrame, r
     return both.select(request, F.array_sort(covered).alias("covered"), F.array_except(wanted, covered).alias("uncovered"))
 
 
+def scoped(pages: DataFrame, rules: DataFrame, scope: str, url: str = "url") -> DataFrame:
+    """The pages with allowed and rule, the domain that decided (null: none did), by a table of rules.
+
+    rules: the scope column, domain, denied; pages: the scope column and a URL. A rule fits its domain and all below it.
+    Denied domains win over allowed ones, the longest of a kind decides; without a fitting rule a page is allowed if its
+    scope allows no domain by name. A URL without a host is never allowed, null scopes match null scopes. Each different
+    host of a scope is looked up once, by its parent domains in an equi-join, so neither side need be small, and pages find
+    their host's verdict afterwards.
+    """
+    named = pages.withColumn("_scope", F.coalesce(F.col(scope).cast("string"), F.lit("\0"))).withColumn("_host", F.coalesce(urls.host(F.col(url)), F.lit("")))
+    given = rules.select(F.coalesce(F.col(scope).cast("string"), F.lit("\0")).alias("_scope"), F.lower("domain").alias("_domain"), F.coalesce("denied", F.lit(False)).alias("_denied"))
+    hosts = named.select("_scope", "_host").distinct()
+    each = hosts.withColumn("_domain", F.explode(urls.suffixes(F.col("_host")))).join(given, ["_scope", "_domain"])
+    longest = lambda kind: F.max_by(F.when(kind, F.col("_domain")), F.when(kind, F.length("_domain")))
+    fits = each.groupBy("_scope", "_host").agg(longest(F.col("_denied")).alias("_no"), longest(~F.col("_denied")).alias("_yes"))
+    strict = given.groupBy("_scope").agg(F.bool_or(~F.col("_denied")).alias("_strict"))
+    known = hosts.join(fits, ["_scope", "_host"], "left").join(strict, "_scope", "left")
+    allowed = (F.col("_host") != "") & F.col("_no").isNull() & (F.col("_yes").isNotNull() | ~F.coalesce("_strict", F.lit(False)))
+    judged = known.select("_scope", "_host", allowed.alias("allowed"), F.coalesce("_no", "_yes").alias("rule"))
+    return named.join(judged, ["_scope", "_host"]).drop("_scope", "_host")
+
+
 def listed(sources: DataFrame) -> DataFrame:
     """Sources with their intents sorted."""
     return sources.select("source_id", F.array_sort("intents").alias("intents"))

@@ -94,7 +94,7 @@ def test_captured_files(spark, tmp_path):
     spark.dataSource.register(CapturedPayloads)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("captured").option("path", str(tmp_path)).option("max_bytes", "10").load()
-    assert sorted(map(tuple, df.collect())) == [("a.json", "[1]", None), ("b.json", "[2]", None), ("c.xml", None, "RESPONSE_TOO_LARGE")]
+    assert sorted(map(tuple, df.collect())) == [("a.json", "[1]", "utf-8", None), ("b.json", "[2]", "utf-8", None), ("c.xml", None, None, "RESPONSE_TOO_LARGE")]
     assert [r.body for r in df.where("name = 'b.json'").collect()] == ["[2]"]
 
 
@@ -165,7 +165,7 @@ def test_oversized_files_are_named(spark, tmp_path):
     (tmp_path / "b.html").write_bytes(b"x" * 10)
     spark.dataSource.register(CapturedPayloads)
     rows = spark.read.format("captured").option("path", str(tmp_path)).option("max_bytes", "10").load().orderBy("name").collect()
-    assert [tuple(r) for r in rows] == [("a.html", None, "RESPONSE_TOO_LARGE"), ("b.html", "x" * 10, None)]
+    assert [tuple(r) for r in rows] == [("a.html", None, None, "RESPONSE_TOO_LARGE"), ("b.html", "x" * 10, "utf-8", None)]
 
 
 def plain_branches(starts, territories, hits, observed, max_depth):
