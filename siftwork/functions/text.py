@@ -52,25 +52,41 @@ def is_html(content_type: Column) -> Column:
     return F.coalesce(F.lower(content_type), F.lit("text/html")).rlike("html|xml")
 
 
-def main_text(html: Column, content_type: Column | None = None) -> Column:
-    """Text nodes one to a line, without script, style, noscript and svg; other content passes unchanged."""
+def stripped(html: Column) -> Column:
+    """Text nodes one to a line, without script, style, noscript and svg, before references are read."""
     t = html
     for name in ("script", "style", "noscript", "svg"):
         t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "\n")
     t = F.regexp_replace(t, QUOTED_TAG, "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "\n")
-    t = unescape(t)
-    t = F.regexp_replace(t, r"[ \t\r]*\n[ \t\r\n]*", "\n")
-    t = F.regexp_replace(t, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.regexp_replace(t, r"<[^>]*>", "\n")
+
+
+def lines_of(plain: Column) -> Column:
+    """References of a stripped text read, white space at line ends and blank lines removed. unescape() refers to its input
+    three times, so give it a column that a select before has made."""
+    t = F.regexp_replace(unescape(plain), r"[ \t\r]*\n[ \t\r\n]*", "\n")
+    return F.regexp_replace(t, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+
+
+def main_text(html: Column, content_type: Column | None = None) -> Column:
+    """Text nodes one to a line, without script, style, noscript and svg; other content passes unchanged."""
+    t = lines_of(stripped(html))
     return t if content_type is None else F.when(is_html(content_type), t).otherwise(html)
 
 
+def raw_title(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+
+
+def clean_title(raw: Column) -> Column:
+    t = F.btrim(F.regexp_replace(unescape(raw), r"[ \t\r\n]+", " "))
+    return F.nullif(t, F.lit(""))
+
+
 def title(html: Column) -> Column:
     """The page title with its white space folded; null if there is none."""
-    t = unescape(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
-    t = F.btrim(F.regexp_replace(t, r"[ \t\r\n]+", " "))
-    return F.nullif(t, F.lit(""))
+    return clean_title(raw_title(html))
 
 
 def hrefs(html: Column, tag: str = "a", where=None) -> Column:

@@ -30,6 +30,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, save=None,
     """
     if turns is None:
         save = save or checkpointed(edges.sparkSession)
+        edges = save(edges.select("src", "dst"))  # read by every level
 
     def keep(depth: int, rows: DataFrame) -> DataFrame:
         if turns is None:
