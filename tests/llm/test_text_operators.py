@@ -263,6 +263,26 @@ def test_languages_of_odd_texts(spark):
     assert langid.accept(docs, model).columns == docs.columns
 
 
+def test_languages_learn_from_rows(spark):
+    """Rows of one id, of a null id and rows that repeat teach as rows of different ids do, each text once."""
+    texts = [(f"le chat {i} dort sur la chaise rouge", "fr") for i in range(30)] + [(f"the cat {i} sleeps on the red chair", "en") for i in range(30)]
+    test = spark.createDataFrame([(1, "la chaise du chat"), (2, "a chair for the cat")], "doc_id long, text string")
+    made = lambda rows: langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    for rows in ([(7, t, g) for t, g in texts], [(None, t, g) for t, g in texts], [(i, t, g) for i, (t, g) in enumerate(texts)]):
+        once, again = made(rows), made(rows * 4)
+        assert [r.lang_pred for r in langid.identify(test, once).orderBy("doc_id").collect()] == ["fr", "en"]
+        assert langid.identify(test, once).collect() == langid.identify(test, again).collect()
+    few = langid.train(spark.createDataFrame([(i % 2, t, g) for i, (t, g) in enumerate(texts)], "doc_id long, text string, lang string"), docs_per_language=5)
+    assert few.languages == ["en", "fr"]
+
+
+def test_one_payload_on_many_pages(spark):
+    """Copies of one payload, null ids among them, all refer to the largest id."""
+    rows = [(i, f"http://a/{i}", "<p>gone</p>") for i in range(3000)] + [(None, "http://a/x", "<p>gone</p>"), (5000, None, None), (5001, "http://b", "")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), least_revisit_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(archives(rows), key=str)
+
+
 def test_contamination(spark):
     rng = random.Random(5)
     words = lambda n: " ".join(rng.choice("abC") for _ in range(n))
