@@ -10,10 +10,14 @@
    can be linked, and sets without common members share none.
 3. Stars. Of each key the smallest node is the centre. Every node is compared with the centre that it
    shares most keys with, and equal results are joined into components. This settles most groups of near
-   copies with one comparison for each node.
-4. Tiles. Keys whose nodes are still in different components are compared in full: their nodes, by
-   size, are cut into blocks, and each pair of blocks is a tile. Bitmaps of hashed members bound the
-   overlap of each pair from above: |A & B| <= |A| - bits(A & ~B). A first pass with short bitmaps only
+   copies with one comparison for each node. Then, MORE_STARS times, of each key whose nodes are still in
+   different components a node of its main component, the one with most of its nodes, is the centre, and the
+   nodes of the others are compared with it.
+4. Tiles. Keys whose nodes are still in different components are compared in full: the nodes of the main
+   component and those of the others are cut into blocks, and each pair of blocks but for two of the main
+   component is a tile, so a large group costs its stragglers times its nodes, not its nodes squared. Bitmaps
+   of hashed members bound the overlap of each pair from above: |A & B| <= |A| - bits(A & ~B). A first pass
+   with short bitmaps only
    marks nodes that may have a partner. Then, with long ones, each node proposes its best partner of
    another component, the proposals are intersected exactly, as sorted arrays, and components grow; after
    ROUNDS of these, all pairs of different components that the bitmaps leave are intersected.
@@ -39,6 +43,7 @@ BLOCK = 512  # nodes of a block, on average; a tile has two blocks
 MOST_BITS = 1 << 16  # of a bitmap
 SHORT, LONG = 2, 4  # bits of a bitmap for each member, rounded up to a power of two
 ROUNDS = 3
+MORE_STARS = 2
 
 
 @dataclass(frozen=True)
@@ -312,25 +317,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
     return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 
 
-def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str) -> DataFrame:
-    """Rows (tile, side, key, node, label, n, bits), dealt and sorted by tile, of the keys (key, node) that lie in more
-    than one component. Keys of the same nodes are one: the new key is a hash of its nodes (two of one hash would
-    only make larger tiles).
+def _mixed(keyed: DataFrame, labels: DataFrame, signed: DataFrame, turn: int = 0) -> DataFrame:
+    """Rows (key, node, label, main, centre, mains, rests) of the keys (key, node) that lie in more than one component:
+    main is the component with most nodes of the key, mains are its nodes there, rests the others, centre is one of
+    its nodes, another one each turn. Keys of the same nodes get one new key, a hash of the nodes (two of one hash
+    would only make larger tiles).
 
-    What is to know of a key is aggregated in every task first and joined back in SALTS parts, and its nodes are
-    dealt to blocks by hash, so that no task has all rows of a key.
+    What is to know of a key is aggregated in every task first and joined back in SALTS parts, so that no task has
+    all rows of a key.
     """
-    known = signed.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
+    known = signed.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     placed = keyed.join(known, "node")  # a node has no more keys than members
     # a node is counted once for each key
-    keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    keys = keys.where("low <> high").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"), F.xxhash64("c", "x").alias("group"))
+    by_label = placed.groupBy("key", "label").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("pick"))
+    keys = by_label.groupBy("key").agg(F.max(F.struct("c", "label", F.col("pick.node").alias("centre"))).alias("most"), F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.count("*").alias("labels"))
+    keys = keys.where("labels > 1").select("key", F.xxhash64("c", "x").alias("group"), F.col("most.label").alias("main"), F.col("most.centre").alias("centre"), F.col("most.c").alias("mains"), (F.col("c") - F.col("most.c")).alias("rests"))
     mixed = joined_in_parts(placed, keys, "key", "node", how="inner")
-    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", "group"), F.col("blocks")).cast("int")).otherwise(0)
-    sides = mixed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
+    return mixed.select(F.col("group").alias("key"), "node", "label", "main", "centre", "mains", "rests")
+
+
+def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str) -> DataFrame:
+    """Rows (tile, side, key, node, label, n, bits), dealt and sorted by tile, of the keys that lie in more than one
+    component. Nodes are dealt to blocks by hash: blocks of the others are numbered first, those of the main component
+    behind them, and these meet the others' blocks only. A key of up to BLOCK nodes is one tile."""
+    small = F.col("mains") + F.col("rests") <= BLOCK
+    counted = _mixed(keyed, labels, signed).select(
+        "key",
+        "node",
+        "label",
+        (~small & (F.col("label") == F.col("main"))).alias("is_main"),
+        F.when(small, 1).otherwise(F.ceil(F.col("rests") / BLOCK)).cast("int").alias("rest_blocks"),
+        F.when(small, 0).otherwise(F.ceil(F.col("mains") / BLOCK)).cast("int").alias("main_blocks"),
+    )
+    dealt = lambda blocks: F.pmod(F.xxhash64("node", "key"), F.greatest(blocks, F.lit(1))).cast("int")
+    own = F.when(F.col("is_main"), F.col("rest_blocks") + dealt(F.col("main_blocks"))).otherwise(dealt(F.col("rest_blocks")))
+    last = F.col("rest_blocks") - 1 + F.when(F.col("is_main"), 0).otherwise(F.col("main_blocks"))
+    sides = counted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        F.col("group").alias("key"),
+        "key",
         "node",
         "label",
     )
@@ -340,6 +365,20 @@ def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str)
     return rows.repartition("tile").sortWithinPartitions("tile")
 
 
+def _best_centres(candidates: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node b and the centre a that it shares most keys with, of rows (node, centre)."""
+    counted = candidates.groupBy("node", "centre").agg(F.count("*").alias("c"))
+    return counted.groupBy("node").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+
+
+def _star_links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """The pairs (node, centre) that are linked: short bitmaps first, then exact intersection."""
+    for x, y in ("ab", "ba"):
+        pairs = joined_by_share(pairs, signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x, y)
+    pairs = pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
+    return _verified(saved(pairs, f"{name}-pairs"), texts, n, percent, f"{name}-links")
+
+
 def _joined(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """Labels after more links: components of the labels that these join."""
     lifted = links
@@ -415,8 +454,7 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
 
     table = saved(hashed.mapInArrow(sets, f"id {kind}, node long, n long, text_hash long"), "sets")
     groups = saved(rows.mapInArrow(keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared_keys, "key long, node long, centre long"), "groups")
-    stars = groups.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
-    stars = saved(stars, "stars")
+    stars = saved(_best_centres(groups.where("node <> centre")), "stars")
     involved = groups.select("node").distinct()
     heads = saved(table.where("n > 0").groupBy("node").agg(F.min("id").alias("head")).join(involved, "node", "left_semi"), "heads")
     # only texts of ids that head a node sharing a key move from here on; as rows of one id may have other texts, each text's node is made again
@@ -424,14 +462,16 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
     texts = saved(near.repartition("node").dropDuplicates(["node"]), "texts")
     signed = saved(texts.mapInArrow(signatures, "node long, n long, short binary, long binary"), "signatures")
 
-    pairs = stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    for x, y in ("ab", "ba"):
-        pairs = joined_by_share(pairs, signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x, y)
-    pairs = pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
-    linked = _verified(saved(pairs, "star-pairs"), texts, n, percent, "star-links")
-    labels = components(linked, "stars")
-
+    labels = components(_star_links(stars, signed, texts, n, percent, "star"), "stars")
     keyed = groups.select("key", "node")
+    for turn in range(MORE_STARS):
+        mixed = saved(_mixed(keyed, labels, signed, turn).distinct(), f"mixed-{turn}")
+        keyed = mixed.select("key", "node")  # the others never get a partner, as components only grow
+        stars = saved(_best_centres(mixed.where("label <> main").select("node", "centre")), f"stars-{turn}")
+        if not stars.take(1):
+            break
+        labels = _joined(labels, _star_links(stars, signed, texts, n, percent, f"star-{turn}"), f"star-joined-{turn}")
+
     marked = _in_tiles(keyed, labels, signed, "short").mapInArrow(_tiles(percent, _marked, ("key", "node")), "key long, node long")
     keyed = saved(marked.distinct(), "marked")
     for turn in range(ROUNDS + 1):

@@ -66,6 +66,29 @@ def test_join_of_ids_with_several_texts(spark):
     assert sorted(map(tuple, ngram_join.join_components(near).collect()), key=str) == sorted(components([d for d in docs if d[0] is None or d[0] == 7]), key=str)
 
 
+def test_tiles_meet_all_components(spark, monkeypatch):
+    """Every pair of nodes of different components of a key meets in a tile; a large component's nodes meet the others only."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 32)
+    labels = {node: 0 if node < 600 else node for node in range(640)}  # one large component and 40 single nodes
+    signed = spark.createDataFrame([(node, 5, b"\0" * 8) for node in labels], "node long, n long, short binary")
+    keyed = spark.createDataFrame([(7, node) for node in labels] + [(8, node) for node in range(20)] + [(9, node) for node in range(590, 610)], "key long, node long")
+    known = spark.createDataFrame([x for x in labels.items() if x[1] == 0], "node long, label long")
+    rows = ngram_join._in_tiles(keyed, known, signed, "short").collect()
+    tiles: dict[int, list] = {}
+    for r in rows:
+        tiles.setdefault(r["tile"], []).append(r)
+    met = set()
+    for tile in tiles.values():
+        assert len(tile) <= 4 * 32
+        left = [r for r in tile if r["side"] != 1]
+        right = left if any(r["side"] == 2 for r in tile) else [r for r in tile if r["side"] == 1]
+        met |= {(min(a["node"], b["node"]), max(a["node"], b["node"])) for a in left for b in right}
+    assert all((a, b) in met for a in labels for b in range(max(a + 1, 600), 640))
+    # 600 nodes meet 2 blocks, 40 meet 2 + 19, and the key 9 is one tile; all of 20 blocks would be 12,800 rows
+    assert len(rows) == 600 * 2 + 40 * 21 + 20
+    assert len({r["key"] for r in rows}) == 2
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
