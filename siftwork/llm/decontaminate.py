@@ -8,7 +8,7 @@ Words of a text that no item has reset the automaton, and a run of item words sh
 window cannot hold one; such runs are found with numpy and not streamed.
 
 Automata are built on executors, one for each part of the items of at most about MAX_ITEM_WORDS words, and
-kept in plain arrays of less than 150 bytes a word. They are broadcast one after the other, with a pass over
+kept in plain arrays of less than 200 bytes a word. They are broadcast one after the other, with a pass over
 the texts for each, so a worker holds one at a time however many items there are.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._bytes import ALNUM, blocks, words
-from ._spark import interim, saved
+from ._spark import interim, joined_in_parts, saved
 
 #: Words of one automaton, about; further items go to further automata.
 MAX_ITEM_WORDS = 1_500_000
@@ -316,38 +316,58 @@ def matchers(items: DataFrame, window: int, item_col: str, text_col: str) -> Ite
         yield Matcher.build([], window)
 
 
-def _passes(docs: DataFrame, text_col: str, found: Iterator[Matcher], finish, schema: StructType) -> DataFrame:
-    """docs through all matchers, one pass for each; finish(batch without the columns of earlier passes, judged rows) makes a batch."""
+def _passes(docs: DataFrame, text_col: str, id_col: str | None, found: Iterator[Matcher], finish, schema: StructType) -> DataFrame:
+    """docs through all matchers, one pass for each; finish(batch of docs, judged rows) makes a batch.
+
+    With one matcher no row moves. With more, each of the others leaves the marks of the texts that it hits, known by
+    their SHA-256, and the last pass joins these with docs: as many bytes as marks are written, and no text, and docs are
+    shuffled at most once, where the marks are too many to be broadcast. Copies of one text are dealt by id_col."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     n_columns = len(docs.columns)
-    extra = ["_ranges", "_names"]
-    while set(extra) & {c.lower() for c in docs.columns}:
-        extra = [f"{x}_" for x in extra]
-    carried = StructType([*docs.schema.fields, *StructType.fromDDL(f"{extra[0]} array<long>, {extra[1]} array<string>").fields])
 
-    def work(shared, last: bool):
+    def marks_of(shared):
+        def run(batches):
+            for batch in batches:
+                rows = list(judged(shared.value, batch.column(1)))
+                hit = [i for i, r in enumerate(rows) if r[1]]
+                columns = [batch.column(0).take(pa.array(hit, pa.int64())), pa.array([rows[i][4] for i in hit], pa.list_(pa.int64())), pa.array([rows[i][2] for i in hit], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "ranges", "names"])
+
+        return run
+
+    def last(shared):
         def run(batches):
             for batch in batches:
                 before = None
                 if batch.num_columns > n_columns:
-                    before = list(zip(batch.column(n_columns).to_pylist(), batch.column(n_columns + 1).to_pylist(), strict=True))
-                rows = list(judged(shared.value, batch.column(at), before))
+                    before = [(r or [], x or []) for r, x in zip(*(batch.column(n_columns + i).to_pylist() for i in (0, 1)), strict=True)]
                 own = pa.RecordBatch.from_arrays(batch.columns[:n_columns], schema=pa.schema(list(batch.schema)[:n_columns]))
-                if last:
-                    yield finish(own, rows)
-                else:
-                    columns = [pa.array([r[4] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*own.schema.names, *extra])
+                yield finish(own, list(judged(shared.value, batch.column(at), before)))
 
         return run
 
+    key = F.sha2(F.col(f"`{text_col}`"), 256)
+    marks: list[DataFrame] = []
     matcher = next(found)
     for after in found:
         shared = spark.sparkContext.broadcast(matcher)
-        docs = saved(docs.mapInArrow(work(shared, False), carried), "marked", lasting=True)
+        hits = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null").mapInArrow(marks_of(shared), "key string, ranges array<long>, names array<string>")
+        # copies of a text have the same marks: any of them stands for all
+        marks.append(saved(hits.groupBy("key").agg(F.first("ranges").alias("ranges"), F.first("names").alias("names")), "marks", lasting=True))
         shared.destroy()
         matcher = after
-    return docs.mapInArrow(work(spark.sparkContext.broadcast(matcher), True), schema)
+    if marks:
+        every = marks[0]
+        for more in marks[1:]:
+            every = every.unionByName(more)
+        # a text has one row for each matcher at most
+        every = every.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+        # rows move as one struct, so their columns may have any name
+        salt = F.xxhash64(F.col(f"`{id_col}`")) if id_col in docs.columns else F.lit(0)
+        rows = docs.select(F.struct("*").alias("row"), key.alias("key"), salt.alias("salt"))
+        joined = joined_in_parts(rows, every, "key", "salt", how="left")
+        docs = joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "ranges", "names")
+    return docs.mapInArrow(last(spark.sparkContext.broadcast(matcher)), schema)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -370,7 +390,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_c
 
     schema = StructType.fromDDL(f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
     with interim(docs.sparkSession):
-        return _passes(docs.select(id_col, text_col), text_col, matchers(items, window, item_col, item_text_col), rows_of, schema)
+        return _passes(docs.select(id_col, text_col), text_col, id_col, matchers(items, window, item_col, item_text_col), rows_of, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -394,7 +414,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_cove
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
     with interim(docs.sparkSession):
-        return _passes(docs, text_col, matchers(items, window, item_col, item_text_col), clean, docs.schema)
+        return _passes(docs, text_col, id_col, matchers(items, window, item_col, item_text_col), clean, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
