@@ -470,11 +470,14 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
         stars = saved(_best_centres(mixed.where("label <> main").select("node", "centre")), f"stars-{turn}")
         if not stars.take(1):
             break
-        labels = _joined(labels, _star_links(stars, signed, texts, n, percent, f"star-{turn}"), f"star-joined-{turn}")
+        linked = _star_links(stars, signed, texts, n, percent, f"star-{turn}")
+        if linked.take(1):
+            labels = _joined(labels, linked, f"star-joined-{turn}")
 
     marked = _in_tiles(keyed, labels, signed, "short").mapInArrow(_tiles(percent, _marked, ("key", "node")), "key long, node long")
     keyed = saved(marked.distinct(), "marked")
-    for turn in range(ROUNDS + 1):
+    turn = 0
+    while turn <= ROUNDS:
         tiles = _in_tiles(keyed, labels, signed, "long")
         if turn < ROUNDS:
             each = saved(tiles.mapInArrow(_tiles(percent, _proposed, ("key", "a", "b", "bound")), "key long, a long, b long, bound double"), f"proposals-{turn}")
@@ -485,7 +488,12 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
         pairs = saved(pairs, f"pairs-{turn}")
         if not pairs.take(1):
             break
-        labels = _joined(labels, _verified(pairs, texts, n, percent, f"links-{turn}"), f"joined-{turn}")
+        linked = _verified(pairs, texts, n, percent, f"links-{turn}")
+        if linked.take(1):
+            labels = _joined(labels, linked, f"joined-{turn}")
+            turn += 1
+        else:  # the same partners would be proposed again: all remaining pairs are next
+            turn = max(ROUNDS, turn + 1)
 
     # components get their names node by node, so that rows of a hot text or group meet them in parts
     tops = labels.select("node", F.col("label").alias("top"))
