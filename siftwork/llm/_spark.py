@@ -105,10 +105,13 @@ def joined_in_parts(many: DataFrame, one: DataFrame, key: str, salt: str, how: s
     return many.withColumn("_part", F.pmod(F.xxhash64(F.col(salt)), F.lit(SALTS)).cast("int")).join(parts, [key, "_part"], how).drop("_part")
 
 
-def joined_by_share(many: DataFrame, one: DataFrame, key: str, salt: str, rows: int = 512) -> DataFrame:
+def joined_by_share(many: DataFrame, one: DataFrame, key: str, salt: str, counted: DataFrame | None = None, rows: int = 512) -> DataFrame:
     """many joined with one (each key at most once, long values) on key. A key with c rows in `many`, more than `rows`, is
-    dealt over c / rows parts by a hash of `salt`, and its row of `one` is repeated for these only."""
-    hot = many.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > rows).select(key, F.ceil(F.col("c") / rows).cast("int").alias("_parts"))
+    dealt over c / rows parts by a hash of `salt`, and its row of `one` is repeated for these only; without such a key
+    this is the plain join. counted: a saved table with as many rows of each key as `many`, where that is costly to make."""
+    hot = (many if counted is None else counted).groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > rows).select(key, F.ceil(F.col("c") / rows).cast("int").alias("_parts"))
+    if not hot.take(1):
+        return many.join(one, key)
     dealt = joined_in_parts(many, hot, key, salt, how="left").withColumn("_share", F.pmod(F.xxhash64(F.col(salt)), F.coalesce("_parts", F.lit(1)).cast("bigint"))).drop("_parts")
     spread = one.join(hot, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)).cast("bigint") - 1))).drop("_parts")
     return dealt.join(spread, [key, "_share"]).drop("_share")

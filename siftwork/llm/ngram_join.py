@@ -313,7 +313,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: st
                     keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    full = joined_by_share(joined_by_share(pairs, b, "b", "a"), a, "a", "b").select("a", "b", "a_text", "b_text")
+    full = joined_by_share(joined_by_share(pairs, b, "b", "a"), a, "a", "b", counted=pairs).select("a", "b", "a_text", "b_text")
     return saved(full.mapInArrow(intersect, "a long, b long"), name, batch_rows=1000)
 
 
@@ -372,10 +372,11 @@ def _best_centres(candidates: DataFrame) -> DataFrame:
 
 
 def _star_links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs (node, centre) that are linked: short bitmaps first, then exact intersection."""
+    """The pairs (a, b), a saved table, that are linked: short bitmaps first, then exact intersection."""
+    both = pairs
     for x, y in ("ab", "ba"):
-        pairs = joined_by_share(pairs, signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x, y)
-    pairs = pairs.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
+        both = joined_by_share(both, signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("short").alias(f"{x}_bits")), x, y, counted=pairs)
+    pairs = both.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bounded(percent), "a long, b long")
     return _verified(saved(pairs, f"{name}-pairs"), texts, n, percent, f"{name}-links")
 
 

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from siftwork.llm import html_extract, ngram_join, suffix_dedup, suffix_sort, url_filter
 from siftwork.llm._spark import components as spark_components
+from siftwork.llm._spark import joined_by_share
 from siftwork.llm.packing import pack
 from siftwork.llm.queries import op2_html_extraction, vocabulary
 
@@ -89,6 +90,15 @@ def test_tiles_meet_all_components(spark, monkeypatch):
     assert len({r["key"] for r in rows}) == 2
 
 
+@pytest.mark.parametrize("rows", [5, 512])
+def test_join_by_share(spark, rows):
+    many = spark.createDataFrame([(0, i) for i in range(40)] + [(i % 7 + 1, i) for i in range(20)], "k long, s long")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k long, v string")
+    for counted in (None, many):
+        got = joined_by_share(many, one, "k", "s", counted=counted, rows=rows).select("k", "s", "v").collect()
+        assert sorted(map(tuple, got)) == sorted((k, s, f"v{k}") for k, s in map(tuple, many.collect()) if k < 6)
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
