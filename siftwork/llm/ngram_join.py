@@ -43,7 +43,7 @@ BLOCK = 512  # nodes of a block, on average; a tile has two blocks
 MOST_BITS = 1 << 16  # of a bitmap
 SHORT, LONG = 2, 4  # bits of a bitmap for each member, rounded up to a power of two
 ROUNDS = 3
-MORE_STARS = 2
+MORE_STARS = 1
 
 
 @dataclass(frozen=True)
