@@ -34,12 +34,15 @@ def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(html_lib.unescape, na_action="ignore")
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, every: bool = True) -> Column:
     """Character references as HTML knows them. The frequent ones of ENTITIES (`&amp;` last) are replaced by Spark's own
-    functions; only texts with any other reference go through Python, the rest reach it as nulls."""
+    functions; only texts with any other reference go through Python, the rest reach it as nulls. Without `every` those of
+    ENTITIES alone are read, in full: a text that was cut behind `&amp` keeps it."""
     plain = text
     for name, char in ENTITIES:
         plain = F.replace(plain, F.lit(name), F.lit(char))
+    if not every:
+        return plain
     return F.coalesce(_unescape_all(F.when(text.rlike(OTHER_REFERENCE), text)), plain)
 
 
@@ -62,16 +65,16 @@ def stripped(html: Column) -> Column:
     return F.regexp_replace(t, r"<[^>]*>", "\n")
 
 
-def lines_of(plain: Column) -> Column:
+def lines_of(plain: Column, every: bool = True) -> Column:
     """References of a stripped text read, white space at line ends and blank lines removed. unescape() refers to its input
     three times, so give it a column that a select before has made."""
-    t = F.regexp_replace(unescape(plain), r"[ \t\r]*\n[ \t\r\n]*", "\n")
+    t = F.regexp_replace(unescape(plain, every), r"[ \t\r]*\n[ \t\r\n]*", "\n")
     return F.regexp_replace(t, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
-def main_text(html: Column, content_type: Column | None = None) -> Column:
+def main_text(html: Column, content_type: Column | None = None, every: bool = True) -> Column:
     """Text nodes one to a line, without script, style, noscript and svg; other content passes unchanged."""
-    t = lines_of(stripped(html))
+    t = lines_of(stripped(html), every)
     return t if content_type is None else F.when(is_html(content_type), t).otherwise(html)
 
 
@@ -79,14 +82,14 @@ def raw_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
 
 
-def clean_title(raw: Column) -> Column:
-    t = F.btrim(F.regexp_replace(unescape(raw), r"[ \t\r\n]+", " "))
+def clean_title(raw: Column, every: bool = True) -> Column:
+    t = F.btrim(F.regexp_replace(unescape(raw, every), r"[ \t\r\n]+", " "))
     return F.nullif(t, F.lit(""))
 
 
-def title(html: Column) -> Column:
+def title(html: Column, every: bool = True) -> Column:
     """The page title with its white space folded; null if there is none."""
-    return clean_title(raw_title(html))
+    return clean_title(raw_title(html), every)
 
 
 def hrefs(html: Column, tag: str = "a", where=None) -> Column:
