@@ -69,11 +69,11 @@ def feed_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return each.select("url", urls.resolve(F.col("url"), F.col("href")).alias("link")).where(urls.is_http(F.col("link"))).distinct()
 
 
-def observations(pages: DataFrame, collection_id: Column, url: str = "url", html: str = "html") -> DataFrame:
-    """One observation per page: the hash is of the whole text, the stored text is cut, ids are stable."""
+def observations(pages: DataFrame, collection_id: Column, url: str = "url", html: str = "html", every: bool = True) -> DataFrame:
+    """One observation per page: the hash is of the whole text, the stored text is cut, ids are stable. `every`: as for unescape()."""
     bare = pages.select(F.col(url).alias("source_url"), text.stripped(F.col(html)).alias("bare"), text.raw_title(F.col(html)).alias("head"), collection_id.alias("collection_id"))
     # a select of its own, so that the regular expressions over the page run once
-    main = bare.select("source_url", "collection_id", text.lines_of(F.col("bare")).alias("full"), text.clean_title(F.col("head")).alias("title"))
+    main = bare.select("source_url", "collection_id", text.lines_of(F.col("bare"), every).alias("full"), text.clean_title(F.col("head"), every).alias("title"))
     hashed = main.withColumn("content_hash", ids.sha256(F.col("full")))
     return hashed.select(
         ids.observation_id(F.col("collection_id"), F.lit("generic_web"), F.lit("document"), F.lit(None), F.col("source_url"), F.col("content_hash")).alias("observation_id"),
