@@ -92,16 +92,18 @@ def title(html: Column, every: bool = True) -> Column:
     return clean_title(raw_title(html), every)
 
 
-def hrefs(html: Column, tag: str = "a", where=None) -> Column:
-    """href values of a tag in document order, first seen once; `where`: of those tags alone for which it holds."""
+def hrefs(html: Column, tag: str = "a", where=None, repeats: bool = False, every: bool = True) -> Column:
+    """href values of a tag in document order, first seen once or with repeats; `where`: of those tags alone for which it
+    holds; `every`: as for unescape()."""
     seen = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
     tags = F.regexp_extract_all(seen, F.lit(rf"""(?is)<{tag}[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
     if where is not None:
         tags = F.filter(tags, where)
     values = F.transform(tags, lambda x: F.regexp_replace(F.regexp_extract(x, HREF, 1), r"""^["']|["']$""", ""))
     # the values are unescaped as one text, as Python functions cannot run inside an array
-    joined = unescape(F.array_join(F.filter(values, lambda x: x != ""), HREF_MARK))
-    return F.when(F.length(joined) > 0, F.array_distinct(F.split(joined, HREF_MARK))).when(html.isNotNull(), F.array().cast("array<string>"))
+    joined = unescape(F.array_join(F.filter(values, lambda x: x != ""), HREF_MARK), every)
+    found = F.split(joined, HREF_MARK)
+    return F.when(F.length(joined) > 0, found if repeats else F.array_distinct(found)).when(html.isNotNull(), F.array().cast("array<string>"))
 
 
 HREF_MARK = "\uffff\n"  # no URL has it

@@ -30,12 +30,14 @@ def accepted_attempt(attempts: DataFrame) -> DataFrame:
     return folds.select("task", F.when(F.col("unsafe"), None).otherwise(F.coalesce("usable", "blocked")).alias("tier"), F.when(F.col("unsafe"), "unsafe").when(F.col("usable").isNotNull(), "ok").when(F.col("blocked").isNotNull(), "blocked").otherwise("failed").alias("outcome"))
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Rows (url, seq, link): absolute http(s) targets without fragments, first seen once per page."""
-    each = pages.select(F.col(url).alias("url"), F.posexplode(text.hrefs(F.col(html))).alias("pos", "href"))
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", every: bool = True) -> DataFrame:
+    """Rows (url, seq, link): absolute http(s) targets without fragments, first seen once per page. Captures of one URL are one
+    page: a link's place is the least that it has in any of them, repeats of other links counted; of links with one place the
+    smaller comes first. `every`: as for unescape()."""
+    each = pages.select(F.col(url).alias("url"), F.posexplode(text.hrefs(F.col(html), repeats=True, every=every)).alias("pos", "href"))
     absolute = each.withColumn("link", urls.resolve(F.col("url"), F.col("href"))).where(urls.is_http(F.col("link")))
     firsts = absolute.groupBy("url", "link").agg(F.min("pos").alias("pos"))
-    return firsts.withColumn("seq", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).select("url", "seq", "link")
+    return firsts.withColumn("seq", F.row_number().over(Window.partitionBy("url").orderBy("pos", "link"))).select("url", "seq", "link")
 
 
 BROWSER_LINKS = 1000
