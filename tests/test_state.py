@@ -211,3 +211,18 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert all_of(table.read()) == want and table.version() == 2
     merged_into(table, "seq", "other")(rows(spark, ("e", "o", "e", 1)), 0)  # another stream has numbers of its own
     assert table.manifest()["notes"] == {"landing": 1, "other": 0}
+
+
+def test_place_searches_of_one_cell_are_many_tasks(spark, monkeypatch):
+    """A hot cell's rows meet in blocks; the number of partitions follows the pairs."""
+    monkeypatch.setattr(places, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(places, "TASK_PAIRS", 1000, raising=False)
+    at = lambda n, k: [(i, "x", 10 + i % 7 * 1e-6, 20 + i * k * 1e-6) for i in range(n)]
+    asked = spark.createDataFrame(at(120, 1), "request_id int, n string, latitude double, longitude double").drop("n").withColumn("radius", F.lit(20.0))
+    made = spark.createDataFrame(at(300, 2), "place_id int, name string, latitude double, longitude double")
+    found = places.near_each(asked, made)
+    got = [(r.request_id, r.place_id) for r in found.collect()]
+    want = {(r, p) for r, _, a, b in at(120, 1) for p, _, x, y in at(300, 2) if meters(a, b, x, y) <= 20}
+    assert len(got) == len(want) and set(got) == want and 0 < len(want) < 120 * 300
+    used = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(used) > 4 and max(r["count"] for r in used) < len(want) / 2
