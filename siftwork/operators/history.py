@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.ids import sha256
 
@@ -32,13 +33,20 @@ def with_previous_content(captures: DataFrame, key: str, capture_id: str, conten
     return captures.join(given, F.col(capture_id) == F.col("for_id"), "left").drop("for_id")
 
 
-@pandas_udf(T.StringType())
-def unified_diff(before: pd.Series, after: pd.Series, name: pd.Series) -> pd.Series:
-    """Unified line diff with three lines of context; null where nothing precedes or changes."""
+DIFF_ROWS = 64  # rows whose texts and diffs a task holds as Python strings at once
+
+
+@arrow_udf(T.StringType())
+def unified_diff(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Unified line diff of the columns before, after and name with three lines of context; null where nothing precedes or
+    changes. Diffs leave in small slices, so a batch of long texts is never held with all its diffs."""
 
     def diff(a: str | None, b: str | None, n: str | None) -> str | None:
         if a is None or b is None or a == b:
             return None
         return "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), fromfile=n or "previous", tofile="current", lineterm=""))
 
-    return pd.Series([diff(*x) for x in zip(before, after, name, strict=True)], index=before.index)
+    for batch in batches:
+        for at in range(0, len(batch[0]), DIFF_ROWS):
+            part = (column.slice(at, DIFF_ROWS).to_pylist() for column in batch)
+            yield pa.array([diff(*x) for x in zip(*part, strict=True)], pa.string())

@@ -237,3 +237,15 @@ def test_iteration_state_survives_a_restart(spark, tmp_path):
     turns.write(3, "visited", done)  # a turn that was never marked
     pending, visited = branching.restored(Turns(spark, str(tmp_path)))
     assert sorted(r.url for r in pending.collect()) == ["u2", "u3", "u4", "u5"] and visited.count() == 2
+
+
+def test_diffs_leave_in_small_slices():
+    import pyarrow as pa
+
+    before = [f"a\n{i}" if i % 5 else None for i in range(1000)]
+    after = [f"a\n{i + i % 2}" for i in range(1000)]
+    parts = list(history.unified_diff.func(iter([tuple(pa.array(x, pa.string()) for x in (before, after, ["s"] * 1000))])))
+    assert max(map(len, parts)) <= 64
+    got = [d for part in parts for d in part.to_pylist()]
+    assert len(got) == 1000 and [i for i, d in enumerate(got) if d] == [i for i in range(1000) if i % 5 and i % 2]
+    assert got[1].splitlines() == ["--- s", "+++ current", "@@ -1,2 +1,2 @@", " a", "-1", "+2"]
