@@ -365,6 +365,13 @@ def _in_tiles(keyed: DataFrame, labels: DataFrame, signed: DataFrame, bits: str)
     return rows.repartition("tile").sortWithinPartitions("tile")
 
 
+def _largest_keys(keyed: DataFrame) -> DataFrame:
+    """Of the rows (key, node) one for each node, that of its key with most nodes. The nodes of a large group share many keys
+    and mostly choose the same one."""
+    counted = joined_in_parts(keyed, keyed.groupBy("key").agg(F.count("*").alias("c")), "key", "node", how="inner")
+    return counted.groupBy("node").agg(F.max(F.struct("c", "key")).alias("most")).select("most.key", "node")
+
+
 def _best_centres(candidates: DataFrame) -> DataFrame:
     """Pairs (a, b) of each node b and the centre a that it shares most keys with, of rows (node, centre)."""
     counted = candidates.groupBy("node", "centre").agg(F.count("*").alias("c"))
@@ -479,20 +486,25 @@ def _join_components(docs: DataFrame, n: int, percent: int, id_col: str, text_co
     keyed = saved(marked.distinct(), "marked")
     turn = 0
     while turn <= ROUNDS:
-        tiles = _in_tiles(keyed, labels, signed, "long")
+        # the first round looks at each node's largest key alone: a group's nodes meet once, not in every key that they share
+        tiles = _in_tiles(saved(_largest_keys(keyed), "largest") if turn == 0 < ROUNDS else keyed, labels, signed, "long")
         if turn < ROUNDS:
             each = saved(tiles.mapInArrow(_tiles(percent, _proposed, ("key", "a", "b", "bound")), "key long, a long, b long, bound double"), f"proposals-{turn}")
-            keyed = each.select("key", F.col("a").alias("node")).distinct()  # the others never get a partner, as components only grow
+            if turn:
+                keyed = each.select("key", F.col("a").alias("node")).distinct()  # the others never get a partner, as components only grow
             pairs = each.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             pairs = tiles.mapInArrow(_tiles(percent, _remaining, ("a", "b")), "a long, b long").distinct()
         pairs = saved(pairs, f"pairs-{turn}")
-        if not pairs.take(1):
+        some = bool(pairs.take(1))
+        if not some and turn:
             break
-        linked = _verified(pairs, texts, n, percent, f"links-{turn}")
-        if linked.take(1):
+        linked = _verified(pairs, texts, n, percent, f"links-{turn}") if some else pairs
+        if some and linked.take(1):
             labels = _joined(labels, linked, f"joined-{turn}")
             turn += 1
+        elif turn == 0:  # other keys may have more
+            turn = 1
         else:  # the same partners would be proposed again: all remaining pairs are next
             turn = max(ROUNDS, turn + 1)
 

@@ -550,3 +550,33 @@ def test_pipeline_stages_with_further_columns(spark, sf_dir):
     plain, rows, none = ([(r.doc_id, r.text, r.n_chars) for r in x] for x in got)
     assert plain and sorted(plain, key=str) == sorted(rows, key=str) and none == []
     assert all(r[n] == (n, r.lang) for r in got[1] for n in names[5:]) and all(r[n].split("|")[0] == n for r in got[1] for n in names[:5])
+
+
+def test_first_proposals_are_one_a_node(spark, monkeypatch):
+    """Near copies that share many keys propose within one of them; the chain of small changes is one component all the same."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    docs = []
+    for i in range(40):
+        for at in rng.sample(range(200), 3):
+            words[at] = f"w{rng.randrange(10**9)}"
+        docs.append((i, " ".join(words)))
+    sizes, real = {}, ngram_join.saved
+
+    def counted(df, name, *args, **more):
+        out = real(df, name, *args, **more)
+        if name == "proposals-0":
+            sizes["first"] = (out.count(), out.select("a").distinct().count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", counted)
+    found = ngram_join.join_components(spark.createDataFrame(docs, "doc_id long, text string"), n=5, percent=80).collect()
+    rows, nodes = sizes["first"]
+    assert nodes and rows == nodes
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in docs]
+    top = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(top))
