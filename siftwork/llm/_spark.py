@@ -68,10 +68,15 @@ def interim(spark: SparkSession) -> Iterator[None]:
             _remove(spark.sparkContext, path)
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch while a table is saved
+
+
 def saved(df: DataFrame, name: str, batch_rows: int | None = None, lasting: bool = False) -> DataFrame:
     """Write to the shared folder and read again: later jobs neither recompute nor depend on an executor.
 
     The shuffle files of this write go when it ends, as the table replaces them.
+    Arrow batches have about BATCH_BYTES at most, so neither a Python worker nor its executor holds 10,000 long texts at once;
+    rows without texts go in batches as large as ever.
     batch_rows: rows per Arrow batch while this table is made, for rows that hold long values.
     lasting: the table outlives an interim() block.
     """
@@ -81,7 +86,7 @@ def saved(df: DataFrame, name: str, batch_rows: int | None = None, lasting: bool
         paths.append(path)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = int(spark.conf.get(key))
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
     if batch_rows:
         settings[key] = str(min(batch_rows, rows) if rows > 0 else batch_rows)
     before = {k: spark.conf.get(k) for k in settings}

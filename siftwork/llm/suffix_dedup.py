@@ -35,7 +35,8 @@ from ._spark import interim, joined_in_parts, saved
 DEPTH, K = 100, 24
 HOT_RUNS = 4096  # different runs of one anchor beyond which it is dealt out again
 HOT_STEP = 8  # window starts per row then
-BLOCK_RUNS_BYTES = 1 << 21  # of one suffix array
+BLOCK_RUNS_BYTES = 1 << 19  # of one suffix array, which takes about 100 times as much while it is made
+ROWS = 512  # texts that Python takes apart at once
 FOLD_RUNS = 2_000_000  # runs of a task that are held and folded together, 32 bytes each
 PLACE_BITS = 24
 #: place = tag (24 bits of the text's hash) << 39 | first window start << 8 | windows
@@ -222,13 +223,19 @@ RUN = "h long, id long, place long, bytes binary, dealt boolean"
 RUN_ROWS = 4096  # in an Arrow batch, as rows have bytes
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _run_bytes(depth: int, k: int):
     """From rows (id, text, asked: places with their anchor and whether it is hot): rows (h, id, place, bytes, dealt) of these
     runs, those of hot anchors dealt again."""
 
     def work(batches):
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in _slices(batches):
             for i, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = text.as_py().encode()
                 for a in asked:
@@ -357,7 +364,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, k: int | None = None, id
 
     def cut(batches):
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()

@@ -1,10 +1,12 @@
 """Operators that compare documents or pages with each other, and the pipeline."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import components, decontaminated, repeats
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from siftwork.llm import html_extract, ngram_join, suffix_dedup, suffix_sort, url_filter
+from siftwork.llm._spark import BATCH_BYTES, joined_by_share, saved
 from siftwork.llm._spark import components as spark_components
-from siftwork.llm._spark import joined_by_share
 from siftwork.llm.packing import pack
 from siftwork.llm.queries import op2_html_extraction, vocabulary
 
@@ -580,3 +582,32 @@ def test_first_proposals_are_one_a_node(spark, monkeypatch):
             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(top))
+
+
+def test_saved_tables_bound_arrow_batches(spark):
+    rows = spark.range(0, 12000, 1, 1).select("id", F.repeat(F.lit("x"), 2000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    got = saved(rows.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in got) == 12000
+    assert max(r["size"] for r in got) < 1.1 * BATCH_BYTES
+    assert spark.conf.get(key) == before
+    narrow = saved(rows.select("id").mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert max(r.n for r in narrow) == int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+def test_suffix_arrays_hold_little(spark):
+    rng = np.random.default_rng(3)
+    rows = [(key, key * 3 + i, (5 << 39) + 81, rng.bytes(180)) for key in range(4000) for i in range(3)]  # 2.2 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "id", "place", "bytes"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in suffix_dedup._suffix_arrays(100)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found
+    assert peak < 100e6
