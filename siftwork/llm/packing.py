@@ -10,10 +10,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,14 +28,23 @@ from .histogram_packing import shortest_pack_first
 from .tokens import CACHE_RUNS, Vocabulary
 
 
+LINES = 1 << 15  # runs that are cut into words together
+
+
 class Coder:
-    """Ids, as little-endian uint32 bytes, through the tokenizers library; runs and words are cached."""
+    """Ids, as little-endian uint32 bytes, through the tokenizers library; runs and words are cached.
+
+    Arrow splits the texts of a batch and finds their distinct runs; Python sees each of these once, and those that are
+    in no cache are lowered and cut into words together, one a line.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.v = Vocabulary(path)
         self.model = Tokenizer.from_file(path).model
+        self.lines = regex.compile(self.v.pattern.pattern + r"|\n")
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.v.ids.values()) + 1)]
         self.runs: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -39,20 +53,51 @@ class Coder:
         if ids is None:
             if len(self.words) >= CACHE_RUNS:
                 self.words.clear()
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(self.v.spelled(word))], "<u4").tobytes()
+            ids = self.words[word] = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(self.v.spelled(word))])
         return ids
 
     def run(self, run: bytes) -> bytes:
-        ids = b"".join([self.v.special[p].to_bytes(4, "little") if special else self.word(p) for p, special in self.v.pieces(run.decode())])
-        if len(run) <= 64:
-            if len(self.runs) >= CACHE_RUNS:
-                self.runs.clear()
-            self.runs[run] = ids
+        return b"".join([self.v.special[p].to_bytes(4, "little") if special else self.word(p) for p, special in self.v.pieces(run.decode())])
+
+    def plain(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs without special tokens. Neither NFC nor the pattern joins characters across a line's end, and of
+        all characters only the capital sigma is lowered by what stands around it."""
+        get, word, found, ids = self.words.get, self.word, [], []
+        for at in range(0, len(runs), LINES):
+            lines = unicodedata.normalize("NFC", b"".join([r + b"\n" for r in runs[at : at + LINES]]).decode())
+            for w in self.lines.findall(lines.replace("Σ", "σ").lower()):
+                if w == "\n":
+                    found.append(b"".join(ids))
+                    ids = []
+                else:
+                    ids.append(known if (known := get(w)) is not None else word(w))
+        return found
+
+    def distinct(self, runs: list[bytes]) -> list[bytes]:
+        ids = list(map(self.runs.get, runs))
+        new = [i for i, known in enumerate(ids) if known is None]
+        plain = [i for i in new if b"<" not in runs[i]]
+        for i, found in zip(plain, self.plain([runs[i] for i in plain]), strict=True):
+            ids[i] = found
+        for i in new:
+            if ids[i] is None:
+                ids[i] = self.run(runs[i])
+            if len(runs[i]) <= 64:
+                if len(self.runs) >= CACHE_RUNS:
+                    self.runs.clear()
+                self.runs[runs[i]] = ids[i]
         return ids
 
-    def text(self, text: str) -> bytes:
-        get, run = self.runs.get, self.run
-        return b"".join([ids if (ids := get(r)) is not None else run(r) for r in text.encode().split()])
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; a null is an empty text."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        runs = split.values.dictionary_encode()
+        distinct = runs.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self.distinct(distinct), pa.large_binary()).take(runs.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy() + ids.offset].tolist()
+        for start, end in pairwise(ends):
+            yield data[start:end].to_pybytes()
 
 
 _coders: dict[str, Coder] = {}
@@ -70,8 +115,8 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: s
         coder, part, seen = _coders[vocabulary], TaskContext.get().partitionId(), {}
         for batch in batches:
             rows, of = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = coder.text(text.as_py() or "") + end
+            for i, ids in enumerate(coder.texts(batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[start * 4 : (start + capacity) * 4]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import archives, base_counts, contamination
 
@@ -67,6 +68,28 @@ def test_packing_covers_every_id_once(spark, capacity):
     assert packing.pack(docs.limit(0), queries.vocabulary(), capacity, 2).count() == 0
 
 
+def test_coding_sees_each_run_of_a_batch_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            Counted.looked += 1
+            return super().get(key, default)
+
+    rng, t = random.Random(3), library()
+    signs = [*"aZ9'.<|é\u0301\u0307ΑΣςİIK\u212a\u1100\u1161漢😀²\x00\x1c\x85\xa0\u3000", *" \n\t\v\f\r", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll"]
+    texts = [*ODD, *["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(2000)], " ".join(["w" * 100, "ΣΑΣ", "x"] * 5000)]
+    coder = packing.Coder(queries.vocabulary())
+    coder.runs = Counted()
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.texts(pa.array(texts))] == want
+    runs = {r for x in texts for r in (x or "").encode().split()}
+    assert Counted.looked <= 2 * (len(runs) + 1)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.texts(pa.array(texts).slice(3, 500))] == want[3:503]
+    assert list(coder.texts(pa.array([], pa.string()))) == [] and list(coder.texts(pa.array([None], pa.string()))) == [b""]
+
+
 def test_histogram_packing():
     rng = random.Random(1)
     for _ in range(50):
