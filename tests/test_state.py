@@ -226,3 +226,20 @@ def test_place_searches_of_one_cell_are_many_tasks(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want and 0 < len(want) < 120 * 300
     used = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(used) > 4 and max(r["count"] for r in used) < len(want) / 2
+
+
+def test_place_searches_send_no_rows_through_the_driver(spark):
+    """Rows of cells are many more than the rows that they come from, so Spark's guess at their size is far too low."""
+    point = lambda a, b: [(F.col("id") * a % 1801 / 10 - 90).alias("latitude"), (F.col("id") * b % 3601 / 10 - 180).alias("longitude")]
+    asked = spark.range(200).select(F.col("id").alias("request_id"), *point(37, 1213), F.when(F.col("id") % 2 == 0, 5e5).otherwise(2e4).alias("radius"))
+    made = spark.range(1000).select(F.col("id").alias("place_id"), F.lit("x").alias("name"), *point(53, 7919))
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: [x.apply(i) for x in [store.executionsList()] for i in range(x.size())]
+    first = max([-1, *(x.executionId() for x in runs())])
+    got = [(r.request_id, r.place_id) for r in places.near_each(asked, made).collect()]
+    placed = made.collect()
+    want = {(r.request_id, p.place_id) for r in asked.collect() for p in placed if meters(r.latitude, r.longitude, p.latitude, p.longitude) <= r.radius}
+    assert len(got) == len(want) and set(got) == want and len(want) > 100
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [x.physicalPlanDescription() for x in runs() if x.executionId() > first]
+    assert any("Join" in x for x in plans) and not any("Broadcast" in x for x in plans)
